@@ -18,9 +18,15 @@ FUZZY_MIN = 0.6
 _CODES = "(" + "|".join(DEVICE_CODES) + ")"
 
 
+# White space characters of Unicode text.
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def strip(c: Column) -> Column:
     """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _filled(c: Column) -> Column:
@@ -43,14 +49,14 @@ def device_short_name(name: Column) -> Column:
 
 
 def is_label(text: Column) -> Column:
-    """True for short texts with a Latin letter directly before a digit."""
-    return (F.length(strip(text)) <= LABEL_MAX) & text.rlike("[A-Za-z][0-9]")
+    """True for short trimmed texts with a Latin letter directly before a digit."""
+    return (F.length(text) <= LABEL_MAX) & text.rlike("[A-Za-z][0-9]")
 
 
 def label_name(text: Column) -> Column:
-    """Device label in a text: letters, optional separator, digits; separators removed."""
+    """Label in a trimmed text: letters, optional separator, digits; separators removed."""
     found = F.regexp_extract(F.upper(text), r"([A-Z]+[-\s_]?[0-9]+)", 1)
-    return F.coalesce(_filled(F.regexp_replace(found, r"[-\s_]", "")), strip(text))
+    return F.coalesce(_filled(F.regexp_replace(found, r"[-\s_]", "")), text)
 
 
 def contour_candidate(text: Column) -> Column:

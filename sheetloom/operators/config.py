@@ -8,7 +8,7 @@ keys is kept in the ordinals ``obj_ord``, ``mode_pos``, ``state_pos`` and ``step
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ OPERATION_NAME = "Операция %s"
 STATE_NAME = "Состояние %s"
 STEP_NAME = "Шаг %s"
 NO_NUMBER = -1
+TABLES = ("tech_objects", "devices", "operations", "states", "steps", "signals", "parameters")
 DEVICE_LISTS = ("opened_devices", "closed_devices", "checked_devices")
 
 _OBJECT_FIELDS = (
@@ -71,7 +72,7 @@ def _children(df: DataFrame, source: str, wanted: tuple[str, ...], key: str, pos
 
 def read_objects(config: DataFrame) -> DataFrame:
     """Objects with their scalar fields; ``_par_float`` and ``_modes`` stay raw JSON."""
-    ordinal = F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("obj_pos")
+    ordinal = F.struct("part", "obj_pos")
     v = {f: F.col(f"v.{f}") for f in _OBJECT_FIELDS}
     plain = ("name", "name_eplan", "name_BC", "base_tech_object", "attached_objects")
     return _children(config.select("doc_id", "part", "body"), "body", _OBJECT_FIELDS, "id", "obj_pos").select(
@@ -343,38 +344,52 @@ def read_signals(states: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class ConfigTables:
-    """The seven tables; columns that start with an underscore hold raw JSON for later levels."""
+    """The seven tables of a configuration corpus, each planned when first asked for.
 
-    tech_objects: DataFrame
-    devices: DataFrame
-    operations: DataFrame
-    states: DataFrame
-    steps: DataFrame
-    signals: DataFrame
-    parameters: DataFrame
+    Columns that start with an underscore hold raw JSON for the levels below.
+    """
+
+    def __init__(self, config: DataFrame) -> None:
+        self._config = config
+
+    @cached_property
+    def tech_objects(self) -> DataFrame:
+        return read_objects(self._config)
+
+    @cached_property
+    def parameters(self) -> DataFrame:
+        return read_parameters(self.tech_objects)
+
+    @cached_property
+    def operations(self) -> DataFrame:
+        return read_operations(self.tech_objects)
+
+    @cached_property
+    def states(self) -> DataFrame:
+        return read_states(self.operations)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return read_steps(self.states)
+
+    @cached_property
+    def devices(self) -> DataFrame:
+        return first_mentions(device_mentions(self.tech_objects, self.states, self.steps))
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return read_signals(self.states)
 
     def public(self) -> dict[str, DataFrame]:
-        """Tables without the raw columns."""
-        return {n: df.drop(*[c for c in df.columns if c.startswith("_")]) for n, df in vars(self).items()}
+        """All tables without the raw columns."""
+        named = {n: getattr(self, n) for n in TABLES}
+        return {n: df.drop(*[c for c in df.columns if c.startswith("_")]) for n, df in named.items()}
 
 
 def flatten_config(config: DataFrame) -> ConfigTables:
-    """All seven tables of a configuration corpus."""
-    objects = read_objects(config)
-    operations = read_operations(objects)
-    states = read_states(operations)
-    steps = read_steps(states)
-    return ConfigTables(
-        tech_objects=objects,
-        devices=first_mentions(device_mentions(objects, states, steps)),
-        operations=operations,
-        states=states,
-        steps=steps,
-        signals=read_signals(states),
-        parameters=read_parameters(objects),
-    )
+    """Tables of a configuration corpus."""
+    return ConfigTables(config)
 
 
 def operations_of_objects(operations: DataFrame, objects: DataFrame) -> DataFrame:

@@ -186,26 +186,28 @@ def closed_loops(
     raise RuntimeError("spur stripping did not settle")
 
 
-def contour_edges(loops: DataFrame, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
-    """Loop segments with ``contour_id``: loops of a drawing numbered by smallest segment."""
+def contour_edges(
+    loops: DataFrame, segments: DataFrame, keys: Sequence[str] = ("doc_id", "page")
+) -> DataFrame:
+    """Loop segments with ``contour_id`` and their raw ends, as a written copy.
+
+    Loops of a drawing are numbered by their smallest segment.
+    """
     heads = loops.where("seg_id = loop").select(*keys, "loop")
     numbered = number_within(heads, keys, "loop", "contour_id")
-    return loops.join(numbered, [*keys, "loop"])
+    ends = segments.where("dashed").select(*keys, "seg_id", "x1", "y1", "x2", "y2")
+    return cut_lineage(loops.join(ends, [*keys, "seg_id"]).join(numbered, [*keys, "loop"]))
 
 
-def contours_of(
-    edges: DataFrame, segments: DataFrame, keys: Sequence[str] = ("doc_id", "page")
-) -> DataFrame:
+def contours_of(edges: DataFrame, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
     """One row per contour: bounds and centre over the raw segment ends."""
-    x, y = [F.array("x1", "x2"), F.array("y1", "y2")]
-    lo_hi = edges.join(segments.select(*keys, "seg_id", "x1", "y1", "x2", "y2"), [*keys, "seg_id"])
     return (
-        lo_hi.groupBy(*keys, "contour_id")
+        edges.groupBy(*keys, "contour_id")
         .agg(
-            F.min(F.array_min(x)).alias("min_x"),
-            F.min(F.array_min(y)).alias("min_y"),
-            F.max(F.array_max(x)).alias("max_x"),
-            F.max(F.array_max(y)).alias("max_y"),
+            F.min(F.least("x1", "x2")).alias("min_x"),
+            F.min(F.least("y1", "y2")).alias("min_y"),
+            F.max(F.greatest("x1", "x2")).alias("max_x"),
+            F.max(F.greatest("y1", "y2")).alias("max_y"),
             F.count(F.lit(1)).alias("n_edges"),
             F.bool_or("ambiguous").alias("ambiguous"),
         )

@@ -16,9 +16,9 @@ BOUNDS = (("min_x", "max_x"), ("min_y", "max_y"))
 
 
 def label_texts(texts: DataFrame) -> DataFrame:
-    """Texts that look like device labels, with their upper-case ``label``."""
+    """Trimmed texts that look like device labels, with their upper-case ``label``."""
     return texts.where(names.is_label(F.col("text"))).withColumn(
-        "label", F.upper(names.label_name(names.strip(F.col("text"))))
+        "label", F.upper(names.label_name(F.col("text")))
     )
 
 

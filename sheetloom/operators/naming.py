@@ -160,7 +160,7 @@ def text_candidates(
 ) -> DataFrame:
     """Scored (contour, text) pairs; ``edges`` carries contour_id and the raw segment ends."""
     named = configured_names(name_candidates(texts), dictionary)
-    pairs = distances(named, edges, keys, max_distance)
+    pairs = cut_lineage(distances(named, edges, keys, max_distance))
     within = inside_pairs(pairs, edges, keys).withColumn("inside", F.lit(True))
     details = named.select(*keys, "text_id", "candidate", "configured", "final_name")
     return (
@@ -262,6 +262,7 @@ def name_contours(
     small: int = 50_000,
 ) -> DataFrame:
     """Contours with name, original name and name position; contours without text stay null."""
+    candidates = cut_lineage(candidates)
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
     sized = candidates.join(
         contours.select(*keys, "contour_id", area.alias("area")), [*keys, "contour_id"]
