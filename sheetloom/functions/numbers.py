@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def number_or(text: Column, default: float) -> Column:
     return F.coalesce(to_number(text), F.lit(default))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def fixed3(v: Column) -> Column:
     """Text with three decimals, rounding the exact binary value half to even.
 
@@ -25,27 +32,39 @@ def fixed3(v: Column) -> Column:
     values such as 0.0625. The product by 1000 is split into an exact high and low part, so
     that the side of a tie is known.
     """
-    a = F.abs(v)
-    wide = a * 134217729.0
-    high = wide - (wide - a)
-    low = a - high
-    product = high * 1000.0 + low * 1000.0
-    rest = (high * 1000.0 - product) + low * 1000.0
-    tie = product - F.floor(product) == 0.5
-    whole = (
-        F.when(tie & (rest > 0), F.floor(product) + 1)
-        .when(tie & (rest < 0), F.floor(product))
-        .otherwise(F.rint(product).cast("bigint"))
-    )
-    sign = F.when((v < 0) | F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
-    plain = F.concat(
-        sign,
-        ((whole - whole % 1000) / 1000).cast("bigint").cast("string"),
-        F.lit("."),
-        F.lpad((whole % 1000).cast("string"), 3, "0"),
-    )
-    # Beyond 2**43 the split is no longer needed: such values carry no tie at 3 decimals.
-    return F.when(a < 8796093022208.0, plain).otherwise(F.format_string("%.3f", v))
+
+    def split(a: Column) -> Column:
+        wide = a * 134217729.0
+        high = wide - (wide - a)
+        return F.struct(high.alias("high"), (a - high).alias("low"))
+
+    def scaled(p: Column) -> Column:
+        high, low = p["high"] * 1000.0, p["low"] * 1000.0
+        product = high + low
+        return F.struct(product.alias("product"), ((high - product) + low).alias("rest"))
+
+    def whole(p: Column) -> Column:
+        product, rest = p["product"], p["rest"]
+        below = F.floor(product)
+        tie = product - below == 0.5
+        return (
+            F.when(tie & (rest > 0), below + 1)
+            .when(tie & (rest < 0), below)
+            .otherwise(F.rint(product).cast("bigint"))
+        )
+
+    def text(n: Column) -> Column:
+        digits = F.lpad(n.cast("string"), 4, "0")
+        digits = F.when(n > 999, n.cast("string")).otherwise(digits)
+        return F.concat(F.left(digits, F.length(digits) - 3), F.lit("."), F.right(digits, F.lit(3)))
+
+    def plain(value: Column) -> Column:
+        sign = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
+        return F.concat(sign, _let(_let(_let(_let(F.abs(value), split), scaled), whole), text))
+
+    # From 2**43 on values carry no tie at three decimals, and infinities print as words.
+    small = F.abs(v) < 8796093022208.0
+    return F.when(small, _let(v, plain)).when(v.isNotNull(), F.format_string("%.3f", v))
 
 
 def float_text(v: Column) -> Column:

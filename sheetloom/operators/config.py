@@ -1,9 +1,12 @@
 """Nested object configurations flattened into seven tables.
 
 Input is ``config(doc_id, part, body)``: JSON text of a map from object id to object, with
-``part`` giving the order of the texts of one document. Each level is read as a map of raw
-JSON texts, so entries of a wrong type are skipped one at a time and the document order of
-keys is kept in the ordinals ``obj_ord``, ``mode_pos``, ``state_pos`` and ``step_pos``.
+``part`` giving the order of the texts of one document.
+
+A text is parsed once, against the full nested type with variants at the leaves. Maps keep
+the document order of their keys, which the ordinals ``obj_ord``, ``mode_pos``, ``state_pos``
+and ``step_pos`` carry on. A text in which some entry has the wrong type is read level by
+level instead, so that only the wrong entries drop out.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import names
+from sheetloom.session import cut_lineage
 
 # Default names and defaults of missing numbers.
 OPERATION_NAME = "Операция %s"
@@ -23,37 +27,89 @@ NO_NUMBER = -1
 TABLES = ("tech_objects", "devices", "operations", "states", "steps", "signals", "parameters")
 DEVICE_LISTS = ("opened_devices", "closed_devices", "checked_devices")
 
-_OBJECT_FIELDS = (
-    "n", "tech_type", "name", "name_eplan", "name_BC", "base_tech_object", "attached_objects",
-    "cooper_param_number", "par_float", "system_parameters", "properties", "equipment", "modes",
-)
-_MODE_FIELDS = ("name", "base_operation", "props", "states")
-_STATE_FIELDS = ("name", *DEVICE_LISTS, "devices_data", "DI_DO", "steps")
-_STEP_FIELDS = (
-    "name", "time_param_n", "next_step_n", "baseStep", "opened_devices", "closed_devices",
-    "devices_data", "DI_DO", "enable_step_by_signal", "jump_if",
-)
-
-
-def _is_map(text: Column) -> Column:
+# Fields of every level; a nested dict stands for a map of entries with those fields.
+_STEP = {
+    "name": "string",
+    "time_param_n": "string",
+    "next_step_n": "string",
+    "baseStep": "string",
+    "opened_devices": "variant",
+    "closed_devices": "variant",
+    "devices_data": "variant",
+    "DI_DO": "variant",
+    "enable_step_by_signal": "variant",
+    "jump_if": "variant",
+}
+_STATE = {
+    "name": "string",
+    **{f: "variant" for f in DEVICE_LISTS},
+    "devices_data": "variant",
+    "DI_DO": "variant",
+    "steps": _STEP,
+}
+_MODE = {"name": "string", "base_operation": "string", "props": "variant", "states": _STATE}
+_PARAMETER = {"name": "string", "value": "variant", "meter": "string", "nameLua": "string", "oper": "variant"}
+_OBJECT = {
+    "n": "string",
+    "tech_type": "string",
+    "name": "string",
+    "name_eplan": "string",
+    "name_BC": "string",
+    "base_tech_object": "string",
+    "attached_objects": "string",
+    "cooper_param_number": "string",
+    "system_parameters": "variant",
+    "properties": "variant",
+    "equipment": "variant",
+    "par_float": _PARAMETER,
+    "modes": _MODE,
+}
+
+
+def _map_type(level: dict) -> str:
+    fields = ",".join(f"`{f}`:{_map_type(t) if isinstance(t, dict) else t}" for f, t in level.items())
+    return f"map<string,struct<{fields}>>"
+
+
+def _is_object(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))
 
 
-def _is_list(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^\s*\["), F.lit(False))
+def _by_level(text: Column, level: dict) -> Column:
+    """Map of the entries that are objects, each level parsed by itself."""
+    fields = ",".join(f"`{f}` {'string' if isinstance(t, dict) else t}" for f, t in level.items())
 
+    def entry(raw: Column) -> Column:
+        def typed(v: Column) -> Column:
+            return F.struct(
+                *[(_by_level(v[f], t) if isinstance(t, dict) else v[f]).alias(f) for f, t in level.items()]
+            )
 
-def _map(text: Column) -> Column:
-    """Raw JSON texts by key, null when the value is no object."""
-    return F.when(_is_map(text), F.from_json(text, "map<string,string>"))
+        return F.get(F.transform(F.array(F.from_json(raw, fields)), typed), 0)
 
+    entries = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: _is_object(v))
+    return F.when(_is_object(text), F.transform_values(entries, lambda k, v: entry(v)))
 
-def _list(text: Column, item: str = "string") -> Column:
-    return F.when(_is_list(text), F.from_json(text, f"array<{item}>"))
+
+def _parse(text: Column, level: dict) -> Column:
+    """Map of the entries of ``text``, in one pass where every entry has its type."""
+    whole = F.concat(F.lit('{"top":'), text, F.lit("}"))
+    parsed = F.from_json(
+        whole, f"top {_map_type(level)}, wrong string", {"columnNameOfCorruptRecord": "wrong"}
+    )
+    return F.get(
+        F.transform(
+            F.array(parsed),
+            lambda p: F.when(p["wrong"].isNull() & _is_object(text), p["top"]).otherwise(_by_level(text, level)),
+        ),
+        0,
+    )
 
 
-def _fields(text: Column, wanted: tuple[str, ...]) -> Column:
-    return F.from_json(text, ", ".join(f"`{f}` string" for f in wanted))
+def _entries(df: DataFrame, source: str, key: str, pos: str) -> DataFrame:
+    """One row per entry of the map ``source``; its fields arrive in ``v``."""
+    rest = [c for c in df.columns if c != source]
+    return df.select(*rest, F.posexplode(source).alias(pos, key, "v")).where(F.col("v").isNotNull())
 
 
 def _number(text: Column, default: int | None = None) -> Column:
@@ -61,50 +117,52 @@ def _number(text: Column, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
 
 
-def _children(df: DataFrame, source: str, wanted: tuple[str, ...], key: str, pos: str) -> DataFrame:
-    """One row per object-valued entry of the map in ``source``; fields arrive in ``v``."""
-    return (
-        df.select(*[c for c in df.columns if c != source], F.posexplode(_map(F.col(source))).alias(pos, key, "_raw"))
-        .where(_is_map(F.col("_raw")))
-        .withColumn("v", _fields(F.col("_raw"), wanted))
-    )
+def _list(v: Column) -> Column:
+    return v.try_cast("array<variant>")
+
+
+def _map(v: Column) -> Column:
+    return v.try_cast("map<string,variant>")
+
+
+def _texts(v: Column) -> Column:
+    """List elements as text, an empty array for anything that is no list."""
+    return F.coalesce(F.transform(_list(v), lambda e: e.try_cast("string")), F.array().cast("array<string>"))
+
+
+def _text_map(v: Column) -> Column:
+    return F.transform_values(_map(v), lambda k, e: e.try_cast("string"))
 
 
 def read_objects(config: DataFrame) -> DataFrame:
-    """Objects with their scalar fields; ``_par_float`` and ``_modes`` stay raw JSON."""
-    ordinal = F.struct("part", "obj_pos")
-    v = {f: F.col(f"v.{f}") for f in _OBJECT_FIELDS}
+    """Objects with their fields; ``_par_float`` and ``_modes`` hold the levels below."""
+    parsed = config.select("doc_id", "part", _parse(F.col("body"), _OBJECT).alias("_objects"))
     plain = ("name", "name_eplan", "name_BC", "base_tech_object", "attached_objects")
-    return _children(config.select("doc_id", "part", "body"), "body", _OBJECT_FIELDS, "id", "obj_pos").select(
+    return _entries(parsed, "_objects", "id", "obj_pos").select(
         "doc_id",
-        ordinal.alias("obj_ord"),
+        F.struct("part", "obj_pos").alias("obj_ord"),
         "id",
-        _number(v["n"]).alias("n"),
-        _number(v["tech_type"]).alias("tech_type"),
-        *[v[f].alias(f) for f in plain],
-        _number(v["cooper_param_number"]).alias("cooper_param_number"),
-        F.when(_is_map(v["system_parameters"]), F.try_parse_json(v["system_parameters"])).alias("system_parameters"),
-        _map(v["properties"]).alias("properties"),
-        _map(v["equipment"]).alias("equipment"),
-        v["equipment"].alias("_equipment"),
-        v["par_float"].alias("_par_float"),
-        v["modes"].alias("_modes"),
+        _number(F.col("v.n")).alias("n"),
+        _number(F.col("v.tech_type")).alias("tech_type"),
+        *[F.col(f"v.{f}").alias(f) for f in plain],
+        _number(F.col("v.cooper_param_number")).alias("cooper_param_number"),
+        F.when(_map(F.col("v.system_parameters")).isNotNull(), F.col("v.system_parameters")).alias("system_parameters"),
+        _text_map(F.col("v.properties")).alias("properties"),
+        _text_map(F.col("v.equipment")).alias("equipment"),
+        F.col("v.equipment").alias("_equipment"),
+        F.col("v.par_float").alias("_par_float"),
+        F.col("v.modes").alias("_modes"),
     )
 
 
 def read_parameters(objects: DataFrame) -> DataFrame:
     """Parameters of all objects."""
-    fields = "name string, value variant, meter string, nameLua string, oper string"
-    rows = objects.select(
-        "doc_id",
-        "obj_ord",
-        F.col("id").alias("obj_id"),
-        F.col("name").alias("obj_name"),
-        F.posexplode(_map(F.col("_par_float"))).alias("param_pos", "id", "_raw"),
-    ).where(_is_map(F.col("_raw")))
-    v = rows.withColumn("v", F.from_json("_raw", fields))
+    base = objects.select(
+        "doc_id", "obj_ord", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), "_par_float"
+    )
     blank = F.lit("")
-    return v.select(
+    oper = F.transform(_list(F.col("v.oper")), lambda e: e.try_cast("int"))
+    return _entries(base, "_par_float", "id", "param_pos").select(
         "doc_id",
         "obj_ord",
         "obj_id",
@@ -115,18 +173,17 @@ def read_parameters(objects: DataFrame) -> DataFrame:
         F.coalesce("v.value", F.parse_json(F.lit("0"))).alias("value"),
         F.coalesce("v.meter", blank).alias("meter"),
         F.coalesce("v.nameLua", blank).alias("nameLua"),
-        F.coalesce(_list(F.col("v.oper"), "int"), F.array().cast("array<int>")).alias("oper"),
+        F.coalesce(oper, F.array().cast("array<int>")).alias("oper"),
     )
 
 
 def read_operations(objects: DataFrame) -> DataFrame:
-    """Operations of all objects; ``_states`` stays raw JSON."""
+    """Operations of all objects; ``_states`` holds the level below."""
     base = objects.select(
         "doc_id", "obj_ord", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), "_modes"
     )
-    rows = _children(base, "_modes", _MODE_FIELDS, "mode_id", "mode_pos")
     no_props = F.create_map().cast("map<string,string>")
-    return rows.select(
+    return _entries(base, "_modes", "mode_id", "mode_pos").select(
         "doc_id",
         "obj_ord",
         "mode_pos",
@@ -135,17 +192,13 @@ def read_operations(objects: DataFrame) -> DataFrame:
         F.col("v.base_operation").alias("base_operation"),
         "obj_id",
         "obj_name",
-        F.coalesce(_map(F.col("v.props")), no_props).alias("props"),
+        F.coalesce(_text_map(F.col("v.props")), no_props).alias("props"),
         F.col("v.states").alias("_states"),
     )
 
 
-def _texts(text: Column) -> Column:
-    return F.coalesce(_list(text), F.array().cast("array<string>"))
-
-
 def read_states(operations: DataFrame) -> DataFrame:
-    """States of all operations; lists are read, the rest stays raw JSON."""
+    """States of all operations; the underscored columns hold lists and the level below."""
     base = operations.select(
         "doc_id",
         "obj_ord",
@@ -156,29 +209,56 @@ def read_states(operations: DataFrame) -> DataFrame:
         "obj_name",
         "_states",
     )
-    rows = _children(base, "_states", _STATE_FIELDS, "state_key", "state_pos")
     keep = [c for c in base.columns if c != "_states"]
-    return rows.select(
+    return _entries(base, "_states", "state_key", "state_pos").select(
         *keep,
         "state_pos",
+        "state_key",
         F.concat_ws("_", "operation_id", "state_key").alias("id"),
         F.coalesce("v.name", F.format_string(STATE_NAME, "state_key")).alias("name"),
         *[_texts(F.col(f"v.{f}")).alias(f) for f in DEVICE_LISTS],
-        F.try_parse_json("_raw").alias("state_data"),
-        *[F.col(f"v.{f}").alias(f"_{f}") for f in _STATE_FIELDS[1:]],
+        F.col("v.devices_data").alias("devices_data"),
+        F.col("v.DI_DO").alias("DI_DO"),
+        *[F.col(f"v.{f}").alias(f"_{f}") for f in DEVICE_LISTS],
+        F.col("v.steps").alias("_steps"),
+    )
+
+
+def read_state_data(config: DataFrame) -> DataFrame:
+    """Complete data of every state as a variant, by id and place, unknown fields included."""
+    outer = {"modes": {"states": "variant"}}
+    parsed = config.select("doc_id", "part", _parse(F.col("body"), outer).alias("_objects"))
+    modes = _entries(parsed, "_objects", "id", "obj_pos").select(
+        "doc_id", F.struct("part", "obj_pos").alias("obj_ord"), F.col("id").alias("obj_id"), F.col("v.modes").alias("_modes")
+    )
+    states = _entries(modes, "_modes", "mode_id", "mode_pos").select(
+        "doc_id", F.concat_ws("_", "obj_id", "mode_id").alias("operation_id"), _map(F.col("v.states")).alias("_states")
+    )
+    return (
+        states.select("doc_id", "operation_id", F.explode("_states").alias("state_key", "state_data"))
+        .where(_map(F.col("state_data")).isNotNull())
+        .select("doc_id", F.concat_ws("_", "operation_id", "state_key").alias("id"), "state_data")
     )
 
 
 def read_steps(states: DataFrame) -> DataFrame:
     """Steps of all states, numbered by their key."""
     base = states.select(
-        "doc_id", "obj_ord", "mode_pos", "state_pos", "operation_id", "operation_name", "obj_id", "obj_name",
-        F.col("id").alias("state_id"), F.col("name").alias("state_name"), "_steps",
+        "doc_id",
+        "obj_ord",
+        "mode_pos",
+        "state_pos",
+        "operation_id",
+        "operation_name",
+        "obj_id",
+        "obj_name",
+        F.col("id").alias("state_id"),
+        F.col("name").alias("state_name"),
+        "_steps",
     )
-    rows = _children(base, "_steps", _STEP_FIELDS, "step_key", "step_pos")
     keep = [c for c in base.columns if c != "_steps"]
     number = F.when(F.col("step_key").rlike("^[0-9]+$"), F.col("step_key").try_cast("bigint"))
-    return rows.select(
+    return _entries(base, "_steps", "step_key", "step_pos").select(
         *keep,
         "step_pos",
         "step_key",
@@ -190,91 +270,71 @@ def read_steps(states: DataFrame) -> DataFrame:
         F.col("v.baseStep").alias("baseStep"),
         _texts(F.col("v.opened_devices")).alias("opened_devices"),
         _texts(F.col("v.closed_devices")).alias("closed_devices"),
-        *[F.try_parse_json(f"v.{f}").alias(f) for f in ("devices_data", "DI_DO", "enable_step_by_signal", "jump_if")],
+        *[F.col(f"v.{f}").alias(f) for f in ("devices_data", "DI_DO", "enable_step_by_signal", "jump_if")],
         F.col("v.opened_devices").alias("_opened_devices"),
         F.col("v.closed_devices").alias("_closed_devices"),
     )
 
 
-def _is_text(variant: Column) -> Column:
-    return F.schema_of_variant(variant) == "STRING"
+def _is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
-def _strings(text: Column) -> Column:
-    """String elements of a JSON list as ``array<struct<pos,value>>``; other types drop out."""
-    typed = F.transform(_list(text, "variant"), lambda e: _is_text(e))
-    items = F.zip_with(_list(text), typed, lambda s, t: F.struct(s.alias("value"), t.alias("ok")))
-    placed = F.transform(items, lambda e, i: F.struct(i.alias("pos"), e["value"].alias("value"), e["ok"].alias("ok")))
-    return F.filter(placed, lambda e: F.coalesce(e["ok"], F.lit(False)))
+def _strings(elements: Column) -> Column:
+    """String elements of an array of variants with their position; other types drop out."""
+    placed = F.transform(elements, lambda e, i: F.struct(i.alias("pos"), e.alias("e")))
+    found = F.filter(placed, lambda p: _is_text(p["e"]))
+    return F.transform(found, lambda p: F.struct(p["pos"].alias("pos"), p["e"].cast("string").alias("value")))
 
 
-def _string_values(text: Column) -> Column:
-    """String values of a JSON object in document order as ``array<struct<pos,value>>``."""
-    typed = F.transform(
-        F.map_values(F.when(_is_map(text), F.from_json(text, "map<string,variant>"))), lambda e: _is_text(e)
-    )
-    items = F.zip_with(F.map_values(_map(text)), typed, lambda s, t: F.struct(s.alias("value"), t.alias("ok")))
-    placed = F.transform(items, lambda e, i: F.struct(i.alias("pos"), e["value"].alias("value"), e["ok"].alias("ok")))
-    return F.filter(placed, lambda e: F.coalesce(e["ok"], F.lit(False)))
+_MENTION = "struct<section:int,field:int,pos:int,inner:int,source:string,name:string>"
 
 
-def _mention(section, field, pos, inner, source, value) -> Column:
+def _or_none(mentions: Column) -> Column:
+    return F.coalesce(mentions, F.array().cast(f"array<{_MENTION}>"))
+
+
+def _mention(section: int, field: int, pos: Column, inner: Column, source: str, value: Column) -> Column:
     return F.struct(
         F.lit(section).alias("section"),
         F.lit(field).alias("field"),
         pos.cast("int").alias("pos"),
         inner.cast("int").alias("inner"),
-        source.alias("source"),
+        F.lit(source).alias("source"),
         value.alias("name"),
     )
 
 
 def _list_mentions(field: int, name: str) -> Column:
     """Devices in a state list: strings, and the string values of nested objects."""
-    text = F.col(f"_{name}")
+    elements = _list(F.col(f"_{name}"))
     direct = F.transform(
-        _strings(text), lambda e: _mention(0, field, e["pos"], F.lit(0), F.lit(name), e["value"])
+        _strings(elements), lambda s: _mention(0, field, s["pos"], F.lit(0), name, s["value"])
     )
-    nested = F.flatten(
-        F.transform(
-            _list(text),
-            lambda e, i: F.transform(
-                F.coalesce(_string_values(e), F.array().cast("array<struct<pos:int,value:string,ok:boolean>>")),
-                lambda s: _mention(0, field, i, s["pos"], F.lit(f"{name}_nested"), s["value"]),
-            ),
-        )
-    )
-    return F.concat(direct, nested)
+
+    def nested(e: Column, i: Column) -> Column:
+        values = _strings(F.map_values(_map(e)))
+        return _or_none(F.transform(values, lambda s: _mention(0, field, i, s["pos"], f"{name}_nested", s["value"])))
+
+    return _or_none(F.concat(direct, F.flatten(F.transform(elements, nested))))
 
 
 def _group_mentions() -> Column:
     """Devices in the ``devices`` list of every group of ``devices_data``."""
 
     def group(e: Column, i: Column) -> Column:
-        found = _strings(F.element_at(_map(e), "devices"))
-        return F.transform(
-            F.coalesce(found, F.array().cast("array<struct<pos:int,value:string,ok:boolean>>")),
-            lambda s: _mention(1, 0, i, s["pos"], F.lit("devices_data"), s["value"]),
-        )
+        found = _strings(_list(F.try_element_at(_map(e), F.lit("devices"))))
+        return _or_none(F.transform(found, lambda s: _mention(1, 0, i, s["pos"], "devices_data", s["value"])))
 
-    return F.flatten(F.transform(_list(F.col("_devices_data")), group))
+    return _or_none(F.flatten(F.transform(_list(F.col("devices_data")), group)))
 
 
 def _step_mentions(field: int, name: str) -> Column:
     """Devices in a step list; of an object the keys count, as they are what a loop visits."""
-    text = F.col(f"_{name}")
-    keys = F.transform(
-        F.map_keys(_map(text)), lambda k, i: F.struct(i.alias("pos"), k.alias("value"), F.lit(True).alias("ok"))
-    )
-    items = F.when(_is_map(text), keys).otherwise(_strings(text))
-    return F.transform(items, lambda e: _mention(2, field, e["pos"], F.lit(0), F.lit(f"step_{name}"), e["value"]))
-
-
-_NO_MENTIONS = "array<struct<section:int,field:int,pos:int,inner:int,source:string,name:string>>"
-
-
-def _or_none(mentions: Column) -> Column:
-    return F.coalesce(mentions, F.array().cast(_NO_MENTIONS))
+    v = F.col(f"_{name}")
+    keys = F.transform(F.map_keys(_map(v)), lambda k, i: F.struct(i.alias("pos"), k.alias("value")))
+    items = F.coalesce(_strings(_list(v)), keys)
+    return _or_none(F.transform(items, lambda s: _mention(2, field, s["pos"], F.lit(0), f"step_{name}", s["value"])))
 
 
 def _parent(*parts: str) -> Column:
@@ -286,22 +346,38 @@ def device_mentions(objects: DataFrame, states: DataFrame, steps: DataFrame) ->
     """Every valid device mention with its place ``ord`` in document order."""
     none = F.lit(-1)
     equipment = F.transform(
-        _string_values(F.col("_equipment")),
-        lambda e: _mention(0, 0, e["pos"], F.lit(0), F.lit("equipment"), e["value"]),
+        _strings(F.map_values(_map(F.col("_equipment")))),
+        lambda s: _mention(0, 0, s["pos"], F.lit(0), "equipment", s["value"]),
     )
     of_objects = objects.select(
-        "doc_id", "obj_ord", none.alias("mode_pos"), none.alias("state_pos"), none.alias("step_pos"),
-        F.col("id").alias("obj_id"), F.col("name").alias("parent"), F.explode(equipment).alias("m"),
+        "doc_id",
+        "obj_ord",
+        none.alias("mode_pos"),
+        none.alias("state_pos"),
+        none.alias("step_pos"),
+        F.col("id").alias("obj_id"),
+        F.col("name").alias("parent"),
+        F.explode(equipment).alias("m"),
     )
-    lists = [_or_none(_list_mentions(i, f)) for i, f in enumerate(DEVICE_LISTS)]
+    lists = [_list_mentions(i, f) for i, f in enumerate(DEVICE_LISTS)]
     of_states = states.select(
-        "doc_id", "obj_ord", "mode_pos", "state_pos", none.alias("step_pos"), "obj_id",
+        "doc_id",
+        "obj_ord",
+        "mode_pos",
+        "state_pos",
+        none.alias("step_pos"),
+        "obj_id",
         _parent("obj_name", "operation_name").alias("parent"),
-        F.explode(F.concat(*lists, _or_none(_group_mentions()))).alias("m"),
+        F.explode(F.concat(*lists, _group_mentions())).alias("m"),
     )
-    both = [_or_none(_step_mentions(i, f)) for i, f in enumerate(DEVICE_LISTS[:2])]
+    both = [_step_mentions(i, f) for i, f in enumerate(DEVICE_LISTS[:2])]
     of_steps = steps.select(
-        "doc_id", "obj_ord", "mode_pos", "state_pos", "step_pos", "obj_id",
+        "doc_id",
+        "obj_ord",
+        "mode_pos",
+        "state_pos",
+        "step_pos",
+        "obj_id",
         _parent("obj_name", "operation_name", "step_key").alias("parent"),
         F.explode(F.concat(*both)).alias("m"),
     )
@@ -310,7 +386,14 @@ def device_mentions(objects: DataFrame, states: DataFrame, steps: DataFrame) ->
         of_objects.unionByName(of_states)
         .unionByName(of_steps)
         .where(names.is_device_name(F.col("m.name")))
-        .select("doc_id", place.alias("ord"), F.col("m.name").alias("name"), F.col("m.source").alias("source"), "parent", "obj_id")
+        .select(
+            "doc_id",
+            place.alias("ord"),
+            F.col("m.name").alias("name"),
+            F.col("m.source").alias("source"),
+            "parent",
+            "obj_id",
+        )
     )
 
 
@@ -325,18 +408,22 @@ def first_mentions(mentions: DataFrame) -> DataFrame:
 
 def read_signals(states: DataFrame) -> DataFrame:
     """Signals: strings of the first list of every DI_DO group, first mention per name and type."""
+    none = F.array().cast("array<struct<grp:int,pos:int,name:string>>")
 
     def group(e: Column, i: Column) -> Column:
-        inner = _strings(F.get(_list(e), 0))
-        return F.transform(
-            F.coalesce(inner, F.array().cast("array<struct<pos:int,value:string,ok:boolean>>")),
-            lambda s: F.struct(i.alias("grp"), s["pos"].alias("pos"), s["value"].alias("name")),
+        inner = _strings(_list(F.get(_list(e), 0)))
+        found = F.transform(
+            inner, lambda s: F.struct(i.alias("grp"), s["pos"].alias("pos"), s["value"].alias("name"))
         )
+        return F.coalesce(found, none)
 
-    found = F.flatten(F.transform(_list(F.col("_DI_DO")), group))
     rows = states.select(
-        "doc_id", "obj_ord", "mode_pos", "state_pos",
-        _parent("obj_name", "operation_name").alias("parent"), F.explode(found).alias("s"),
+        "doc_id",
+        "obj_ord",
+        "mode_pos",
+        "state_pos",
+        _parent("obj_name", "operation_name").alias("parent"),
+        F.explode(F.flatten(F.transform(_list(F.col("DI_DO")), group))).alias("s"),
     ).where(names.is_device_name(F.col("s.name")))
     place = F.struct("obj_ord", "mode_pos", "state_pos", "s.grp", "s.pos")
     return rows.groupBy("doc_id", F.col("s.name").alias("name"), F.lit("DI_DO").alias("type")).agg(
@@ -347,15 +434,19 @@ def read_signals(states: DataFrame) -> DataFrame:
 class ConfigTables:
     """The seven tables of a configuration corpus, each planned when first asked for.
 
-    Columns that start with an underscore hold raw JSON for the levels below.
+    Columns that start with an underscore hold lists and levels below. With ``write_once``
+    the parsed objects are written to the checkpoint folder, which pays off when several
+    tables are asked for.
     """
 
-    def __init__(self, config: DataFrame) -> None:
+    def __init__(self, config: DataFrame, write_once: bool = False) -> None:
         self._config = config
+        self._write_once = write_once
 
     @cached_property
     def tech_objects(self) -> DataFrame:
-        return read_objects(self._config)
+        objects = read_objects(self._config)
+        return cut_lineage(objects) if self._write_once else objects
 
     @cached_property
     def parameters(self) -> DataFrame:
@@ -387,9 +478,9 @@ class ConfigTables:
         return {n: df.drop(*[c for c in df.columns if c.startswith("_")]) for n, df in named.items()}
 
 
-def flatten_config(config: DataFrame) -> ConfigTables:
+def flatten_config(config: DataFrame, write_once: bool = False) -> ConfigTables:
     """Tables of a configuration corpus."""
-    return ConfigTables(config)
+    return ConfigTables(config, write_once)
 
 
 def operations_of_objects(operations: DataFrame, objects: DataFrame) -> DataFrame:

@@ -67,10 +67,10 @@ def tile_labels(boxes: DataFrame, images: DataFrame, cover_edges: bool = False)
             (F.col(lo) < F.col(hi)) & (last >= first), F.sequence(first.cast("int"), last.cast("int"))
         ).otherwise(F.array().cast("array<int>"))
 
-    def local(lo: str, hi: str, start: str, out: str) -> dict[str, Column]:
+    def local(lo: str, hi: str, start: str, centre: str, size: str) -> dict[str, Column]:
         a = F.greatest(F.col(lo), F.col(start)) - F.col(start)
         b = F.least(F.col(hi), F.col(start) + TILE) - F.col(start)
-        return {f"c{out}": (a + b) / 2 / TILE, f"b{out}": (b - a) / TILE}
+        return {centre: (a + b) / 2 / TILE, size: (b - a) / TILE}
 
     sized = images.select("image_id", "width", "height")
     cut = (
@@ -86,7 +86,8 @@ def tile_labels(boxes: DataFrame, images: DataFrame, cover_edges: bool = False)
         "cls",
         "tile_x",
         "tile_y",
-        *[c.alias(n) for n, c in {**local("xmin", "xmax", "tile_x", "x"), **local("ymin", "ymax", "tile_y", "y")}.items()],
+        *[c.alias(n) for n, c in local("xmin", "xmax", "tile_x", "cx", "bw").items()],
+        *[c.alias(n) for n, c in local("ymin", "ymax", "tile_y", "cy", "bh").items()],
     )
 
 

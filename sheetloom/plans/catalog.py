@@ -223,11 +223,16 @@ def config_operations(spark, sf_dir):
 @query
 def config_states(spark, sf_dir):
     return _tables(spark, sf_dir).states.select(
-        "doc_id", "id", "name", "operation_id", "operation_name", "obj_id",
-        F.try_variant_get("state_data", "$.checked_devices[0]", "string").alias("first_checked"),
+        "doc_id", "id", "name", "operation_id", "operation_name", "obj_id", F.get("checked_devices", 0).alias("first_checked")
     )
 
 
+@query
+def config_state_data(spark, sf_dir):
+    rows = config.read_state_data(views.config(spark, sf_dir))
+    return rows.select("doc_id", "id", F.try_variant_get("state_data", "$.DI_DO[0][0][0]", "string").alias("first_signal"))
+
+
 @query
 def config_steps(spark, sf_dir):
     return _tables(spark, sf_dir).steps.select(
@@ -536,7 +541,7 @@ def tile_numbers(spark, sf_dir):
 @query
 def label_lines(spark, sf_dir):
     labels = tiles.numbered_labels(tiles.tile_labels(views.boxes(spark, sf_dir), views.images(spark, sf_dir)))
-    line = tiles.label_line(F.col("cls"), *[F.col(c) for c in ("cx", "cy", "bx", "by")])
+    line = tiles.label_line(F.col("cls"), *[F.col(c) for c in ("cx", "cy", "bw", "bh")])
     return labels.select("tile_name", "box_id", line.alias("line"))
 
 

@@ -190,7 +190,7 @@ def label_rows(numbered: DataFrame, subsets: DataFrame) -> DataFrame:
         "subset",
         "tile_name",
         "box_id",
-        label_line(F.col("cls"), *[F.col(c) for c in ("cx", "cy", "bx", "by")]).alias("line"),
+        label_line(F.col("cls"), *[F.col(c) for c in ("cx", "cy", "bw", "bh")]).alias("line"),
     )
 
 
