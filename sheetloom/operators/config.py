@@ -107,9 +107,13 @@ def _parse(text: Column, level: dict) -> Column:
 
 
 def _entries(df: DataFrame, source: str, key: str, pos: str) -> DataFrame:
-    """One row per entry of the map ``source``; its fields arrive in ``v``."""
+    """One row per entry of the map ``source``; its fields arrive in ``v``.
+
+    The outer form keeps Spark from testing the size of the map first, which would parse
+    the text once more.
+    """
     rest = [c for c in df.columns if c != source]
-    return df.select(*rest, F.posexplode(source).alias(pos, key, "v")).where(F.col("v").isNotNull())
+    return df.select(*rest, F.posexplode_outer(source).alias(pos, key, "v")).where(F.col("v").isNotNull())
 
 
 def _number(text: Column, default: int | None = None) -> Column:

@@ -183,14 +183,15 @@ _OBJECT = (
     "concat('{\"', o_orderkey, '\":{\"n\":', o_orderkey, ',\"tech_type\":', o_orderkey % 5, ',\"name\":\"Obj ', o_custkey,"
     " '\",\"name_eplan\":\"TANK', o_custkey % 30, '\",\"name_BC\":\"', o_orderpriority, '\",\"base_tech_object\":\"', o_orderstatus,"
     " '\",\"par_float\":{\"1\":{\"name\":\"Volume\",\"value\":', cast(o_totalprice as decimal(18,2)),"
-    " ',\"meter\":\"l\",\"nameLua\":\"V_1\",\"oper\":[1,', o_orderkey % 7, ']},\"2\":{\"value\":', o_custkey, '},\"3\":0},',"
+    " ',\"meter\":\"l\",\"nameLua\":\"V_1\",\"oper\":[1,', o_orderkey % 7, ']},\"2\":{\"value\":', o_custkey, '}',"
+    " if(o_orderpriority = '1-URGENT', ',\"3\":0},', '},'),"
     " '\"equipment\":{\"lt\":\"D', o_custkey % 100, 'LT9\",\"none\":\"Нет\",\"x\":4},\"properties\":{\"p\":\"', o_orderstatus, '\"},\"modes\":{',"
-    " array_join(transform(sequence(1, 1 + cast(o_orderkey % 3 as int)), m -> " + _MODE + "), ','), '}},\"skip', o_orderkey, '\":1}')"
+    " array_join(transform(sequence(1, 1 + cast(o_orderkey % 3 as int)), m -> " + _MODE + "), ','), '}}', if(o_orderpriority = '1-URGENT', concat(',\"skip', o_orderkey, '\":1}'), '}'))"
 )
 
 
 def config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One configuration text per order, each holding an object and an entry to skip."""
+    """One configuration text per order with one object; urgent orders add entries to skip."""
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey % 50 as doc_id", "o_orderkey as part", f"{_OBJECT} as body")
 
 
