@@ -183,7 +183,7 @@ SELECT doc_id, seg_id, dashed, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) A
 ORACLE["vertex_degrees"] = f"WITH {SEGMENTS}, {_ENDS} SELECT doc_id, degree, count(*) AS vertices FROM degree GROUP BY ALL"
 
 ORACLE["dash_patterns"] = f"""WITH {SEGMENTS}
-SELECT CASE WHEN dashed THEN '[3 3] 0' ELSE '[] 0' END AS dashes, count_if(dashed) AS dashed, count(*) AS items FROM segments GROUP BY ALL"""
+SELECT CASE WHEN dashed THEN '[3 3] 0' ELSE '[] 0' END AS dashes, CAST(count_if(dashed) AS BIGINT) AS dashed, count(*) AS items FROM segments GROUP BY ALL"""
 
 OBJECTS = """objects AS (
   SELECT c_custkey % 50 AS doc_id, c_custkey AS obj_ord,
@@ -377,7 +377,7 @@ ORACLE["event_nodes"] = f"""SELECT CAST(event_id AS VARCHAR) AS path, ord, CAST(
 FROM events, (VALUES (0), (1)) n(ord) WHERE {_GOOD}"""
 ORACLE["config_rejects"] = """SELECT CAST(event_id AS VARCHAR) AS path, CASE event_type WHEN 'error' THEN 'no nodes' ELSE 'not a JSON object' END AS reason
 FROM events WHERE event_type IN ('error', 'view')"""
-ORACLE["file_statistics"] = f"""SELECT count_if({_GOOD}) AS files_ok, count(*) AS files, CAST(2 * count_if({_GOOD}) AS BIGINT) AS nodes, count_if({_GOOD}) AS devices FROM events"""
+ORACLE["file_statistics"] = f"""SELECT CAST(count_if({_GOOD}) AS BIGINT) AS files_ok, count(*) AS files, CAST(2 * count_if({_GOOD}) AS BIGINT) AS nodes, CAST(count_if({_GOOD}) AS BIGINT) AS devices FROM events"""
 
 ORACLE["encoding_census"] = """SELECT doc_id, CASE WHEN lang = 'de' THEN 'latin-1'
   WHEN lang = 'fr' AND regexp_matches(regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g'), '[^\\x00-\\x7f]') THEN 'cp1251' ELSE 'utf-8' END AS encoding,
@@ -492,8 +492,8 @@ hits AS (SELECT DISTINCT p.prim_id FROM probes p JOIN spots f ON f.doc_id = p.do
 classified AS (SELECT p.*, CASE WHEN kind = 'qu' THEN 'other' WHEN h.prim_id IS NULL THEN 'pipe' ELSE 'device' END AS class
   FROM prims p LEFT JOIN hits h USING (prim_id))"""
 ORACLE["primitive_classes"] = f"WITH {DETECTED}, {PRIMS} SELECT doc_id, prim_id, kind, class, stroke FROM classified"
-ORACLE["class_counts"] = f"""WITH {DETECTED}, {PRIMS} SELECT doc_id, count_if(class = 'device') AS devices, count_if(class = 'pipe') AS pipes,
-  count_if(class = 'other') AS others FROM classified GROUP BY ALL"""
+ORACLE["class_counts"] = f"""WITH {DETECTED}, {PRIMS} SELECT doc_id, CAST(count_if(class = 'device') AS BIGINT) AS devices, CAST(count_if(class = 'pipe') AS BIGINT) AS pipes,
+  CAST(count_if(class = 'other') AS BIGINT) AS others FROM classified GROUP BY ALL"""
 ORACLE["text_classes"] = f"""WITH {DETECTED}, {PRIMS}
 SELECT doc_id, prim_id AS text_id, CASE WHEN EXISTS (SELECT 1 FROM spots f WHERE f.doc_id = p.doc_id AND x BETWEEN x1 - 5 AND x2 + 5 AND y BETWEEN y1 - 5 AND y2 + 5)
   THEN 'device' ELSE 'pipe' END AS class FROM prims p"""
