@@ -137,8 +137,9 @@ def _spur_edges(edges: DataFrame, degrees: DataFrame, keys: Sequence[str]) -> Da
     tips = degrees.where("degree = 1").select(*keys, F.col("first").alias("at"))
     dead = cut_lineage(tips)
     ways = cut_lineage(_successors(degrees, keys))
+    before = ways.count()
     for _ in range(_MAX_ROUNDS):
-        if ways.isEmpty():
+        if before == 0:
             break
         reach = ways.join(dead.select(*keys, F.col("at").alias("next")), [*keys, "next"], "left_semi")
         dead = cut_lineage(dead.union(reach.select(*keys, "at")).distinct())
@@ -146,6 +147,10 @@ def _spur_edges(edges: DataFrame, degrees: DataFrame, keys: Sequence[str]) -> Da
         ways = cut_lineage(
             ways.join(ahead, [*keys, "next"]).select(*keys, "at", F.col("_far").alias("next"))
         )
+        left = ways.count()
+        if left == before:  # only rings of one or two segments are left; no tip is ahead
+            break
+        before = left
     else:
         raise RuntimeError("spur search did not settle")
     return dead.select(*keys, F.shiftright("at", 1).alias("seg_id")).distinct()
