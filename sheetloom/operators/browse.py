@@ -234,11 +234,16 @@ def objects_nested(matches: DataFrame, chunk: int = CHUNK) -> DataFrame:
     order = [c for c in ("contour_id", "text_id") if c in rest]
     device = F.struct(*order, *[c for c in rest if c not in order])
     place = F.pmod(F.xxhash64(*order), F.col("parts").cast("bigint")).cast("int")
+
+    def by_order(a: Column, b: Column) -> Column:
+        left, right = (F.struct(*[v[c] for c in order]) for v in (a, b))
+        return F.when(left < right, -1).when(left > right, 1).otherwise(0)
+
     return (
         matches.join(parts, own)
         .withColumn("part", place)
         .groupBy(*own, "part", "parts", "total")
-        .agg(F.array_sort(F.collect_list(device)).alias("devices"))
+        .agg(F.array_sort(F.collect_list(device), by_order).alias("devices"))
     )
 
 

@@ -139,7 +139,7 @@ def contour_view_rows(contours: DataFrame) -> DataFrame:
     return contour_sizes(contours).select(
         "doc_id",
         F.col("name").alias("_name"),
-        "_tech_object" if "_tech_object" in contours.columns else F.col("tech_object").alias("_tech_object"),
+        F.col("tech_object").alias("_tech_object"),
         _joined("min_x", "min_y", "max_x", "max_y").alias("_bounds"),
         _joined("cx", "cy").alias("_center"),
         float_text(F.col("width")).alias("_width"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.functions import names, shapes
 from sheetloom.functions.numbers import number_or, to_number
 from sheetloom.operators.matching import DEVICE_FIELDS, open_attributes
+from sheetloom.sources.config_files import read_text_files
 
 _STEM = r"([^/]+?)(\.[^./]*)?$"
 
@@ -59,19 +60,17 @@ DEVICE_ATTRIBUTES = ("lua_name", "pdf_name", "x", "y", "confidence", *DEVICE_FIE
 
 
 def _objects(spark: SparkSession, path: str) -> DataFrame:
-    """Object elements; devices arrive as maps, so that open attributes can be read."""
+    """Object elements with their contour."""
     rows = (
         spark.read.format("xml")
         .option("rowTag", "TechnologicalObject")
-        .schema("_name string, Contour struct<_bounds:string,_center:string,_VALUE:string>,"
-            " Devices struct<Device:array<map<string,string>>>")
+        .schema("_name string, Contour struct<_bounds:string,_center:string,_VALUE:string>")
         .load(path)
     )
     return rows.where(F.coalesce("_name", F.lit("")) != "").select(
         F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).alias("doc_id"),
         F.col("_name").alias("tech_object"),
         "Contour",
-        "Devices",
     )
 
 
@@ -94,11 +93,40 @@ def read_matched_contours(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _unescape(v: Column) -> Column:
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&amp;", "&")):
+        v = F.replace(v, F.lit(mark), F.lit(char))
+    return v
+
+
+def _attributes(tag: Column) -> Column:
+    """Attributes of one start tag as a map."""
+    pair = r"""([\w:.\-]+)\s*=\s*("[^"]*"|'[^']*')"""
+
+    def entry(p: Column) -> Column:
+        quoted = F.regexp_extract(p, pair, 2)
+        return F.struct(
+            F.regexp_extract(p, pair, 1).alias("k"), _unescape(F.substr(quoted, F.lit(2), F.length(quoted) - 2)).alias("v")
+        )
+
+    return F.map_from_entries(F.transform(F.regexp_extract_all(tag, F.lit(pair), F.lit(0)), entry))
+
+
 def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
     """Devices of matched-device files; a device with unreadable numbers is skipped."""
-    # Attribute keys arrive with the prefix of the XML source.
-    plain = F.transform_keys("_e", lambda k, v: F.regexp_replace(k, "^_", ""))
-    rows = _objects(spark, path).select("doc_id", "tech_object", F.posexplode("Devices.Device").alias("ord", "_e"))
+    # The XML source drops the open attributes of empty elements, so tags are read as text.
+    tag = r"""(?s)<{}\b(?:"[^"]*"|'[^']*'|[^>"'])*>""".format
+    objects = F.regexp_extract_all("body", F.lit(tag("TechnologicalObject") + ".*?</TechnologicalObject>"), F.lit(0))
+    rows = (
+        read_text_files(spark, path, "*.xml")
+        .select("doc_id", F.explode(objects).alias("_o"))
+        .select(
+            "doc_id",
+            F.try_element_at(_attributes(F.regexp_extract("_o", tag("TechnologicalObject"), 0)), F.lit("name")).alias("tech_object"),
+            F.posexplode(F.regexp_extract_all("_o", F.lit(tag("Device")), F.lit(0))).alias("ord", "_e"),
+        )
+        .where(F.coalesce("tech_object", F.lit("")) != "")
+    )
 
     def text(name: str):
         return F.coalesce(F.try_element_at("_a", F.lit(name)), F.lit(""))
@@ -108,7 +136,7 @@ def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
         return F.when(value.isNull(), F.lit(0.0)).otherwise(to_number(value))
 
     return (
-        rows.withColumn("_a", plain)
+        rows.withColumn("_a", _attributes(F.col("_e")))
         .select(
             "doc_id",
             "tech_object",
