@@ -193,8 +193,9 @@ def contour_sizes(spark, sf_dir):
 # Configurations
 
 
-def _tables(spark, sf_dir) -> config.ConfigTables:
-    return config.flatten_config(views.config(spark, sf_dir))
+def _tables(spark, sf_dir, write_once=False) -> config.ConfigTables:
+    """Configuration tables; ``write_once`` where a query reads several of them."""
+    return config.flatten_config(views.config(spark, sf_dir), write_once)
 
 
 @query
@@ -244,7 +245,7 @@ def config_steps(spark, sf_dir):
 
 @query
 def config_devices_first_seen(spark, sf_dir):
-    return _tables(spark, sf_dir).devices
+    return _tables(spark, sf_dir, write_once=True).devices
 
 
 @query
@@ -276,13 +277,13 @@ def orphan_states(spark, sf_dir):
 
 @query
 def device_usage(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, write_once=True)
     return browse.device_usage(t.states, t.steps)
 
 
 @query
 def device_operation_use(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, write_once=True)
     return browse.operations_of_matches(t.devices.select("doc_id", F.col("name").alias("lua_name")), t.states, t.steps)
 
 
@@ -310,7 +311,7 @@ def list_heads(spark, sf_dir):
 
 @query
 def hierarchy_counts(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, write_once=True)
     return browse.hierarchy_counts(t.operations, t.states, t.steps)
 
 
@@ -321,7 +322,7 @@ def operation_totals(spark, sf_dir):
 
 @query
 def entity_summary(spark, sf_dir):
-    t = _tables(spark, sf_dir)
+    t = _tables(spark, sf_dir, write_once=True)
     doc = F.col("doc_id")
     place = ["obj_ord", "mode_pos", "state_pos", "step_pos"]
     return browse.entity_summary(
