@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Old iteration rounds are dropped from the checkpoint folder once unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # windows-1251 is outside the default charset list of decode().
-    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

@@ -10,6 +10,11 @@ from sheetloom.operators.matching import DEVICE_FIELDS
 _STEM = r"([^/]+?)(\.[^./]*)?$"
 
 
+# Bytes above ASCII that windows-1251 defines. Spark decodes ISO-8859-1 without extra settings,
+# and the two encodings differ in these characters only.
+_HIGH = bytes(b for b in range(0x80, 0x100) if b != 0x98)
+
+
 def decode_text(content: Column) -> tuple[Column, Column]:
     """(text, encoding) of bytes: UTF-8, else windows-1251, else ISO-8859-1.
 
@@ -20,7 +25,7 @@ def decode_text(content: Column) -> tuple[Column, Column]:
     is_1251 = ~F.contains(content, F.lit(bytes([0x98])))
     text = (
         F.when(is_utf8, F.decode(content, "UTF-8"))
-        .when(is_1251, F.decode(content, "windows-1251"))
+        .when(is_1251, F.translate(F.decode(content, "ISO-8859-1"), _HIGH.decode("latin-1"), _HIGH.decode("cp1251")))
         .otherwise(F.decode(content, "ISO-8859-1"))
     )
     encoding = F.when(is_utf8, "utf-8").when(is_1251, "cp1251").otherwise("latin-1")
