@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, mixture, sharding
+from sheetloom.llm import bloom_dedup, mixture, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         mixture.op2_budget_mix,
         sharding.op3_rendezvous_shards,
+        simhash.op4_simhash_ball,
+        toxicity.op5_toxic_segments,
         bloom_dedup.op10_bloom_dedup,
     )
 }
