@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, mixture, sharding, simhash, toxicity
+from sheetloom.llm import bloom_dedup, bpe, mixture, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         sharding.op3_rendezvous_shards,
         simhash.op4_simhash_ball,
         toxicity.op5_toxic_segments,
+        bpe.op7_prefix_bpe,
         bloom_dedup.op10_bloom_dedup,
     )
 }

@@ -23,7 +23,11 @@ from sheetloom.llm.shared import table, written
 #: Bound of the labelled rows of each class that the model is fitted on.
 SAMPLE_PER_CLASS = 8_000
 PRIOR = 50.0
-MIN_Z = 3.0
+#: Clear evidence: standard errors above zero, and log-odds left after two of them.
+MIN_Z = 3.5
+MIN_LOW = 0.7
+#: Documents that must hold a feature before it decides over a token.
+MIN_DOCS = 5
 DRIFT = 0.15
 MAX_E = 0.01
 PREFIXES = (4, 5, 6)
@@ -37,8 +41,8 @@ def tokens(text: str) -> list[str]:
 
 
 def token_features(token: str) -> list[str]:
-    """The token itself and its first letters, so that unseen forms of a known stem are known."""
-    return [token] + [token[:n] + "^" for n in PREFIXES if len(token) > n]
+    """The token itself and its first letters, longest first, so that unseen forms of a known stem are known."""
+    return [token] + [token[:n] + "^" for n in reversed(PREFIXES) if len(token) > n]
 
 
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
@@ -68,19 +72,21 @@ def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
 class Model:
     """Feature scores and the constants of the extreme-value law and of the logistic function."""
 
-    features: dict[str, tuple[float, float]] = field(default_factory=dict)
+    features: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
     log_k: float = 0.0
     weights: tuple[float, float, float] = (-2.0, 0.0, 0.0)
 
     def token_scores(self) -> dict[str, float]:
-        """A growing table of token scores; it is emptied when it holds very many."""
+        """A growing table of token scores; it is emptied when it holds very many.
+
+        The most specific feature that was seen often enough decides.
+        """
         features = self.features
 
         class Known(dict):
             def __missing__(self, token: str) -> float:
-                hits = [features[f] for f in token_features(token) if f in features]
-                score = max(hits, key=lambda h: abs(h[1]))[0] if hits else -DRIFT
+                score = next((features[f] for f in token_features(token) if f in features), -DRIFT)
                 if len(self) >= _KNOWN_TOKENS:
                     self.clear()
                 self[token] = score
@@ -106,10 +112,10 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(at, -30.0, 30.0))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.01) -> np.ndarray:
-    """Weights of a logistic regression with equal class weight, by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, share1: float, shrink: float = 0.01) -> np.ndarray:
+    """Weights of a logistic regression where class 1 has the share ``share1``, by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    share = np.where(y == 1, share1 / max(1, y.sum()), (1 - share1) / max(1, (1 - y).sum())) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -126,14 +132,14 @@ def remainder(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``text, toxic`` of at most ``per_class`` labelled documents of each class outside the held-out fifth.
-
-    Rows are chosen by a hash of the id. Of several labels of a document the largest counts;
-    null labels and ids do not count.
-    """
+def labelled(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic`` outside the held-out fifth; the largest of several labels counts, nulls do not."""
     given = labels.where((F.col("toxic").isNotNull()) & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0))
-    given = given.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    return given.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def labelled_sample(docs: DataFrame, given: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """``text, toxic`` of at most ``per_class`` documents of each class of ``labelled``, chosen by a hash of the id."""
     by_class = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = written(by_class[0].unionByName(by_class[1]))
     # At most 2 * per_class rows of two numbers.
@@ -159,29 +165,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 rows.append((least >> 1, int(toxic), len(words), least % 4 == 0, list({f for w in set(words) for f in token_features(w)}), words if least % 4 == 0 else []))
             yield pd.DataFrame(rows, columns=["mark", "toxic", "n", "late", "features", "words"])
 
-    sample = labelled_sample(docs, labels, per_class).mapInPandas(
+    given = labelled(labels)
+    share = given.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).first()
+    rate = ((share["n1"] or 0) + 0.5) / (share["n"] + 2.0)
+    prior_only = (float(np.log(rate / (1 - rate))), 0.0, 0.0)
+    sample = labelled_sample(docs, given, per_class).mapInPandas(
         describe, "mark bigint, toxic int, n bigint, late boolean, features array<string>, words array<string>"
     )
     sample = written(sample.dropDuplicates(["mark"]))
     early = sample.where("NOT late")
     sizes = {r["toxic"]: (r["docs"], r["tokens"]) for r in early.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()}
     n1, n0, clean_tokens = sizes.get(1, (0, 0))[0], *sizes.get(0, (0, 0))
-    total = sample.count()
     if not n1 or not n0:
-        return Model(weights=(float(np.log((n1 + 0.5) / (total - n1 + 1.5))), 0.0, 0.0))
+        return Model(weights=prior_only)
     counts = early.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("y1"), F.count(F.lit(1)).alias("y"))
     prior = F.lit(PRIOR) * F.col("y") / F.lit(n0 + n1)
     y0 = F.col("y") - F.col("y1")
     log_odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
     scored = counts.where("y > 2").withColumn("delta", log_odds(F.col("y1"), n1) - log_odds(y0, n0))
-    scored = scored.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (y0 + prior)))
-    # The features of a bounded sample, and of these the few with clear evidence.
-    clear = scored.where(F.col("z") >= MIN_Z).select("feature", "delta", "z", y0.alias("y0")).collect()
-    model = Model({r["feature"]: (float(r["delta"]), float(r["z"])) for r in clear})
+    error = F.sqrt(1 / (F.col("y1") + prior) + 1 / (y0 + prior))
+    scored = scored.withColumn("low", F.col("delta") - 2 * error).withColumn("clear", (F.col("delta") >= MIN_Z * error) & (F.col("low") >= MIN_LOW))
+    scored = written(scored.select("feature", "low", "clear", y0.alias("y0"), "y", F.substring(F.rtrim(F.col("feature"), F.lit("^")), 1, PREFIXES[0]).alias("stem")))
+    # Features of a bounded sample: the clear ones, and the others of their stems, which decide that a token is none.
+    clear = scored.where("clear").collect()
     if not clear:
-        model.weights = (float(np.log((n1 + 0.5) / (total - n1 + 1.5))), 0.0, 0.0)
-        return model
-    delta = np.array([r["delta"] for r in clear])
+        return Model(weights=prior_only)
+    stems = scored.where("clear").select("stem").distinct()
+    others = scored.where(~F.col("clear") & (F.col("y") >= MIN_DOCS)).join(stems, "stem", "left_semi").select("feature").collect()
+    model = Model({r["feature"]: -DRIFT for r in others} | {r["feature"]: float(r["low"]) for r in clear})
+    delta = np.array([r["low"] for r in clear])
     chance = (np.array([r["y0"] for r in clear]) + 0.5) / (clean_tokens + 1.0)
     none = max(1e-9, 1.0 - chance.sum())
     low, high = 1e-6, 200.0 / float(delta.max())
@@ -211,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     ]
     y = seen["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        model.weights = tuple(_logistic(np.array(evidence), y).tolist())
+        model.weights = tuple(_logistic(np.array(evidence), y, rate).tolist())
     else:
-        model.weights = (0.0, 1.0, 0.0)
+        model.weights = prior_only
     return model
 
 
