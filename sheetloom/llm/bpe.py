@@ -32,7 +32,7 @@ _LATIN_PIECE = re.compile(
     rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
 #: Entries of the tables of pieces and of pairs; a full table is emptied.
-_PIECES = 500_000
+_PIECES = 300_000
 _PAIRS = 500_000
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, bpe, mixture, sharding, simhash, toxicity
+from sheetloom.llm import bloom_dedup, bpe, context_tree, host_trust, mixture, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,9 +11,12 @@ QUERIES = {
         sharding.op3_rendezvous_shards,
         simhash.op4_simhash_ball,
         toxicity.op5_toxic_segments,
+        context_tree.op6_context_tree,
         bpe.op7_prefix_bpe,
+        secret_scan.op8_entropy_secrets,
+        host_trust.op9_host_trust,
         bloom_dedup.op10_bloom_dedup,
     )
 }
 
-SQL = {"op10_bloom_dedup": bloom_dedup.OP10_SQL}
+SQL = {"op9_host_trust": host_trust.OP9_SQL, "op10_bloom_dedup": bloom_dedup.OP10_SQL}
