@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, bpe, context_tree, host_trust, mixture, secret_scan, sharding, simhash, toxicity
+from sheetloom.llm import bloom_dedup, bpe, context_tree, gif, host_trust, mixture, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        gif.op1_gif_media,
         mixture.op2_budget_mix,
         sharding.op3_rendezvous_shards,
         simhash.op4_simhash_ball,
