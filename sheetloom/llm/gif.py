@@ -11,6 +11,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,42 +30,81 @@ KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
+@lru_cache
 def _widths(bits: int, count: int) -> np.ndarray:
     """Bits of the codes that follow a clear code; the table grows from the second code on."""
     entries = (1 << bits) + 2 + np.maximum(np.arange(count) - 1, 0)
     return np.minimum(12, np.floor(np.log2(entries)).astype(np.int64) + 1)
 
 
+@lru_cache
+def _offsets(bits: int) -> np.ndarray:
+    """Where the codes that follow a clear code begin, in bits."""
+    return np.concatenate(([0], np.cumsum(_widths(bits, MAX_CODES))))
+
+
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     """Code stream of samples below ``2 ** bits``; a full table is followed by a clear code."""
     clear = 1 << bits
-    codes, free = [clear], clear + 2
+    # Codes are kept eight bits higher, so that the next sample can be put below them.
+    codes, free = [clear << 8], (clear + 2) << 8
     if samples:
         known: dict[int, int] = {}
         find, put = known.get, codes.append
-        prefix = samples[0]
+        prefix = samples[0] << 8
         for sample in samples[1:]:
-            key = prefix << 8 | sample
-            code = find(key)
+            code = find(prefix | sample)
             if code is not None:
                 prefix = code
                 continue
             put(prefix)
-            known[key] = free
-            free += 1
-            prefix = sample
-            if free == MAX_CODES:
-                put(clear)
+            known[prefix | sample] = free
+            free += 256
+            prefix = sample << 8
+            if free == MAX_CODES << 8:
+                put(clear << 8)
                 known.clear()
-                free = clear + 2
+                free = (clear + 2) << 8
         put(prefix)
-    codes.append(clear + 1)
+    codes.append((clear + 1) << 8)
     # After the first clear code, a clear code follows each time the table is full.
     period = _widths(bits, MAX_CODES - clear - 1)
-    width = np.concatenate(([bits + 1], np.resize(period, len(codes) - 1)))
-    places = np.arange(12)
-    flags = (np.array(codes)[:, None] >> places & 1).astype(np.uint8)
-    return np.packbits(flags[places < width[:, None]], bitorder="little").tobytes()
+    at = np.zeros(len(codes) + 1, np.int64)
+    at[1] = bits + 1
+    at[2:] = np.resize(period, len(codes) - 1)
+    np.cumsum(at, out=at)
+    # Codes do not overlap, so the sums of their bits by byte put them together.
+    shifted, byte, size = (np.array(codes, np.int64) >> 8) << (at[:-1] & 7), at[:-1] >> 3, int(at[-1] >> 3) + 3
+    packed = sum(np.bincount(byte + i, shifted >> (8 * i) & 255, size) for i in range(3))
+    return packed.astype(np.uint8)[: int(at[-1] + 7) >> 3].tobytes()
+
+
+def _expand(codes: list[int], table: list[bytes], parts: list[bytes]) -> bool:
+    """Append the strings of codes to ``parts`` and what they teach to ``table``; true if a code cannot be known.
+
+    A table that is not full is a fresh one. It gets an entry with each code but the first.
+    """
+    if not codes:
+        return False
+    put, grow, room = parts.append, table.append, MAX_CODES - len(table)
+    if room:
+        if codes[0] >= len(table):
+            return True
+        prev = table[codes[0]]
+        put(prev)
+        for code in codes[1 : room + 1]:
+            try:
+                entry = table[code]
+            except IndexError:
+                if code != len(table):
+                    return True
+                entry = prev + prev[:1]
+            put(entry)
+            grow(prev + entry[:1])
+            prev = entry
+        codes = codes[room + 1 :]
+    parts.extend([table[code] for code in codes])
+    return False
 
 
 def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
@@ -73,11 +113,9 @@ def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     total = len(stream) * 8
     single = [bytes([i]) for i in range(clear)] + [b"", b""]
-    width = _widths(bits, MAX_CODES)
-    offset = np.concatenate(([0], np.cumsum(width)))
+    width, offset = _widths(bits, MAX_CODES), _offsets(bits)
     parts, size, at = [], 0, 0
-    fresh = True
-    table, prev = single[:], b""
+    fresh, table = True, single[:]
     while size < count:
         # All codes up to the next clear code have known widths, so they are read at once.
         span = offset[:-1] if fresh else np.arange(MAX_CODES) * 12
@@ -90,24 +128,17 @@ def lzw_decode(stream: bytes, bits: int, count: int) -> bytes:
         codes = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (where & 7) & ((1 << wide[:fits]) - 1)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         used = int(stop[0]) if stop.size else fits
-        for code in codes[:used].tolist():
-            known = len(table)
-            if code < known:
-                entry = table[code]
-            elif code == known and prev and known < MAX_CODES:
-                entry = prev + prev[:1]
-            else:
-                return b"".join(parts)[:count]
-            parts.append(entry)
-            size += len(entry)
-            if prev and known < MAX_CODES:
-                table.append(prev + entry[:1])
-            prev = entry
+        fault = _expand(codes[:used].tolist(), table, parts)
+        size = sum(map(len, parts))
+        if size:
+            parts = [b"".join(parts)]
+        if fault:
+            break
         if stop.size:
             if codes[used] == end:
                 break
             at += int(span[used] + wide[used])
-            fresh, table, prev = True, single[:], b""
+            fresh, table = True, single[:]
         else:
             at += int(span[fits - 1] + wide[fits - 1])
             fresh = False
@@ -235,7 +266,10 @@ def decode(file: bytes) -> Iterator[Shown]:
             known = np.frombuffer(own[: len(own) // 3 * 3], np.uint8).reshape(-1, 3)
             colours[: len(known), :3], colours[: len(known), 3] = known, 255
             drawn = there & (samples < len(known)) & (samples != (-1 if transparent is None else transparent))
-            part[drawn] = colours[samples[drawn]]
+            if drawn.all():
+                part[:] = colours[samples]
+            else:
+                part[drawn] = colours[samples[drawn]]
             yield Shown(screen.copy(), clock, delay, disposal, (x, y, columns, rows))
             clock += delay
             if disposal == BACKGROUND:
