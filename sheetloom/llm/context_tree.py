@@ -29,8 +29,8 @@ _SEP, _CLOSE = b" ", b"\n"
 #: Text bytes of a block, and entries of a count that a task holds before it passes them on.
 BLOCK_BYTES = 24_000_000
 HELD = 1_200_000
-_CHUNK = 4_000_000
-_DENSE = 1 << 26
+_CHUNK = 2_000_000
+_DENSE = 1 << 23
 _GROUPS = 64
 
 
@@ -55,17 +55,40 @@ def grams_of(raw: bytes) -> np.ndarray:
 
 
 class _Ranks:
-    """Places of keys in a sorted list of known ones: by a table where that is small, else by search."""
+    """Places of keys in a sorted list of known ones: by a table of all keys where that is small, else by hashing.
+
+    Only known keys may be asked for.
+    """
 
     def __init__(self, known: np.ndarray, bound: int) -> None:
-        self.known = known
-        self.at = None
+        self.slots = None
         if bound <= _DENSE:
-            self.at = np.full(bound, -1, np.int32)
+            self.at = np.zeros(max(1, bound), np.int32)
             self.at[known] = np.arange(len(known), dtype=np.int32)
+            return
+        self.power = max(4, (3 * len(known)).bit_length())
+        self.slots, self.at = np.full(1 << self.power, -1, np.int64), np.zeros(1 << self.power, np.int32)
+        left, slot = np.arange(len(known)), self._slot(known)
+        while left.size:
+            free = self.slots[slot] < 0
+            place, first = np.unique(slot[free], return_index=True)
+            taken = left[free][first]
+            self.slots[place], self.at[place] = known[taken], taken
+            open_ = self.slots[slot] != known[left]
+            left, slot = left[open_], (slot[open_] + 1) & ((1 << self.power) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return (self.at[keys] if self.at is not None else np.searchsorted(self.known, keys)).astype(np.int64)
+        if self.slots is None:
+            return self.at[keys].astype(np.int64)
+        slot = self._slot(keys)
+        wrong = np.flatnonzero(self.slots[slot] != keys)
+        while wrong.size:
+            slot[wrong] = (slot[wrong] + 1) & ((1 << self.power) - 1)
+            wrong = wrong[self.slots[slot[wrong]] != keys[wrong]]
+        return self.at[slot].astype(np.int64)
 
 
 class GramTable:
@@ -208,56 +231,64 @@ def held_out(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def _count_blocks(batches: Iterator[pa.RecordBatch], most: int, chunk: int) -> Iterator[pa.RecordBatch]:
-    """Words and grams of each block, with how often training texts have them."""
-
-    def passed(block: int, words: Counter, grams: dict) -> pa.RecordBatch:
-        keys, counts = np.array(list(grams), np.int64), np.array(list(grams.values()), np.int64)
-        names = pa.array([*words, *[None] * len(keys)], pa.binary())
-        numbers = pa.array(np.concatenate([np.full(len(words), -1), keys]).astype(np.int64))
-        n = pa.array(np.concatenate([np.fromiter(words.values(), np.int64, len(words)), counts]))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), names, numbers, n], names=["block", "word", "gram", "n"])
-
-    words: dict[int, Counter] = {}
-    grams: dict[int, dict] = {}
-    waiting: dict[tuple[int, bool], list[bytes]] = {}
-    size = 0
-
-    def count_waiting() -> None:
-        for (block, held), streams in waiting.items():
-            found = [grams_of(s) for s in streams]
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            own = grams.setdefault(block, {})
-            get = own.get
-            for k, c in zip(keys.tolist(), (n * (not held)).tolist(), strict=True):
-                own[k] = get(k, 0) + c
-        waiting.clear()
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and summed counts of several lists."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+class _BlockCount:
+    """Words and grams of a block, with how often training texts have them."""
 
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        self.size = 0
+
+    def add(self, tokens: list[bytes], out: bool) -> None:
+        if out:
+            for word in {*tokens, END}:
+                self.words.setdefault(word, 0)
+        else:
+            self.words.update(tokens)
+            self.words[END] += 1
+        stream = stream_of(tokens)
+        self.waiting[out].append(stream)
+        self.size += len(stream)
+
+    def settle(self) -> int:
+        """Count the waiting streams; returns the number of words and grams."""
+        for out, streams in self.waiting.items():
+            if streams:
+                keys, n = np.unique(np.concatenate([grams_of(s) for s in streams]), return_counts=True)
+                self.grams.append((keys, n * (not out)))
+        self.waiting, self.size = {True: [], False: []}, 0
+        self.grams = [_together(self.grams)] if self.grams else []
+        return len(self.words) + sum(len(k) for k, _ in self.grams)
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        keys, counts = self.grams[0] if self.grams else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words = pa.array(list(self.words), pa.binary())
+        names = pa.concat_arrays([words, pa.nulls(len(keys), pa.binary())])
+        numbers = np.concatenate([np.full(len(words), -1, np.int64), keys])
+        n = np.concatenate([np.fromiter(self.words.values(), np.int64, len(words)), counts])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block, np.int64)), names, pa.array(numbers), pa.array(n)], names=["block", "word", "gram", "n"])
+
+
+def _count_blocks(batches: Iterator[pa.RecordBatch], most: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each block. A block may be passed on in parts; sums and numbers of a key stay the same."""
+    blocks: dict[int, _BlockCount] = {}
     for batch in batches:
-        blocks, held, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "held", "text"))
-        for block, out, text in zip(blocks.to_numpy().tolist(), held.to_pylist(), texts, strict=True):
-            tokens = words_of(text.as_py())
-            own = words.setdefault(block, Counter())
-            if out:
-                for w in {*tokens, END}:
-                    own.setdefault(w, 0)
-            else:
-                own.update(tokens)
-                own[END] += 1
-            stream = stream_of(tokens)
-            waiting.setdefault((block, out), []).append(stream)
-            size += len(stream)
-            if size >= chunk:
-                count_waiting()
-                size = 0
-            if len(own) + len(grams.get(block, ())) >= most:
-                # A block may be passed on in parts; sums and numbers of a key stay the same.
-                count_waiting()
-                size = 0
-                yield passed(block, words.pop(block), grams.pop(block, {}))
-    count_waiting()
-    for block in words.keys() | grams.keys():
-        yield passed(block, words.get(block, Counter()), grams.get(block, {}))
+        column = lambda name, b=batch: b.column(b.schema.get_field_index(name))
+        for block, out, text in zip(column("block").to_numpy().tolist(), column("held").to_pylist(), column("text"), strict=True):
+            own = blocks.setdefault(block, _BlockCount())
+            own.add(words_of(text.as_py()), out)
+            if (own.size >= chunk or len(own.words) >= most) and own.settle() >= most:
+                yield blocks.pop(block).batch(block)
+    for block, own in blocks.items():
+        own.settle()
+        yield own.batch(block)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
