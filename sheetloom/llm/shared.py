@@ -49,17 +49,20 @@ def block_count(rows: int, per_block: int = 10_000) -> int:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, blocks: int, per_group: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, blocks: int, per_group: DataFrame | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
     """Number the rows of each group from 0, and join ``per_group`` (one row per group) to them.
 
+    ``counted`` may name a narrower table of the same rows to count them from.
+
     Groups are cut into ``blocks`` by a hash of the ``order`` columns; blocks are counted, the
     counts summed up, and rows numbered inside their block. A group that holds a large share of
     all rows is thereby spread over as many tasks. Rows equal in ``order`` are numbered in any
     order. Key columns must not be null.
     """
-    cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    counts = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    block = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
+    cut = df.withColumn("_block", block)
+    counts = (cut if counted is None else counted.withColumn("_block", block)).groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     if per_group is not None:

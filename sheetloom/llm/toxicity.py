@@ -139,11 +139,11 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, given: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``text, toxic`` of at most ``per_class`` documents of each class of ``labelled``, chosen by a hash of the id."""
+    """``order, text, toxic`` of at most ``per_class`` documents of each class of ``labelled``, chosen by a hash of the id."""
     by_class = [given.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = written(by_class[0].unionByName(by_class[1]))
     # At most 2 * per_class rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("order"), "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -158,21 +158,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 
         for batch in batches:
             rows = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for order, text, toxic in zip(batch["order"], batch["text"], batch["toxic"], strict=True):
                 words = tokens(text or "")
                 marks = [xxh64_intdigest(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))]
                 least = min(marks)
-                rows.append((least >> 1, int(toxic), len(words), least % 4 == 0, list({f for w in set(words) for f in token_features(w)}), words if least % 4 == 0 else []))
-            yield pd.DataFrame(rows, columns=["mark", "toxic", "n", "late", "features", "words"])
+                rows.append((least >> 1, int(order), int(toxic), len(words), least % 4 == 0, list({f for w in set(words) for f in token_features(w)}), words if least % 4 == 0 else []))
+            yield pd.DataFrame(rows, columns=["mark", "order", "toxic", "n", "late", "features", "words"])
 
     given = labelled(labels)
     share = given.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).first()
     rate = ((share["n1"] or 0) + 0.5) / (share["n"] + 2.0)
     prior_only = (float(np.log(rate / (1 - rate))), 0.0, 0.0)
     sample = labelled_sample(docs, given, per_class).mapInPandas(
-        describe, "mark bigint, toxic int, n bigint, late boolean, features array<string>, words array<string>"
+        describe, "mark bigint, order bigint, toxic int, n bigint, late boolean, features array<string>, words array<string>"
     )
-    sample = written(sample.dropDuplicates(["mark"]))
+    one = F.min_by(F.struct("toxic", "n", "late", "features", "words"), F.struct("order", "toxic"))
+    sample = written(sample.groupBy("mark").agg(one.alias("one")).select("one.*"))
     early = sample.where("NOT late")
     sizes = {r["toxic"]: (r["docs"], r["tokens"]) for r in early.groupBy("toxic").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()}
     n1, n0, clean_tokens = sizes.get(1, (0, 0))[0], *sizes.get(0, (0, 0))
