@@ -32,8 +32,10 @@ _LATIN_PIECE = re.compile(
     rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
 #: Entries of the tables of pieces and of pairs; a full table is emptied.
-_PIECES = 300_000
-_PAIRS = 500_000
+_PIECES = 200_000
+_PAIRS = 300_000
+#: Rows of a result that a task builds at a time.
+_ROWS = 500
 
 
 def byte_letters() -> list[str]:
@@ -187,26 +189,31 @@ def vocabulary(path: str | None = None) -> bytes:
         return file.read()
 
 
-def encode_column(docs: DataFrame, spec: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_column(docs: DataFrame, spec: bytes, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the column ``text`` replaced by its ``ids``; null and empty texts have none.
 
-    A clashing column ``ids`` of ``docs`` is replaced.
+    With ``decoded``, a further column has the text decoded from the ids. Clashing columns of
+    ``docs`` are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    keep = [c for c in docs.columns if c not in (text, ids)]
+    keep = [c for c in docs.columns if c not in (text, ids, decoded)]
     own = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+    names = [*keep, ids, *([decoded] if decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(sent.value)
-        for batch in batches:
-            found = [coder.encode(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keep, ids])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                found = [coder.encode(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))]
+                if decoded:
+                    made.append(pa.array([coder.decode(f.tolist()) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
-    schema = StructType([*own.select(*keep).schema.fields, StructField(ids, ArrayType(IntegerType()))])
-    return own.mapInArrow(encode, schema)
+    kinds = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    return own.mapInArrow(encode, StructType([*own.select(*keep).schema.fields, *kinds]))
 
 
 def decode_column(docs: DataFrame, spec: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -217,9 +224,11 @@ def decode_column(docs: DataFrame, spec: bytes, ids: str = "ids", text: str = "d
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(sent.value)
-        for batch in batches:
-            found = pa.array([coder.decode(i.values.to_numpy().tolist() if i.is_valid else []) for i in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*keep, text])
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                found = pa.array([coder.decode(i.values.to_numpy().tolist() if i.is_valid else []) for i in batch.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*keep, text])
 
     own = docs.select(*keep)
     return own.mapInArrow(decode, StructType([*own.schema.fields, StructField(text, StringType())]))
@@ -228,7 +237,7 @@ def decode_column(docs: DataFrame, spec: bytes, ids: str = "ids", text: str = "d
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and the texts decoded from them, as digests."""
     spec = vocabulary()
-    coded = decode_column(encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), spec), spec)
+    coded = encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), spec, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -62,6 +62,8 @@ def test_columns(spark, make_docs, library):
     assert out.columns == ["doc_id", "n_chars", "ids", "decoded"]
     got = {r.doc_id: (list(r.ids), r.decoded) for r in out.collect()}
     assert got == {i: (library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows}
+    both = bpe.encode_column(docs, spec, decoded="decoded")
+    assert both.columns == out.columns and {r.doc_id: (list(r.ids), r.decoded) for r in both.collect()} == got
     assert bpe.encode_column(make_docs([]), spec).count() == 0
 
 
