@@ -61,16 +61,19 @@ def number_rows(
     order. Key columns must not be null.
     """
     block = F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int")
-    cut = df.withColumn("_block", block)
+    # Groups are sorted by a hash first, so that rows of like keys, such as long texts, do not follow each other.
+    mixed = F.xxhash64(*keys, "_block")
+    cut = df.withColumn("_block", block).withColumn("_mixed", mixed)
     counts = (cut if counted is None else counted.withColumn("_block", block)).groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     if per_group is not None:
         starts = starts.join(per_group, list(keys))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    own = ["_mixed", *keys, "_block"]
+    inside = Window.partitionBy(*own).orderBy(*order)
     return (
         cut.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(starts, [*keys, "_block"])
+        .join(starts.withColumn("_mixed", mixed), own)
         .withColumn(out, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_block", "_start", "_inside")
+        .drop("_mixed", "_block", "_start", "_inside")
     )
