@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from sheetloom.functions import names, shapes
 from sheetloom.operators.grid import range_pairs
 from sheetloom.session import cut_lineage
 
-_MAX_ROUNDS = 10_000
 # Score factors for (configured and inside), configured, inside.
 FACTORS = (0.1, 0.3, 0.8)
 
@@ -171,54 +169,6 @@ def text_candidates(
     )
 
 
-def _serial(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Contours in turn, each with its best text that is still free."""
-    ordered = pairs.sort_values(["area", "contour_id", "score", "text_id"])
-    named: set[int] = set()
-    taken: set[int] = set()
-    kept = []
-    for row, contour, text in zip(ordered.index, ordered["contour_id"], ordered["text_id"], strict=True):
-        if contour not in named and text not in taken:
-            named.add(contour)
-            taken.add(text)
-            kept.append(row)
-    return pairs.loc[kept]
-
-
-def assign_texts(
-    candidates: DataFrame, keys: Sequence[str] = ("doc_id", "page"), small: int = 50_000
-) -> DataFrame:
-    """One text per contour: smaller contours choose first, each its lowest score still free.
-
-    Drawings with up to ``small`` pairs left are finished in one grouped step. Larger ones
-    shrink in rounds: each contour proposes to its best text, each text holds the smallest
-    proposing contour, and pairs with larger contours than the holder leave. When no pair
-    leaves, the proposals are the result of the serial order.
-    """
-    cols = [*keys, "contour_id", "text_id", "area", "score"]
-    pairs = cut_lineage(candidates.select(*cols))
-    done = None
-    for _ in range(_MAX_ROUNDS):
-        sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        large = cut_lineage(sizes.where(F.col("_n") > small).select(*keys))
-        some_large = not large.isEmpty()
-        ready = pairs.join(large, list(keys), "left_anti") if some_large else pairs
-        finished = ready.groupBy(*keys).applyInPandas(_serial, pairs.schema)
-        done = finished if done is None else done.unionByName(finished)
-        if not some_large:
-            return done.select(*keys, "contour_id", "text_id")
-        pairs = pairs.join(large, list(keys), "left_semi")
-        pairs = cut_lineage(_drop_hopeless(pairs, keys))
-        settled = _settled(pairs, keys)
-        done = done.unionByName(settled)
-        pairs = cut_lineage(
-            pairs.join(settled.select(*keys, "contour_id"), [*keys, "contour_id"], "left_anti").join(
-                settled.select(*keys, "text_id"), [*keys, "text_id"], "left_anti"
-            )
-        )
-    raise RuntimeError("text assignment did not settle")
-
-
 def _rank() -> Column:
     return F.struct("area", "contour_id")
 
@@ -232,34 +182,31 @@ def _proposals(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _drop_hopeless(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Remove pairs whose text is held by a smaller contour."""
-    holders = (
-        _proposals(pairs, keys).groupBy(*keys, "text_id").agg(F.min(_rank()).alias("_holder"))
-    )
-    return (
-        pairs.join(holders, [*keys, "text_id"], "left")
-        .where(F.col("_holder").isNull() | (_rank() <= F.col("_holder")))
-        .drop("_holder")
-    )
-
+def assign_texts(candidates: DataFrame, keys: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """One text per contour: smaller contours choose first, each its lowest score still free.
 
-def _settled(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Proposals whose text no smaller contour can still claim."""
-    first = pairs.groupBy(*keys, "text_id").agg(F.min(_rank()).alias("_first"))
-    return cut_lineage(
-        _proposals(pairs, keys)
-        .join(first, [*keys, "text_id"])
-        .where(_rank() == F.col("_first"))
-        .select(*pairs.columns)
-    )
+    In rounds, each contour proposes to its best text and each text holds the smallest contour
+    that proposes. A larger contour can never get a text that is held, so such pairs leave. When
+    none leaves, every contour has its text alone, and the proposals are what choosing in turn
+    gives. A round removes at least one pair or is the last; most drawings need a few.
+    """
+    pairs = cut_lineage(candidates.select(*keys, "contour_id", "text_id", "area", "score"))
+    left = pairs.count()
+    while True:
+        holders = _proposals(pairs, keys).groupBy(*keys, "text_id").agg(F.min(_rank()).alias("_holder"))
+        kept = cut_lineage(
+            pairs.join(holders, [*keys, "text_id"], "left").where(F.col("_holder").isNull() | (_rank() <= F.col("_holder"))).drop("_holder")
+        )
+        before, left = left, kept.count()
+        if left == before:
+            return _proposals(kept, keys).select(*keys, "contour_id", "text_id")
+        pairs = kept
 
 
 def name_contours(
     contours: DataFrame,
     candidates: DataFrame,
     keys: Sequence[str] = ("doc_id", "page"),
-    small: int = 50_000,
 ) -> DataFrame:
     """Contours with name, original name and name position; contours without text stay null."""
     candidates = cut_lineage(candidates)
@@ -267,7 +214,7 @@ def name_contours(
     sized = candidates.join(
         contours.select(*keys, "contour_id", area.alias("area")), [*keys, "contour_id"]
     )
-    chosen = assign_texts(sized, keys, small)
+    chosen = assign_texts(sized, keys)
     details = candidates.select(
         *keys,
         "contour_id",

@@ -20,10 +20,16 @@ def test_rounds_match_the_serial_order(spark):
         for t in rng.sample(range(40), rng.randint(0, 12)):
             pairs.append(("d", 0, c, t, area, float(rng.randint(0, 5))))
     df = spark.createDataFrame(pairs, "doc_id string, page int, contour_id int, text_id int, area double, score double")
-    want = serial(pairs)
-    for small in (10_000, 60, 0):
-        got = {r.contour_id: r.text_id for r in naming.assign_texts(df, small=small).collect()}
-        assert got == want, small
+    assert {r.contour_id: r.text_id for r in naming.assign_texts(df).collect()} == serial(pairs)
+
+
+def test_contours_that_wait_for_each_other(spark):
+    # Each contour prefers the text that the one before it must take.
+    length = 40
+    pairs = [("d", p, c, t, float(c), float(t - c)) for p in (0, 1) for c in range(length) for t in (c - 1, c) if t >= 0]
+    df = spark.createDataFrame(pairs, "doc_id string, page int, contour_id int, text_id int, area double, score double").coalesce(1)
+    got = naming.assign_texts(df).collect()
+    assert sorted((r.page, r.contour_id, r.text_id) for r in got) == [(p, c, c) for p in (0, 1) for c in range(length)]
 
 
 def test_final_names(spark):
