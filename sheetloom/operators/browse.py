@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.functions import names
+from sheetloom.operators.config import OPERATION_NAME
 
-# Margin of the scene, list lengths of the tree and of the device lists.
+
+# Margin of the scene, lengths of the tree and of the short and long device lists.
 SCENE_MARGIN = 50.0
 TREE_LIMIT = 2
-LIST_LIMIT = 10
-# Rows of one nested export element; larger groups are written as several elements.
-CHUNK = 10_000
+LIST_LIMITS = (3, 10)
 
 
 def device_usage(states: DataFrame, steps: DataFrame) -> DataFrame:
@@ -113,22 +112,44 @@ def first_of_list(items: Column, limit: int) -> tuple[Column, Column]:
     return F.slice(items, 1, limit), F.greatest(F.size(items) - limit, F.lit(0))
 
 
-def hierarchy_counts(operations: DataFrame, states: DataFrame, steps: DataFrame) -> DataFrame:
-    """States and steps per operation, and operations per object."""
-    own = ["doc_id", "operation_id"]
-    n_states = states.groupBy(*own).agg(F.count(F.lit(1)).alias("n_states"))
-    n_steps = steps.groupBy(*own).agg(F.count(F.lit(1)).alias("n_steps"))
-    n_ops = operations.groupBy("doc_id", "obj_id").agg(F.count(F.lit(1)).alias("n_operations"))
-    zero = F.lit(0).cast("bigint")
-    return (
-        operations.select("doc_id", "obj_id", "obj_name", F.col("id").alias("operation_id"), "name")
-        .join(n_states, own, "left")
-        .join(n_steps, own, "left")
-        .join(n_ops, ["doc_id", "obj_id"])
-        .withColumns({"n_states": F.coalesce("n_states", zero), "n_steps": F.coalesce("n_steps", zero)})
+def hierarchy_counts(objects: DataFrame) -> DataFrame:
+    """States and steps per operation, and operations per object, counted where they are nested."""
+    there = lambda m: F.filter(F.coalesce(F.map_values(m), F.array()), lambda v: v.isNotNull())
+    modes = objects.select(
+        "doc_id", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), F.size(there("_modes")).cast("bigint").alias("n_operations"),
+        F.explode("_modes").alias("mode_id", "v"),
+    ).where(F.col("v").isNotNull())
+    n_steps = F.aggregate(there(F.col("v.states")), F.lit(0).cast("bigint"), lambda n, s: n + F.size(there(s["steps"])))
+    return modes.select(
+        "doc_id",
+        "obj_id",
+        "obj_name",
+        F.concat_ws("_", "obj_id", "mode_id").alias("operation_id"),
+        F.coalesce("v.name", F.format_string(OPERATION_NAME, "mode_id")).alias("name"),
+        F.size(there(F.col("v.states"))).cast("bigint").alias("n_states"),
+        n_steps.alias("n_steps"),
+        "n_operations",
     )
 
 
+def steps_in_order(steps: DataFrame) -> DataFrame:
+    """Steps with their place in their state by number, ties in document order."""
+    window = Window.partitionBy("doc_id", "state_id").orderBy("step_number", "step_pos")
+    return steps.withColumn("place", F.row_number().over(window))
+
+
+def labels_of_object(matches: DataFrame) -> DataFrame:
+    """Devices inside an object by label: ``place`` numbers them by label, then contour and text."""
+    window = Window.partitionBy("doc_id", "tech_object").orderBy("pdf_name", "page", "contour_id", "text_id")
+    return matches.withColumn("place", F.row_number().over(window))
+
+
+def operations_by_name(operations: DataFrame) -> DataFrame:
+    """Operations inside an object by name, ties in document order."""
+    window = Window.partitionBy("doc_id", "obj_id").orderBy("name", "mode_pos")
+    return operations.withColumn("place", F.row_number().over(window))
+
+
 def operation_totals(operations: DataFrame) -> DataFrame:
     """Objects with operations and operations per document."""
     return operations.groupBy("doc_id", "obj_id").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
@@ -222,29 +243,15 @@ def first_operation_by_name(operations: DataFrame) -> DataFrame:
     )
 
 
-def objects_nested(matches: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Matches nested per object, in contour and text order.
+def object_devices(matches: DataFrame) -> DataFrame:
+    """Matches with the devices of their object (``total``), and whether they are its ``first``.
 
-    Objects with more than ``chunk`` matches are split by hash into several rows, numbered
-    by ``part``, so that no row or task holds an unbounded list.
+    The order within an object is that of page, contour and text; it stays in the columns.
     """
     own = ["doc_id", "tech_object"]
-    parts = matches.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"), F.count(F.lit(1)).alias("total"))
-    rest = [c for c in matches.columns if c not in own]
-    order = [c for c in ("contour_id", "text_id") if c in rest]
-    device = F.struct(*order, *[c for c in rest if c not in order])
-    place = F.pmod(F.xxhash64(*order), F.col("parts").cast("bigint")).cast("int")
-
-    def by_order(a: Column, b: Column) -> Column:
-        left, right = (F.struct(*[v[c] for c in order]) for v in (a, b))
-        return F.when(left < right, -1).when(left > right, 1).otherwise(0)
-
-    return (
-        matches.join(parts, own)
-        .withColumn("part", place)
-        .groupBy(*own, "part", "parts", "total")
-        .agg(F.array_sort(F.collect_list(device), by_order).alias("devices"))
-    )
+    place = F.struct(*[c for c in ("page", "contour_id", "text_id") if c in matches.columns])
+    sizes = matches.groupBy(*own).agg(F.count(F.lit(1)).alias("total"), F.min(place).alias("_first"))
+    return matches.join(sizes, own).withColumn("first", place == F.col("_first")).drop("_first")
 
 
 def label_vocabulary(classes: DataFrame, used: DataFrame) -> DataFrame:
@@ -259,8 +266,3 @@ def label_vocabulary(classes: DataFrame, used: DataFrame) -> DataFrame:
     return classes.select("label", "ord", F.lit(0).alias("group")).union(
         fresh.select("label", "ord", F.lit(1).alias("group"))
     )
-
-
-def strip_labels(df: DataFrame, column: str) -> DataFrame:
-    """Trim a label column."""
-    return df.withColumn(column, names.strip(F.col(column)))

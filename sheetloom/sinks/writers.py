@@ -5,21 +5,28 @@ Tables keep full doubles; decimals are cut only in the XML and label texts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions.numbers import fixed3, float_text
 from sheetloom.functions.svg import SCALE
-from sheetloom.operators.browse import CHUNK, contour_sizes, objects_nested
+from sheetloom.operators.browse import contour_sizes, object_devices
 from sheetloom.operators.tiles import label_line
 
-# Contours with more segments than this keep their segment list in the side table only.
-MAX_REFS = 100_000
+# Tasks that write one document together; each gives one file.
+_PARTS = 8
 
 
 def _xml(df: DataFrame, path: str, root: str, row: str) -> None:
-    writer = df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite")
-    (writer.partitionBy("doc_id") if "doc_id" in df.columns else writer).save(path)
+    if "doc_id" not in df.columns:
+        df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
+        return
+    # Rows of a document meet in a few tasks, so that not every task writes a file for each document.
+    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map" not in t and "variant" not in t]), F.lit(_PARTS))
+    clustered = df.repartition("doc_id", salt)
+    clustered.write.format("xml").option("rootTag", root).option("rowTag", row).partitionBy("doc_id").mode("overwrite").save(path)
 
 
 def _filled(c: Column) -> Column:
@@ -49,22 +56,21 @@ def segment_rows(segments: DataFrame) -> DataFrame:
     """Rows of the segment file."""
     return segments.select(
         "doc_id",
+        F.col("page").alias("_page"),
         F.col("seg_id").alias("_id"),
         *[fixed3(F.col(c)).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")],
         F.initcap(F.col("dashed").cast("string")).alias("_dashed"),
     )
 
 
-def contour_rows(contours: DataFrame, edges: DataFrame, max_refs: int = MAX_REFS) -> DataFrame:
-    """Rows of the contour file: named contours with segment list, bounds, centre and name.
+def contour_rows(contours: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of the contour file: named contours with page, segment list, bounds, centre and name.
 
-    Lists of contours with more than ``max_refs`` segments stay out of the row; their
-    segments are all in the edge table.
+    The format holds a contour's outline in one element, so one row holds its segment list.
     """
     named = contours.where(F.coalesce("name", F.lit("")) != "")
     refs = (
-        edges.where(F.col("n_edges") <= max_refs)
-        .groupBy("doc_id", "page", "contour_id")
+        edges.groupBy("doc_id", "page", "contour_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "seg_id"))).alias("_refs"))
     )
     text = F.array_join(F.transform("_refs", lambda r: r["seg_id"].cast("string")), " ")
@@ -75,6 +81,7 @@ def contour_rows(contours: DataFrame, edges: DataFrame, max_refs: int = MAX_REFS
     )
     return named.join(refs, ["doc_id", "page", "contour_id"], "left").select(
         "doc_id",
+        F.col("page").alias("_page"),
         F.col("contour_id").alias("_id"),
         text.alias("SegmentRefs"),
         bounds.alias("Bounds"),
@@ -94,14 +101,18 @@ def _joined(*cols: str) -> Column:
     return F.concat_ws(",", *[float_text(F.col(c)) for c in cols])
 
 
-def matched_rows(
-    enriched: DataFrame, first_contours: DataFrame, extra: tuple[str, ...] = (), chunk: int = CHUNK
-) -> DataFrame:
-    """One row per object: contour and devices. ``extra`` lists open attributes to write.
+def open_names(enriched: DataFrame) -> list[str]:
+    """Names of all open attributes in the table; like a schema, they are few."""
+    return sorted(r["k"] for r in enriched.select(F.explode(F.map_keys("extra")).alias("k")).distinct().collect())
+
+
+def matched_rows(enriched: DataFrame, first_contours: DataFrame, extra: Sequence[str] | None = None) -> DataFrame:
+    """One row per device, in an element of its object; the first one carries the contour.
 
-    An object above ``chunk`` devices gives several elements of the same name; the contour
-    goes with the first. Readers of the format take such elements together.
+    ``extra`` lists the open attributes to write, by default all there are. Readers of the format
+    take elements of the same name together, so objects of any size have one form.
     """
+    extra = open_names(enriched) if extra is None else extra
     fields = ("descr", "article", "type", "category")
     device = lambda d: F.struct(
         d["device_type"].alias("_device_type"),
@@ -119,18 +130,18 @@ def matched_rows(
         _joined("cx", "cy").alias("_center"),
         F.lit(None).cast("string").alias("_VALUE"),
     )
-    nested = objects_nested(enriched, chunk)
-    boxes = first_contours.select("doc_id", "tech_object", F.lit(0).alias("part"), contour.alias("Contour"))
-    return nested.join(boxes, ["doc_id", "tech_object", "part"], "left").select(
+    boxes = first_contours.select("doc_id", "tech_object", F.lit(True).alias("first"), contour.alias("Contour"))
+    devices = object_devices(enriched)
+    return devices.join(boxes, ["doc_id", "tech_object", "first"], "left").select(
         "doc_id",
         F.col("tech_object").alias("_name"),
         "Contour",
-        F.struct(F.transform("devices", device).alias("Device")).alias("Devices"),
+        F.struct(F.array(device({c: F.col(c) for c in devices.columns})).alias("Device")).alias("Devices"),
     )
 
 
-def write_matched(enriched: DataFrame, first_contours: DataFrame, path: str, extra: tuple[str, ...] = ()) -> None:
-    """Matched devices as XML, one element per object."""
+def write_matched(enriched: DataFrame, first_contours: DataFrame, path: str, extra: Sequence[str] | None = None) -> None:
+    """Matched devices as XML, one element per device."""
     _xml(matched_rows(enriched, first_contours, extra), path, "TechnologicalObjects", "TechnologicalObject")
 
 
@@ -218,11 +229,12 @@ def annotation_rows(boxes: DataFrame, images: DataFrame) -> DataFrame:
     )
     # Annotations of one image come from one file, so its list fits a row.
     nested = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
-    return images.join(nested, "image_id").select(
+    return images.join(nested, "image_id", "left").select(
         "image_id",
+        F.col("image_id").alias("_image_id"),
         F.when(F.col("verified"), "yes").alias("_verified"),
         F.struct("width", "height").alias("size"),
-        F.transform("_boxes", lambda b: b["o"]).alias("object"),
+        F.coalesce(F.transform("_boxes", lambda b: b["o"]), F.array()).alias("object"),
     )
 
 
@@ -230,9 +242,7 @@ def write_annotations(boxes: DataFrame, images: DataFrame, path: str, style: str
     """Annotations as box XML or as a table of label lines relative to the image."""
     if style == "xml":
         rows = annotation_rows(boxes, images)
-        rows.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").partitionBy(
-            "image_id"
-        ).mode("overwrite").save(path)
+        rows.drop("image_id").write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").mode("overwrite").save(path)
         return
     from sheetloom.operators.tiles import class_number
 

@@ -13,7 +13,7 @@ IMAGE_TYPES = ("bmp", "cur", "gif", "ico", "jpeg", "jpg", "pbm", "pgm", "png", "
 
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
 _ANNOTATION = (
-    "object array<struct<name:string,difficult:string,bndbox:struct<"
+    "_image_id string, object array<struct<name:string,difficult:string,bndbox:struct<"
     + ",".join(f"{s}:string" for s in _SIDES)
     + ">>>, size struct<width:int,height:int>, _verified string"
 )
@@ -27,9 +27,8 @@ def _annotations(spark: SparkSession, path: str) -> DataFrame:
         .schema(_ANNOTATION)
         .load(path)
     )
-    if "image_id" in rows.columns:  # written by this package, one folder per image
-        return rows.withColumn("image_id", F.col("image_id").cast("string"))
-    return rows.withColumn("image_id", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1))
+    # Files of this package hold many images, each element with its image.
+    return rows.withColumn("image_id", F.coalesce("_image_id", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1)))
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:

@@ -32,6 +32,12 @@ def decode_text(content: Column) -> tuple[Column, Column]:
     return text, encoding
 
 
+def document_of(path: Column) -> Column:
+    """Document of a file: the folder ``doc_id=...`` it lies in, else its name without ending."""
+    folder = F.regexp_extract(path, r"/doc_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, _STEM, 1))
+
+
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``texts(path, doc_id, body, encoding)``, one row per file."""
     files = (
@@ -42,7 +48,7 @@ def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     )
     body, encoding = decode_text(F.col("content"))
     return files.select(
-        "path", F.regexp_extract("path", _STEM, 1).alias("doc_id"), body.alias("body"), encoding.alias("encoding")
+        "path", document_of(F.col("path")).alias("doc_id"), body.alias("body"), encoding.alias("encoding")
     )
 
 

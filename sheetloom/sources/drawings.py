@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import names, shapes
 from sheetloom.functions.numbers import number_or, to_number
 from sheetloom.operators.matching import DEVICE_FIELDS, open_attributes
-from sheetloom.sources.config_files import read_text_files
-
-_STEM = r"([^/]+?)(\.[^./]*)?$"
+from sheetloom.sources.config_files import document_of, read_text_files
 
 
 def line_segments(items: DataFrame) -> DataFrame:
@@ -33,17 +31,18 @@ def text_elements(spans: DataFrame) -> DataFrame:
 
 
 _CONTOUR = (
-    "_id string, SegmentRefs string, Bounds struct<_min_x:double,_min_y:double,_max_x:double,_max_y:double>,"
+    "_id string, _page string, SegmentRefs string, Bounds struct<_min_x:double,_min_y:double,_max_x:double,_max_y:double>,"
     " Center struct<_x:double,_y:double>, Name struct<_VALUE:string,_pos_x:double,_pos_y:double>"
 )
 
 
 def read_geometry_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Contours of geometry files; the file name is the document."""
+    """Contours of geometry files; the folder ``doc_id=...`` or the file name is the document, a missing page is 0."""
     rows = spark.read.format("xml").option("rowTag", "Contour").schema(_CONTOUR).load(path)
     b = {c: F.col(f"Bounds._{c}").alias(c) for c in ("min_x", "min_y", "max_x", "max_y")}
     return rows.select(
-        F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).alias("doc_id"),
+        document_of(F.col("_metadata.file_path")).alias("doc_id"),
+        F.coalesce(F.col("_page").cast("int"), F.lit(0)).alias("page"),
         F.col("_id").cast("bigint").alias("contour_id"),
         *b.values(),
         F.col("Center._x").alias("cx"),
@@ -68,7 +67,7 @@ def _objects(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     return rows.where(F.coalesce("_name", F.lit("")) != "").select(
-        F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1).alias("doc_id"),
+        document_of(F.col("_metadata.file_path")).alias("doc_id"),
         F.col("_name").alias("tech_object"),
         "Contour",
     )

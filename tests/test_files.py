@@ -41,34 +41,40 @@ def test_flat_object_files(spark, tmp_path):
 
 def test_geometry_round_trip(spark, tmp_path):
     contours = spark.createDataFrame(
-        [("d", 0, 0, "TANK1", 1.0, 2.0), ("d", 0, 1, None, None, None)],
+        [("d", 0, 0, "TANK1", 1.0, 2.0), ("d", 0, 1, None, None, None), ("d", 1, 0, "TANK2", 3.0, 4.0), ("e", 0, 0, "TANK1", 5.0, 6.0)],
         "doc_id string, page int, contour_id bigint, name string, name_x double, name_y double",
     ).selectExpr("*", "0.0D min_x", "0.0625D min_y", "9.0D max_x", "9.0D max_y", "4.5D cx", "4.5D cy")
     edges = spark.createDataFrame(
-        [("d", 0, c, s, p, 3) for c in (0, 1) for p, s in enumerate((7, 9, 8))],
+        [(d, g, c, s, p, 3) for d, g in (("d", 0), ("d", 1), ("e", 0)) for c in (0, 1) for p, s in enumerate((7, 9, 8))],
         "doc_id string, page int, contour_id bigint, seg_id bigint, pos bigint, n_edges bigint",
     )
     segments = spark.createDataFrame([("d", 0, 7, 0.0, 0.0, 1.0, 1.0, True)], "doc_id string, page int, seg_id bigint, x1 double, y1 double, x2 double, y2 double, dashed boolean")
     writers.write_geometry(segments, contours, edges, str(tmp_path / "g"))
-    back = drawings.read_geometry_xml(spark, str(tmp_path / "g" / "contours" / "doc_id=d")).collect()
-    assert [(r.contour_id, r.name, r.min_y, r.name_x, r.seg_ids) for r in back] == [(0, "TANK1", 0.062, 1.0, [7, 9, 8])]
+    back = drawings.read_geometry_xml(spark, str(tmp_path / "g" / "contours")).collect()
+    assert sorted((r.doc_id, r.page, r.contour_id, r.name, r.min_y, r.name_x, r.seg_ids) for r in back) == [
+        ("d", 0, 0, "TANK1", 0.062, 1.0, [7, 9, 8]), ("d", 1, 0, "TANK2", 0.062, 3.0, [7, 9, 8]), ("e", 0, 0, "TANK1", 0.062, 5.0, [7, 9, 8]),
+    ]
 
 
 def test_matched_device_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
-        [("d", "TANK1", 0, 1, "TANK1V1", "V1", 1.5, 2.0, 1.0, "V", 'a "b" <c>', "A-1", None, None, {"dtype": "3"})],
+        [
+            ("d", "TANK1", 0, 1, "TANK1V1", "V1", 1.5, 2.0, 1.0, "V", 'a "b" <c>', "A-1", None, None, {"dtype": "3"}),
+            ("e", "TANK1", 0, 1, "TANK1V1", "V1", 1.5, 2.0, 1.0, "V", "x", "A-1", None, None, {"other": "4"}),
+        ],
         "doc_id string, tech_object string, contour_id int, text_id int, lua_name string, pdf_name string, x double, y double, confidence double,"
         " device_type string, descr string, article string, type string, category string, extra map<string,string>",
     )
     first = spark.createDataFrame([("d", "TANK1")], "doc_id string, tech_object string").selectExpr(
         "*", "0.0D min_x", "1.0D min_y", "2.0D max_x", "3.0D max_y", "1.0D cx", "2.0D cy"
     )
-    writers.write_matched(rows, first, str(tmp_path / "m"), extra=("dtype",))
-    folder = str(tmp_path / "m" / "doc_id=d")
-    device = drawings.read_matched_devices(spark, folder).first()
+    writers.write_matched(rows, first, str(tmp_path / "m"))
+    folder = str(tmp_path / "m")
+    assert {(r.doc_id, *r.extra.items()) for r in drawings.read_matched_devices(spark, folder).collect()} == {("d", ("dtype", "3")), ("e", ("other", "4"))}
+    device = drawings.read_matched_devices(spark, folder).where("doc_id = 'd'").first()
     assert (device.lua_name, device.x, device.descr, device.extra) == ("TANK1V1", 1.5, 'a "b" <c>', {"dtype": "3"})
     contour = drawings.read_matched_contours(spark, folder).first()
-    assert (contour.tech_object, contour.max_y, contour.cx) == ("TANK1", 3.0, 1.0)
+    assert (contour.doc_id, contour.tech_object, contour.max_y, contour.cx) == ("d", "TANK1", 3.0, 1.0)
 
 
 def test_bad_devices_are_skipped(spark, tmp_path):
@@ -94,8 +100,10 @@ def test_annotations(spark, tmp_path):
     images = annotations.read_image_sizes(spark, str(tmp_path))
     want = ("img1", 0, "valve", 1, 2, 3, 4, True)
     assert tuple(boxes.first()) == want and tuple(images.first()) == ("img1", 10, 20, True)
-    writers.write_annotations(boxes, images, str(out))
-    assert tuple(annotations.read_boxes(spark, str(out)).first()) == want
+    more = images.union(spark.createDataFrame([("bare", 5, 6, True)], images.schema))
+    writers.write_annotations(boxes, more, str(out))
+    assert [tuple(r) for r in annotations.read_boxes(spark, str(out)).collect()] == [want]
+    assert {tuple(r) for r in annotations.read_image_sizes(spark, str(out)).collect()} == {("img1", 10, 20, True), ("bare", 5, 6, True)}
     for name in ("b10.PNG", "b9.png", "x.txt"):
         (tmp_path / name).write_text("x")
     listed = [r.path.rsplit("/", 1)[1] for r in annotations.list_images(spark, str(tmp_path)).collect()]
