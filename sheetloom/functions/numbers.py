@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,51 +18,26 @@ def number_or(text: Column, default: float) -> Column:
     return F.coalesce(to_number(text), F.lit(default))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def fixed3(v: Column) -> Column:
     """Text with three decimals, rounding the exact binary value half to even.
 
-    ``format_string('%.3f')`` rounds the shortest decimal form half up, which differs for
-    values such as 0.0625. The product by 1000 is split into an exact high and low part, so
-    that the side of a tie is known.
+    The product by 1000 decides unless it is rounded to a tie. Then it is split into an exact
+    high and low part, so that the side of the tie is known. ``v`` is used several times, so it
+    should be a column or a variable of a lambda.
     """
-
-    def split(a: Column) -> Column:
-        wide = a * 134217729.0
-        high = wide - (wide - a)
-        return F.struct(high.alias("high"), (a - high).alias("low"))
-
-    def scaled(p: Column) -> Column:
-        high, low = p["high"] * 1000.0, p["low"] * 1000.0
-        product = high + low
-        return F.struct(product.alias("product"), ((high - product) + low).alias("rest"))
-
-    def whole(p: Column) -> Column:
-        product, rest = p["product"], p["rest"]
-        below = F.floor(product)
-        tie = product - below == 0.5
-        return (
-            F.when(tie & (rest > 0), below + 1)
-            .when(tie & (rest < 0), below)
-            .otherwise(F.rint(product).cast("bigint"))
-        )
-
-    def text(n: Column) -> Column:
-        digits = F.lpad(n.cast("string"), 4, "0")
-        digits = F.when(n > 999, n.cast("string")).otherwise(digits)
-        return F.concat(F.left(digits, F.length(digits) - 3), F.lit("."), F.right(digits, F.lit(3)))
-
-    def plain(value: Column) -> Column:
-        sign = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
-        return F.concat(sign, _let(_let(_let(_let(F.abs(value), split), scaled), whole), text))
-
+    a = F.abs(v)
+    product = a * 1000.0
+    below = F.floor(product)
+    wide = a * 134217729.0
+    high = wide - (wide - a)
+    rest = (high * 1000.0 - product) + (a - high) * 1000.0
+    whole = F.when(product - below != 0.5, F.rint(product).cast("bigint")).when(rest > 0, below + 1).when(rest < 0, below).otherwise(F.rint(product).cast("bigint"))
+    sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+    # Whole part and decimals come from the text of the rounded product.
+    digits = F.lpad(whole.cast("string"), F.greatest(F.lit(4), F.length(whole.cast("string"))), F.lit("0"))
+    text = F.concat(sign, F.regexp_replace(digits, r"(\d{3})$", ".$1"))
     # From 2**43 on values carry no tie at three decimals, and infinities print as words.
-    small = F.abs(v) < 8796093022208.0
-    return F.when(small, _let(v, plain)).when(v.isNotNull(), F.format_string("%.3f", v))
+    return F.when(a < 8796093022208.0, text).when(v.isNotNull(), F.format_string("%.3f", v))
 
 
 def float_text(v: Column) -> Column:

@@ -16,25 +16,31 @@ _NUMBER = r"-?\d+\.?\d*"
 _TRANSLATE = r"translate\(([^)]+)\)"
 
 
-def _rewrite(text: Column, pattern: str, change) -> Column:
-    """Replace every match of ``pattern`` by ``change(match)``."""
+def _rewrite(text: Column, pattern: str, *changes) -> Column:
+    """Replace every match of ``pattern`` by what ``changes`` make of it, one after the other."""
     between = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    for change in changes:
+        found = F.transform(found, change)
     return F.array_join(
         F.zip_with(between, found, lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), ""
     )
 
 
-def _scaled_pair(pair: Column, scale: float, whole: Column, before: str, after: str) -> Column:
-    """``x,y`` scaled to three decimals; ``whole`` when it is not a pair of numbers."""
-    x, y = (to_number(F.get(F.split(pair, ","), i)) for i in (0, 1))
-    done = F.concat(F.lit(before), fixed3(x * scale), F.lit(","), fixed3(y * scale), F.lit(after))
-    return F.when(F.size(F.split(pair, ",")) == 2, F.coalesce(done, whole)).otherwise(whole)
+def _pair(text: Column, scale: float, whole: Column) -> Column:
+    """Scaled numbers of ``x,y``, null where there is none, and the text for other forms."""
+    x, y = (F.when(F.size(F.split(text, ",")) == 2, to_number(F.get(F.split(text, ","), i))) for i in (0, 1))
+    return F.struct((x * scale).alias("x"), (y * scale).alias("y"), whole.alias("whole"))
+
+
+def _pair_text(p: Column, before: str = "", after: str = "") -> Column:
+    done = F.concat(F.lit(before), fixed3(p["x"]), F.lit(","), fixed3(p["y"]), F.lit(after))
+    return F.coalesce(done, p["whole"])
 
 
 def rescale_path(d: Column, scale: float = SCALE) -> Column:
     """Scale every number of path data to three decimals (arc flags included)."""
-    return _rewrite(d, _NUMBER, lambda m: fixed3(m.cast("double") * scale))
+    return _rewrite(d, _NUMBER, lambda m: m.cast("double") * scale, fixed3)
 
 
 def rescale_translate(transform: Column, scale: float = SCALE) -> Column:
@@ -42,14 +48,15 @@ def rescale_translate(transform: Column, scale: float = SCALE) -> Column:
     return _rewrite(
         transform,
         _TRANSLATE,
-        lambda m: _scaled_pair(strip(F.regexp_extract(m, _TRANSLATE, 1)), scale, m, "translate(", ")"),
+        lambda m: _pair(strip(F.regexp_extract(m, _TRANSLATE, 1)), scale, m),
+        lambda p: _pair_text(p, "translate(", ")"),
     )
 
 
 def rescale_points(points: Column, scale: float = SCALE) -> Column:
     """Scale a blank-separated list of ``x,y`` pairs; bad pairs stay."""
     pairs = F.filter(F.split(strip(points), r"\s+"), lambda p: p != "")
-    return F.array_join(F.transform(pairs, lambda p: _scaled_pair(p, scale, p, "", "")), " ")
+    return F.array_join(F.transform(F.transform(pairs, lambda p: _pair(p, scale, p)), lambda p: _pair_text(p)), " ")
 
 
 def rescale_attributes(tag: Column, attrs: Column, scale: float = SCALE) -> Column:
