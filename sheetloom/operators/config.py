@@ -75,6 +75,17 @@ def _is_object(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))
 
 
+def _strict(text: Column, kind: str) -> Column:
+    """``text`` parsed as ``kind``, null unless all of it is one value of that kind.
+
+    Inside a list, what follows the first value is either a fault or a second element.
+    """
+    whole = F.concat(F.lit('{"top":['), text, F.lit("]}"))
+    parsed = F.from_json(whole, f"top array<{kind}>, wrong string", {"columnNameOfCorruptRecord": "wrong"})
+    one = lambda p: F.when(p["wrong"].isNull() & (F.size(p["top"]) == 1), F.get(p["top"], 0))
+    return F.get(F.transform(F.array(parsed), one), 0)
+
+
 def _by_level(text: Column, level: dict) -> Column:
     """Map of the entries that are objects, each level parsed by itself."""
     fields = ",".join(f"`{f}` {'string' if isinstance(t, dict) else t}" for f, t in level.items())
@@ -87,23 +98,14 @@ def _by_level(text: Column, level: dict) -> Column:
 
         return F.get(F.transform(F.array(F.from_json(raw, fields)), typed), 0)
 
-    entries = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: _is_object(v))
-    return F.when(_is_object(text), F.transform_values(entries, lambda k, v: entry(v)))
+    found = F.map_filter(_strict(text, "map<string,string>"), lambda k, v: _is_object(v))
+    return F.when(_is_object(text), F.transform_values(found, lambda k, v: entry(v)))
 
 
 def _parse(text: Column, level: dict) -> Column:
     """Map of the entries of ``text``, in one pass where every entry has its type."""
-    whole = F.concat(F.lit('{"top":'), text, F.lit("}"))
-    parsed = F.from_json(
-        whole, f"top {_map_type(level)}, wrong string", {"columnNameOfCorruptRecord": "wrong"}
-    )
-    return F.get(
-        F.transform(
-            F.array(parsed),
-            lambda p: F.when(p["wrong"].isNull() & _is_object(text), p["top"]).otherwise(_by_level(text, level)),
-        ),
-        0,
-    )
+    typed = _strict(text, _map_type(level))
+    return F.when(_is_object(text), F.get(F.transform(F.array(typed), lambda t: F.coalesce(t, _by_level(text, level))), 0))
 
 
 def _entries(df: DataFrame, source: str, key: str, pos: str) -> DataFrame:
@@ -117,8 +119,12 @@ def _entries(df: DataFrame, source: str, key: str, pos: str) -> DataFrame:
 
 
 def _number(text: Column, default: int | None = None) -> Column:
-    value = text.try_cast("bigint")
-    return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
+    """Whole number of a field, ``2.0`` included; the default stands for a missing field only.
+
+    A field that is there but no whole number is null here; its text is kept beside.
+    """
+    value = F.coalesce(text.try_cast("bigint"), F.when(text.rlike(r"^\s*-?\d+\.0*\s*$"), text.try_cast("double").try_cast("bigint")))
+    return value if default is None else F.when(text.isNull(), F.lit(default).cast("bigint")).otherwise(value)
 
 
 def _list(v: Column) -> Column:
@@ -150,6 +156,7 @@ def read_objects(config: DataFrame) -> DataFrame:
         _number(F.col("v.tech_type")).alias("tech_type"),
         *[F.col(f"v.{f}").alias(f) for f in plain],
         _number(F.col("v.cooper_param_number")).alias("cooper_param_number"),
+        *[F.col(f"v.{f}").alias(f"{f}_text") for f in ("n", "tech_type", "cooper_param_number")],
         F.when(_map(F.col("v.system_parameters")).isNotNull(), F.col("v.system_parameters")).alias("system_parameters"),
         _text_map(F.col("v.properties")).alias("properties"),
         _text_map(F.col("v.equipment")).alias("equipment"),
@@ -271,6 +278,7 @@ def read_steps(states: DataFrame) -> DataFrame:
         F.coalesce("v.name", F.format_string(STEP_NAME, "step_key")).alias("name"),
         _number(F.col("v.time_param_n"), NO_NUMBER).alias("time_param_n"),
         _number(F.col("v.next_step_n"), NO_NUMBER).alias("next_step_n"),
+        *[F.col(f"v.{f}").alias(f"{f}_text") for f in ("time_param_n", "next_step_n")],
         F.col("v.baseStep").alias("baseStep"),
         _texts(F.col("v.opened_devices")).alias("opened_devices"),
         _texts(F.col("v.closed_devices")).alias("closed_devices"),

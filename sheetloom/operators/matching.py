@@ -152,18 +152,18 @@ def enrich_matches(matches: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def _distinct_names(contours: DataFrame, key: Sequence[str]) -> DataFrame:
-    kept = ["contour_id", "name", "cx", "cy", "min_x", "min_y", "max_x", "max_y"]
+    kept = ["page", "contour_id", "name", "cx", "cy", "min_x", "min_y", "max_x", "max_y"]
     return (
         contours.where(F.coalesce(F.col("name"), F.lit("")) != "")
         .groupBy(*key, F.upper("name").alias("_upper"))
-        .agg(F.min_by(F.struct(*kept), "contour_id").alias("contour"))
+        .agg(F.min_by(F.struct(*kept), F.struct("page", "contour_id")).alias("contour"))
     )
 
 
 def first_contour_of_object(
     objects: DataFrame, contours: DataFrame, mode: str = "contains", key: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """First contour (by number) whose upper-case name contains the object name.
+    """First contour (by page and number) whose upper-case name contains the object name.
 
     Contour names are made distinct, then cut into every substring whose length some object
     name has; the test for containment becomes an equi-join. ``mode='exact'`` compares the
@@ -185,6 +185,6 @@ def first_contour_of_object(
     return (
         parts.join(wanted, [*key, "tech_object"])
         .groupBy(*key, "tech_object")
-        .agg(F.min_by("contour", F.col("contour.contour_id")).alias("contour"))
+        .agg(F.min_by("contour", F.struct("contour.page", "contour.contour_id")).alias("contour"))
         .select(*key, "tech_object", "contour.*")
     )

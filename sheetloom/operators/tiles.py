@@ -114,9 +114,15 @@ def label_line(cls: Column, *values: Column) -> Column:
     return F.concat_ws(" ", cls.cast("string"), *[text(v) for v in values])
 
 
+def _digest(image_id: Column, seed: int) -> Column:
+    """First 60 bits of an MD5 of image and seed."""
+    text = F.concat_ws(":", image_id, F.lit(str(seed)))
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("bigint")
+
+
 def _rank_by_hash(hashed: DataFrame) -> DataFrame:
     """Global rank by hash: 65,536 hash blocks are counted, then ranked inside."""
-    blocked = hashed.withColumn("_block", F.shiftrightunsigned("_h", 48))
+    blocked = hashed.withColumn("_block", F.shiftright("_h", 44))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         blocked.groupBy("_block")
@@ -137,7 +143,7 @@ def split_images(images: DataFrame, seed: int = 42, exact: bool = True) -> DataF
     ``exact=True`` gives floor(0.8 n) training images; ``exact=False`` decides every image by
     its own hash, without a shuffle of ranks.
     """
-    hashed = images.select("image_id").distinct().withColumn("_h", F.xxhash64("image_id", F.lit(seed)))
+    hashed = images.select("image_id").distinct().withColumn("_h", _digest(F.col("image_id"), seed))
     if not exact:
         share = F.pmod("_h", F.lit(10_000)) < int(TRAIN_SHARE * 10_000)
         return hashed.select("image_id", F.when(share, "train").otherwise("val").alias("subset"))

@@ -75,7 +75,7 @@ def object_first_contour(spark, sf_dir):
     contours, _, devices = _drawing(spark, sf_dir)
     wanted = matching.device_parts(devices)
     return matching.first_contour_of_object(wanted, contours).select(
-        "doc_id", "tech_object", "contour_id", "name", "min_x", "min_y", "max_x", "max_y"
+        "doc_id", "tech_object", "page", "contour_id", "name", "min_x", "min_y", "max_x", "max_y"
     )
 
 
@@ -84,7 +84,7 @@ def object_named_contour(spark, sf_dir):
     contours, _, devices = _drawing(spark, sf_dir)
     wanted = matching.device_parts(devices)
     return matching.first_contour_of_object(wanted, contours, mode="exact").select(
-        "doc_id", "tech_object", "contour_id", "name"
+        "doc_id", "tech_object", "page", "contour_id", "name"
     )
 
 
@@ -137,17 +137,17 @@ def _contours(spark, sf_dir, strict=True):
 
 @query
 def contours_closed(spark, sf_dir):
-    return _contours(spark, sf_dir)[0].drop("page", "ambiguous")
+    return _contours(spark, sf_dir)[0].drop("ambiguous")
 
 
 @query
 def contours_stripped(spark, sf_dir):
-    return _contours(spark, sf_dir, strict=False)[0].drop("page")
+    return _contours(spark, sf_dir, strict=False)[0]
 
 
 @query
 def contour_edges(spark, sf_dir):
-    return _contours(spark, sf_dir)[1].select("doc_id", "contour_id", "seg_id", "pos", "n_edges")
+    return _contours(spark, sf_dir)[1].select("doc_id", "page", "contour_id", "seg_id", "pos", "n_edges")
 
 
 def _candidates(spark, sf_dir):
@@ -172,7 +172,7 @@ def configured_names(spark, sf_dir):
 def contour_text_candidates(spark, sf_dir):
     rows = _candidates(spark, sf_dir)[2]
     return rows.select(
-        "doc_id", "contour_id", "text_id", "candidate", "configured", "inside",
+        "doc_id", "page", "contour_id", "text_id", "candidate", "configured", "inside",
         F.round("dist", 6).alias("dist"), F.round("score", 6).alias("score"),
     )
 
@@ -181,13 +181,13 @@ def contour_text_candidates(spark, sf_dir):
 def contour_names(spark, sf_dir):
     contours, _, candidates = _candidates(spark, sf_dir)
     return naming.name_contours(contours, candidates).select(
-        "doc_id", "contour_id", "text_id", "name", "original_name", "name_x", "name_y"
+        "doc_id", "page", "contour_id", "text_id", "name", "original_name", "name_x", "name_y"
     )
 
 
 @query
 def contour_sizes(spark, sf_dir):
-    return browse.contour_sizes(_contours(spark, sf_dir)[0]).select("doc_id", "contour_id", "width", "height")
+    return browse.contour_sizes(_contours(spark, sf_dir)[0]).select("doc_id", "page", "contour_id", "width", "height")
 
 
 # Configurations
@@ -198,11 +198,16 @@ def _tables(spark, sf_dir, write_once=False) -> config.ConfigTables:
     return config.flatten_config(views.config(spark, sf_dir), write_once)
 
 
+def _entries_text(column: str):
+    """All entries of a map, in key order."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+
+
 @query
 def config_objects(spark, sf_dir):
     return _tables(spark, sf_dir).tech_objects.select(
         "doc_id", "id", "n", "tech_type", "name", "name_eplan", "name_BC", "base_tech_object", "cooper_param_number",
-        F.map_values("properties")[0].alias("property"), F.size("equipment").alias("n_equipment"),
+        "n_text", "attached_objects", _entries_text("properties").alias("properties"), _entries_text("equipment").alias("equipment"),
     )
 
 
@@ -210,7 +215,7 @@ def config_objects(spark, sf_dir):
 def config_parameters(spark, sf_dir):
     return _tables(spark, sf_dir).parameters.select(
         "doc_id", "obj_id", "obj_name", "id", "name", F.try_variant_get("value", "$", "double").alias("value"),
-        "meter", "nameLua", F.size("oper").alias("n_oper"),
+        "meter", "nameLua", F.array_join(F.col("oper").cast("array<string>"), ",").alias("oper"),
     )
 
 
@@ -224,21 +229,23 @@ def config_operations(spark, sf_dir):
 @query
 def config_states(spark, sf_dir):
     return _tables(spark, sf_dir).states.select(
-        "doc_id", "id", "name", "operation_id", "operation_name", "obj_id", F.get("checked_devices", 0).alias("first_checked")
+        "doc_id", "id", "name", "operation_id", "operation_name", "obj_id",
+        *[F.array_join(f"{a}_devices", "|").alias(a) for a in ("opened", "closed", "checked")],
     )
 
 
 @query
 def config_state_data(spark, sf_dir):
     rows = config.read_state_data(views.config(spark, sf_dir))
-    return rows.select("doc_id", "id", F.try_variant_get("state_data", "$.DI_DO[0][0][0]", "string").alias("first_signal"))
+    part = lambda p: F.try_variant_get("state_data", p, "string")
+    return rows.select("doc_id", "id", part("$.DI_DO").alias("signals"), part("$.devices_data").alias("devices_data"), part("$.checked_devices").alias("checked"))
 
 
 @query
 def config_steps(spark, sf_dir):
     return _tables(spark, sf_dir).steps.select(
         "doc_id", "id", "name", "step_number", "step_pos", "state_id", "state_name", "operation_name",
-        "time_param_n", "next_step_n", F.array_join("opened_devices", ",").alias("opened"),
+        "time_param_n", "time_param_n_text", "next_step_n", "next_step_n_text", F.array_join("opened_devices", ",").alias("opened"),
         F.array_join("closed_devices", ",").alias("closed"),
     )
 
@@ -298,21 +305,47 @@ def tree_first_states(spark, sf_dir):
 @query
 def tree_first_steps(spark, sf_dir):
     steps = _tables(spark, sf_dir).steps
-    return browse.first_of_parent(steps, ["doc_id", "state_id"], ["step_number", "step_pos"], browse.TREE_LIMIT).select(
+    return browse.first_of_parent(steps, ["doc_id", "state_id"], ["step_pos"], browse.TREE_LIMIT).select(
         "doc_id", "state_id", "id", "rank", "more"
     )
 
 
 @query
 def list_heads(spark, sf_dir):
-    head, more = browse.first_of_list(F.col("opened_devices"), 1)
-    return _tables(spark, sf_dir).states.select("doc_id", "id", F.get(head, 0).alias("first"), more.alias("more"))
+    heads = []
+    for limit in browse.LIST_LIMITS:
+        head, more = browse.first_of_list(F.concat("opened_devices", "checked_devices"), limit)
+        heads += [F.array_join(head, "|").alias(f"first_{limit}"), more.alias(f"more_{limit}")]
+    return _tables(spark, sf_dir).states.select("doc_id", "id", *heads)
+
+
+@query
+def tree_first_operations(spark, sf_dir):
+    operations = _tables(spark, sf_dir).operations
+    return browse.first_of_parent(operations, ["doc_id", "obj_id"], ["mode_pos"], browse.LIST_LIMITS[0]).select(
+        "doc_id", "obj_id", "id", "rank", "more"
+    )
+
+
+@query
+def steps_in_order(spark, sf_dir):
+    return browse.steps_in_order(_tables(spark, sf_dir).steps).select("doc_id", "state_id", "id", "place")
+
+
+@query
+def operations_by_name(spark, sf_dir):
+    return browse.operations_by_name(_tables(spark, sf_dir).operations).select("doc_id", "obj_id", "id", "name", "place")
+
+
+@query
+def devices_by_label(spark, sf_dir):
+    rows = browse.labels_of_object(matching.match_devices(*_drawing(spark, sf_dir)))
+    return rows.select("doc_id", "tech_object", "page", "contour_id", "text_id", "pdf_name", "place")
 
 
 @query
 def hierarchy_counts(spark, sf_dir):
-    t = _tables(spark, sf_dir, write_once=True)
-    return browse.hierarchy_counts(t.operations, t.states, t.steps)
+    return browse.hierarchy_counts(_tables(spark, sf_dir).tech_objects)
 
 
 @query
@@ -325,15 +358,28 @@ def entity_summary(spark, sf_dir):
     t = _tables(spark, sf_dir, write_once=True)
     doc = F.col("doc_id")
     place = ["obj_ord", "mode_pos", "state_pos", "step_pos"]
+    joined = lambda c: F.array_join(c, "|")
+    row = lambda *c: F.concat_ws(";", *[F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("-")) for x in c])
+    none = F.lit(None).cast("string")
     return browse.entity_summary(
         {
-            "tech_objects": (t.tech_objects, F.struct(doc, F.col("obj_ord")), F.col("id")),
-            "devices": (t.devices, F.struct(doc, F.col("name")), F.col("name")),
-            "operations": (t.operations, F.struct(doc, *place[:2]), F.col("id")),
-            "states": (t.states, F.struct(doc, *place[:3]), F.col("id")),
-            "steps": (t.steps, F.struct(doc, *place), F.col("id")),
-            "signals": (t.signals, F.struct(doc, F.col("name")), F.col("name")),
-            "parameters": (t.parameters, F.struct(doc, F.col("obj_ord"), F.col("param_pos")), F.col("name")),
+            "tech_objects": (
+                t.tech_objects,
+                F.struct(doc, F.col("obj_ord")),
+                row("id", F.col("n").cast("string"), F.col("tech_type").cast("string"), "name", "name_eplan", "name_BC", "base_tech_object", _entries_text("properties")),
+            ),
+            "devices": (t.devices, F.struct(doc), none),
+            "operations": (t.operations, F.struct(doc), none),
+            "states": (
+                t.states, F.struct(doc, *place[:3]),
+                row("id", "name", "operation_id", "operation_name", "obj_name", joined("opened_devices"), joined("closed_devices"), joined("checked_devices")),
+            ),
+            "steps": (
+                t.steps, F.struct(doc, *place),
+                row("id", "name", "state_id", "state_name", "operation_name", "time_param_n_text", "next_step_n_text", joined("opened_devices"), joined("closed_devices")),
+            ),
+            "signals": (t.signals, F.struct(doc), none),
+            "parameters": (t.parameters, F.struct(doc), none),
         }
     )
 
@@ -400,7 +446,7 @@ def _event_configs(spark, sf_dir):
 @query
 def event_devices(spark, sf_dir):
     return config_files.devices_of(_event_configs(spark, sf_dir)).select(
-        "path", "ord", "name", "descr", F.map_keys("extra")[0].alias("key"), F.try_element_at("extra", F.lit("k")).alias("k"),
+        "path", "ord", "name", "descr", F.array_join(F.map_keys("extra"), ",").alias("keys"), F.try_element_at("extra", F.lit("user")).alias("user"), F.try_element_at("extra", F.lit("k")).alias("k"),
         F.size("extra").alias("n_extra"),
     )
 
@@ -425,7 +471,7 @@ def file_statistics(spark, sf_dir):
 @query
 def encoding_census(spark, sf_dir):
     text, encoding = config_files.decode_text(F.col("content"))
-    return views.encoded_documents(spark, sf_dir).select("doc_id", encoding.alias("encoding"), F.length(text).alias("chars"))
+    return views.encoded_documents(spark, sf_dir).select("doc_id", encoding.alias("encoding"), F.length(text).alias("chars"), F.md5(F.regexp_replace(text, "[^\\x00-\\x7f]", "").cast("binary")).alias("ascii_md5"))
 
 
 # Names alike
@@ -469,11 +515,8 @@ def object_matches(spark, sf_dir):
 
 @query
 def nested_objects(spark, sf_dir):
-    rows = browse.objects_nested(matching.match_devices(*_drawing(spark, sf_dir)))
-    return rows.select(
-        "doc_id", "tech_object", "part", "total",
-        F.array_join(F.transform("devices", lambda d: d["pdf_name"]), ",").alias("devices"),
-    )
+    rows = browse.object_devices(matching.match_devices(*_drawing(spark, sf_dir)))
+    return rows.select("doc_id", "tech_object", "page", "contour_id", "text_id", "pdf_name", "total", "first")
 
 
 @query
@@ -490,14 +533,14 @@ def device_captions(spark, sf_dir):
 @query
 def text_rows(spark, sf_dir):
     return writers.text_rows(views.texts(spark, sf_dir)).selectExpr(
-        "doc_id", "_id as id", "_content as content", "_x as x", "_y as y", "BBox._x1 as x1", "BBox._y2 as y2"
+        "doc_id", "_page as page", "_id as id", "_content as content", "_x as x", "_y as y", "BBox._x1 as x1", "BBox._y1 as y1", "BBox._x2 as x2", "BBox._y2 as y2"
     )
 
 
 @query
 def segment_rows(spark, sf_dir):
     return writers.segment_rows(views.segments(spark, sf_dir)).selectExpr(
-        "doc_id", "_id as id", "_x1 as x1", "_x2 as x2", "_y2 as y2", "_dashed as dashed"
+        "doc_id", "_page as page", "_id as id", "_x1 as x1", "_y1 as y1", "_x2 as x2", "_y2 as y2", "_dashed as dashed"
     )
 
 
@@ -505,7 +548,36 @@ def segment_rows(spark, sf_dir):
 def contour_rows(spark, sf_dir):
     contours, edges, candidates = _candidates(spark, sf_dir)
     return writers.contour_rows(naming.name_contours(contours, candidates), edges).selectExpr(
-        "doc_id", "_id as id", "SegmentRefs as refs", "Bounds._max_x as max_x", "Name._VALUE as name"
+        "doc_id", "_page as page", "_id as id", "SegmentRefs as refs", "Bounds._min_x as min_x", "Bounds._min_y as min_y", "Bounds._max_x as max_x",
+        "Bounds._max_y as max_y", "Center._x as cx", "Center._y as cy", "Name._VALUE as name", "Name._pos_x as name_x", "Name._pos_y as name_y",
+    )
+
+
+@query
+def matched_rows(spark, sf_dir):
+    contours, texts, devices = _drawing(spark, sf_dir)
+    enriched = matching.enrich_matches(matching.match_devices(contours, texts, devices), devices)
+    first = matching.first_contour_of_object(matching.device_parts(devices), contours)
+    d = "Devices.Device[0]."
+    return writers.matched_rows(enriched, first).selectExpr(
+        "doc_id", "_name as tech_object", "Contour._bounds as bounds", "Contour._center as center",
+        *[f"{d}_{c} as {c}" for c in ("lua_name", "pdf_name", "x", "y", "confidence", "device_type", "descr", "article", "type", "category", "size", "price")],
+    )
+
+
+@query
+def visualisation_contours(spark, sf_dir):
+    contours = matching.contours_with_object(views.contours(spark, sf_dir))
+    return writers.contour_view_rows(contours).selectExpr("doc_id", "_name as name", "_tech_object as tech_object", "_bounds as bounds", "_center as center", "_width as width", "_height as height")
+
+
+@query
+def visualisation_devices(spark, sf_dir):
+    contours, texts, devices = _drawing(spark, sf_dir)
+    rows = matching.enrich_matches(matching.match_devices(contours, texts, devices), devices)
+    return writers.device_view_rows(rows).selectExpr(
+        "doc_id", "_lua_name as lua_name", "_pdf_name as pdf_name", "_tech_object as tech_object", "_x as x", "_y as y", "_confidence as confidence",
+        "_descr as descr", "_article as article", "_device_type as device_type", "_category as category", "ExtraData['size'] as size",
     )
 
 
@@ -577,14 +649,17 @@ def clamped_shapes(spark, sf_dir):
         " struct(cast(xmax as double) as x, cast(ymax as double) as y)) as points"
     )
     rows = annotations.clamp_shapes(drawn, views.images(spark, sf_dir))
-    return rows.select("image_id", "box_id", "changed", F.get("points", 1)["x"].alias("x"), F.get("points", 1)["y"].alias("y"))
+    corner = lambda i: [F.get("points", i)[c].alias(f"{c}{i}") for c in ("x", "y")]
+    return rows.select("image_id", "box_id", "changed", *corner(0), *corner(1))
 
 
 @query
 def annotation_files(spark, sf_dir):
-    rows = writers.annotation_rows(views.boxes(spark, sf_dir).withColumn("difficult", F.lit(False)),
-                                   views.images(spark, sf_dir).withColumn("verified", F.lit(False)))
-    return rows.select("image_id", F.size("object").alias("boxes"), F.array_min(F.transform("object", lambda o: o["bndbox"]["xmin"])).alias("xmin"))
+    # Images of every other order have no boxes.
+    boxes = views.boxes(spark, sf_dir).where("substr(image_id, -1) in ('0', '2', '4', '6', '8')").withColumn("difficult", F.lit(False))
+    rows = writers.annotation_rows(boxes, views.images(spark, sf_dir).withColumn("verified", F.col("width") > 2000))
+    text = lambda o: F.concat_ws(":", o["name"], *[o["bndbox"][s] for s in ("xmin", "ymin", "xmax", "ymax")])
+    return rows.select("image_id", "_verified", "size.width", "size.height", F.array_join(F.transform("object", text), "|").alias("boxes"))
 
 
 # Detections and primitives

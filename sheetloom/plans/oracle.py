@@ -26,7 +26,7 @@ _BOX = """CAST(o_orderkey % 100 * 50 AS DOUBLE) AS min_x, CAST(o_orderkey // 100
   CAST(o_orderkey % 100 * 50 + 20 AS DOUBLE) AS max_x, CAST(o_orderkey // 100 * 50 + 30 - o_orderkey % 3 * 4 AS DOUBLE) AS max_y"""
 
 CONTOURS = f"""contours AS (
-  SELECT o_orderkey % 50 AS doc_id, o_orderkey AS contour_id, {_BOX},
+  SELECT o_orderkey % 50 AS doc_id, CAST(o_orderkey // 50 % 2 AS INT) AS page, o_orderkey AS contour_id, {_BOX},
     CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '1-URGENT' THEN '=A+TANK' || (o_orderkey // 50 % 20)
       ELSE 'TANK' || (o_orderkey // 50 % 20) END AS name,
     CASE WHEN o_orderpriority <> '5-LOW' THEN 'TANK' || (o_orderkey // 50 % 20) END AS tech_object
@@ -35,7 +35,7 @@ CONTOURS = f"""contours AS (
 _LABEL = f"{_pick(TYPES, 'l_linenumber')} || (l_partkey % 7)"
 
 TEXTS = f"""texts AS (
-  SELECT l_orderkey % 50 AS doc_id, {_ROW_ID} AS text_id,
+  SELECT l_orderkey % 50 AS doc_id, CAST(l_orderkey // 50 % 2 AS INT) AS page, {_ROW_ID} AS text_id,
     CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN '=A+TANK' || (l_partkey % 40) || ':'
       WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN '=A+M' || (l_partkey % 9) || '+' || l_suppkey
       ELSE {_LABEL} END AS text,
@@ -53,12 +53,13 @@ _TYPE = _pick(TYPES, "p_size % 7 + 1")
 DEVICES = f"""devices AS (
   SELECT p_partkey % 50 AS doc_id, p_partkey AS ord, 'TANK' || (p_partkey // 50 % 20) || {_TYPE} || (p_partkey % 7) AS name,
     'TANK' || (p_partkey // 50 % 20) AS tech_object, {_TYPE} || (p_partkey % 7) AS short_name,
-    p_name AS descr, p_brand AS article, {_TYPE} AS type, p_type AS category, CAST(p_size AS VARCHAR) AS size
+    p_name AS descr, p_brand AS article, {_TYPE} AS type, p_type AS category, CAST(p_size AS VARCHAR) AS size,
+    CAST(p_retailprice AS VARCHAR) AS price
   FROM part)"""
 
 INSIDE = """inside AS (
-  SELECT c.doc_id, c.contour_id, c.tech_object, t.text_id, t.label, t.cx, t.cy
-  FROM contours c JOIN labels_ t ON t.doc_id = c.doc_id
+  SELECT c.doc_id, c.page, c.contour_id, c.tech_object, t.text_id, t.label, t.cx, t.cy
+  FROM contours c JOIN labels_ t ON t.doc_id = c.doc_id AND t.page = c.page
     AND t.cx BETWEEN c.min_x - 5 AND c.max_x + 5 AND t.cy BETWEEN c.min_y - 5 AND c.max_y + 5
   WHERE c.tech_object IS NOT NULL)"""
 
@@ -74,7 +75,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["device_match_counts"] = f"{_DRAWING} SELECT doc_id, tech_object, count(*) AS devices FROM matches GROUP BY ALL"
 
 ORACLE["device_match_rows"] = f"""{_DRAWING}
-SELECT doc_id, 0 AS page, contour_id, text_id, tech_object || label AS lua_name, label AS pdf_name, tech_object,
+SELECT doc_id, page, contour_id, text_id, tech_object || label AS lua_name, label AS pdf_name, tech_object,
   cx AS x, cy AS y, CAST(1.0 AS DOUBLE) AS confidence, regexp_extract(label, '^[A-Z]+') AS device_type FROM matches"""
 
 ORACLE["unmatched_labels"] = f"""{_DRAWING}
@@ -99,15 +100,15 @@ FROM matches m LEFT JOIN (SELECT doc_id, upper(name) AS n, arg_max(devices, ord)
   ON l.doc_id = m.doc_id AND l.n = m.tech_object || m.label"""
 
 ORACLE["object_first_contour"] = f"""{_DRAWING},
-pairs AS (SELECT o.doc_id, o.tech_object, min(c.contour_id) AS contour_id
+pairs AS (SELECT o.doc_id, o.tech_object, first(c.contour_id ORDER BY c.page, c.contour_id) AS contour_id
   FROM {_KNOWN} o JOIN contours c ON c.doc_id = o.doc_id AND contains(upper(c.name), o.tech_object) GROUP BY ALL)
-SELECT p.doc_id, p.tech_object, contour_id, name, min_x, min_y, max_x, max_y
+SELECT p.doc_id, p.tech_object, page, contour_id, name, min_x, min_y, max_x, max_y
 FROM pairs p JOIN contours c USING (contour_id)"""
 
 ORACLE["object_named_contour"] = f"""{_DRAWING},
-pairs AS (SELECT o.doc_id, o.tech_object, min(c.contour_id) AS contour_id
+pairs AS (SELECT o.doc_id, o.tech_object, first(c.contour_id ORDER BY c.page, c.contour_id) AS contour_id
   FROM {_KNOWN} o JOIN contours c ON c.doc_id = o.doc_id AND c.tech_object = o.tech_object GROUP BY ALL)
-SELECT p.doc_id, p.tech_object, contour_id, name FROM pairs p JOIN contours c USING (contour_id)"""
+SELECT p.doc_id, p.tech_object, page, contour_id, name FROM pairs p JOIN contours c USING (contour_id)"""
 
 ORACLE["device_name_parts"] = f"""WITH {DEVICES}
 SELECT doc_id, ord, name, nullif(regexp_extract(upper(name), '{_CODES}([0-9]+)$', 1), '') AS device_type,
@@ -127,19 +128,19 @@ sides AS (SELECT *, unnest(range(0, n)) AS k FROM box),
 pts AS (SELECT *, CASE WHEN k < 2 THEN min_x WHEN k < 4 THEN max_x ELSE max_x - 4.0 * (k - 3) END AS x1,
     CASE WHEN k IN (1, 2) THEN max_y ELSE min_y END AS y1 FROM sides),
 segments AS (
-  SELECT a.o_orderkey % 50 AS doc_id, a.o_orderkey AS d, a.o_orderkey * 10 + a.k AS seg_id, a.x1, a.y1,
+  SELECT a.o_orderkey % 50 AS doc_id, CAST(a.o_orderkey // 50 % 2 AS INT) AS page, a.o_orderkey AS d, a.o_orderkey * 10 + a.k AS seg_id, a.x1, a.y1,
     b.x1 + CASE WHEN a.k % 2 = 0 THEN 0.125 ELSE 0 END AS x2, b.y1 AS y2, a.o_orderstatus <> 'O' AS dashed
   FROM pts a JOIN pts b ON b.o_orderkey = a.o_orderkey AND b.k = (a.k + 1) % a.n
   WHERE a.o_orderstatus <> 'P' OR a.k > 0
   UNION ALL
-  SELECT o_orderkey % 50, o_orderkey, o_orderkey * 10 + 9, max_x, max_y, max_x + 5.0, max_y + 5.0, o_orderstatus <> 'O'
+  SELECT o_orderkey % 50, CAST(o_orderkey // 50 % 2 AS INT), o_orderkey, o_orderkey * 10 + 9, max_x, max_y, max_x + 5.0, max_y + 5.0, o_orderstatus <> 'O'
   FROM box WHERE o_orderpriority = '1-URGENT')"""
 
 _ENDS = """ends AS (
-  SELECT doc_id, d, seg_id, round_even(x1 / 0.5, 0) AS vx, round_even(y1 / 0.5, 0) AS vy FROM segments WHERE dashed
+  SELECT doc_id, page, d, seg_id, round_even(x1 / 0.5, 0) AS vx, round_even(y1 / 0.5, 0) AS vy FROM segments WHERE dashed
   UNION ALL
-  SELECT doc_id, d, seg_id, round_even(x2 / 0.5, 0), round_even(y2 / 0.5, 0) FROM segments WHERE dashed),
-degree AS (SELECT doc_id, vx, vy, count(*) AS degree FROM ends GROUP BY ALL)"""
+  SELECT doc_id, page, d, seg_id, round_even(x2 / 0.5, 0), round_even(y2 / 0.5, 0) FROM segments WHERE dashed),
+degree AS (SELECT doc_id, page, vx, vy, count(*) AS degree FROM ends GROUP BY ALL)"""
 
 # Components by walking shared vertices from every segment; loops have degree 2 throughout.
 _LOOPS = f"""{SEGMENTS}, {_ENDS},
@@ -147,34 +148,34 @@ reach AS (
   SELECT DISTINCT doc_id, seg_id AS a, seg_id AS b FROM ends
   UNION
   SELECT r.doc_id, r.a, f.seg_id FROM reach r JOIN ends e ON e.seg_id = r.b
-    JOIN ends f ON f.doc_id = e.doc_id AND f.vx = e.vx AND f.vy = e.vy),
+    JOIN ends f ON f.doc_id = e.doc_id AND f.page = e.page AND f.vx = e.vx AND f.vy = e.vy),
 component AS (SELECT doc_id, a AS seg_id, min(b) AS loop FROM reach GROUP BY ALL),
-sound AS (SELECT c.loop FROM component c JOIN ends e USING (seg_id) JOIN degree g ON g.doc_id = e.doc_id AND g.vx = e.vx AND g.vy = e.vy
+sound AS (SELECT c.loop FROM component c JOIN ends e USING (seg_id) JOIN degree g ON g.doc_id = e.doc_id AND g.page = e.page AND g.vx = e.vx AND g.vy = e.vy
   GROUP BY c.loop HAVING max(degree) = 2 AND min(degree) = 2 AND count(DISTINCT c.seg_id) >= 3)"""
 
-_NUMBERED = """numbered AS (SELECT doc_id, loop, row_number() OVER (PARTITION BY doc_id ORDER BY loop) - 1 AS contour_id
-  FROM (SELECT DISTINCT doc_id, loop FROM loop_edges))"""
+_NUMBERED = """numbered AS (SELECT doc_id, page, loop, row_number() OVER (PARTITION BY doc_id, page ORDER BY loop) - 1 AS contour_id
+  FROM (SELECT DISTINCT doc_id, page, loop FROM loop_edges))"""
 
-_BOUNDS = """SELECT e.doc_id, n.contour_id, min(least(x1, x2)) AS min_x, min(least(y1, y2)) AS min_y, max(greatest(x1, x2)) AS max_x,
+_BOUNDS = """SELECT e.doc_id, e.page, n.contour_id, min(least(x1, x2)) AS min_x, min(least(y1, y2)) AS min_y, max(greatest(x1, x2)) AS max_x,
   max(greatest(y1, y2)) AS max_y, count(*) AS n_edges, (min(least(x1, x2)) + max(greatest(x1, x2))) / 2 AS cx,
   (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS cy"""
 
 _CLOSED = f"""WITH RECURSIVE {_LOOPS},
-loop_edges AS (SELECT c.doc_id, c.loop, s.seg_id, s.x1, s.y1, s.x2, s.y2 FROM component c JOIN sound USING (loop) JOIN segments s ON s.seg_id = c.seg_id),
-{_NUMBERED}, closed AS ({_BOUNDS} FROM loop_edges e JOIN numbered n ON n.loop = e.loop GROUP BY e.doc_id, n.contour_id)"""
+loop_edges AS (SELECT c.doc_id, s.page, c.loop, s.seg_id, s.x1, s.y1, s.x2, s.y2 FROM component c JOIN sound USING (loop) JOIN segments s ON s.seg_id = c.seg_id),
+{_NUMBERED}, closed AS ({_BOUNDS} FROM loop_edges e JOIN numbered n ON n.loop = e.loop GROUP BY e.doc_id, e.page, n.contour_id)"""
 
 ORACLE["contours_closed"] = f"{_CLOSED} SELECT * FROM closed"
 
-ORACLE["contour_sizes"] = f"{_CLOSED} SELECT doc_id, contour_id, max_x - min_x AS width, max_y - min_y AS height FROM closed"
+ORACLE["contour_sizes"] = f"{_CLOSED} SELECT doc_id, page, contour_id, max_x - min_x AS width, max_y - min_y AS height FROM closed"
 
 # Status F is closed; the spur of urgent orders is stripped and makes the loop ambiguous.
 ORACLE["contours_stripped"] = f"""WITH {SEGMENTS},
 loop_edges AS (SELECT s.*, s.d * 10 AS loop, o.o_orderpriority = '1-URGENT' AS ambiguous FROM segments s JOIN orders o ON o.o_orderkey = s.d
   WHERE o.o_orderstatus = 'F' AND s.seg_id % 10 < 9),
-{_NUMBERED} {_BOUNDS}, bool_or(e.ambiguous) AS ambiguous FROM loop_edges e JOIN numbered n ON n.loop = e.loop GROUP BY e.doc_id, n.contour_id"""
+{_NUMBERED} {_BOUNDS}, bool_or(e.ambiguous) AS ambiguous FROM loop_edges e JOIN numbered n ON n.loop = e.loop GROUP BY e.doc_id, e.page, n.contour_id"""
 
 ORACLE["contour_edges"] = f"""{_CLOSED}
-SELECT e.doc_id, n.contour_id, e.seg_id, e.seg_id - e.loop AS pos, count(*) OVER (PARTITION BY e.loop) AS n_edges
+SELECT e.doc_id, e.page, n.contour_id, e.seg_id, e.seg_id - e.loop AS pos, count(*) OVER (PARTITION BY e.loop) AS n_edges
 FROM loop_edges e JOIN numbered n ON n.loop = e.loop"""
 
 ORACLE["segment_flags"] = f"""WITH {SEGMENTS}
@@ -197,7 +198,7 @@ dictionary AS (SELECT doc_id, known, name_eplan FROM spoken
   QUALIFY row_number() OVER (PARTITION BY doc_id, known ORDER BY obj_ord DESC, pos DESC) = 1)"""
 
 CANDIDATES = """candidates AS (
-  SELECT doc_id, text_id, cx, cy, CASE WHEN text LIKE '=A+TANK%' THEN trim(split_part(text, '+', 2), ':') ELSE split_part(text, '+', 2) END AS candidate
+  SELECT doc_id, page, text_id, cx, cy, CASE WHEN text LIKE '=A+TANK%' THEN trim(split_part(text, '+', 2), ':') ELSE split_part(text, '+', 2) END AS candidate
   FROM texts WHERE contains(text, '+')),
 configured AS (
   SELECT c.*, e.known IS NOT NULL OR t.known IS NOT NULL OR m.known IS NOT NULL AS configured,
@@ -215,41 +216,42 @@ SELECT doc_id, text_id, candidate, configured, final_name FROM configured"""
 _NAMING = f"""{_CLOSED}, {TEXTS}, {OBJECTS}, {CANDIDATES},
 drawn AS (SELECT e.*, n.contour_id, x2 - x1 AS dx, y2 - y1 AS dy FROM loop_edges e JOIN numbered n ON n.loop = e.loop),
 near AS (
-  SELECT doc_id, contour_id, text_id, any_value(candidate) AS candidate, any_value(configured) AS configured,
+  SELECT doc_id, page, contour_id, text_id, any_value(candidate) AS candidate, any_value(configured) AS configured,
     any_value(final_name) AS final_name, any_value(cx) AS cx, any_value(cy) AS cy,
     min(sqrt((cx - x1 - t * dx) ** 2 + (cy - y1 - t * dy) ** 2)) AS dist,
     count_if(((y1 <= cy AND cy < y2) OR (y2 <= cy AND cy < y1)) AND x1 + (cy - y1) * dx / nullif(dy, 0) > cx) % 2 = 1 AS inside
   FROM (SELECT e.*, c.text_id, c.candidate, c.configured, c.final_name, c.cx, c.cy,
       greatest(0, least(1, coalesce(((c.cx - x1) * dx + (c.cy - y1) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t
-    FROM drawn e JOIN configured c ON c.doc_id = e.doc_id)
-  GROUP BY doc_id, contour_id, text_id HAVING min(sqrt((cx - x1 - t * dx) ** 2 + (cy - y1 - t * dy) ** 2)) <= 200),
+    FROM drawn e JOIN configured c ON c.doc_id = e.doc_id AND c.page = e.page)
+  GROUP BY doc_id, page, contour_id, text_id HAVING min(sqrt((cx - x1 - t * dx) ** 2 + (cy - y1 - t * dy) ** 2)) <= 200),
 scored AS (SELECT *, dist * CASE WHEN configured AND inside THEN 0.1 WHEN configured THEN 0.3 WHEN inside THEN 0.8 ELSE 1 END AS score FROM near)"""
 
 ORACLE["contour_text_candidates"] = f"""{_NAMING}
-SELECT doc_id, contour_id, text_id, candidate, configured, inside, round(dist, 6) AS dist, round(score, 6) AS score FROM scored"""
+SELECT doc_id, page, contour_id, text_id, candidate, configured, inside, round(dist, 6) AS dist, round(score, 6) AS score FROM scored"""
 
 # Contours of a document in turn: a list of used texts goes from step to step.
 _TURNS = f"""{_NAMING},
-lists AS (SELECT s.doc_id, s.contour_id, (c.max_x - c.min_x) * (c.max_y - c.min_y) AS area,
+lists AS (SELECT s.doc_id, s.page, s.contour_id, (c.max_x - c.min_x) * (c.max_y - c.min_y) AS area,
     list(text_id ORDER BY score, text_id) AS options
-  FROM scored s JOIN closed c ON c.doc_id = s.doc_id AND c.contour_id = s.contour_id GROUP BY ALL),
-turns AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY area, contour_id) AS turn FROM lists),
+  FROM scored s JOIN closed c ON c.doc_id = s.doc_id AND c.page = s.page AND c.contour_id = s.contour_id GROUP BY ALL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY area, contour_id) AS turn FROM lists),
 walk AS (
-  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS turn, CAST(-1 AS BIGINT) AS contour_id, CAST(NULL AS BIGINT) AS text_id, CAST([] AS BIGINT[]) AS used FROM turns
+  SELECT DISTINCT doc_id, page, CAST(0 AS BIGINT) AS turn, CAST(-1 AS BIGINT) AS contour_id, CAST(NULL AS BIGINT) AS text_id, CAST([] AS BIGINT[]) AS used FROM turns
   UNION ALL
-  SELECT doc_id, turn, contour_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
-  FROM (SELECT w.doc_id, t.turn, t.contour_id, w.used, list_filter(t.options, lambda o: NOT list_contains(w.used, o))[1] AS pick
-    FROM walk w JOIN turns t ON t.doc_id = w.doc_id AND t.turn = w.turn + 1)),
-named AS (SELECT c.doc_id, c.contour_id, w.text_id, s.final_name AS name, s.candidate AS original_name, s.cx AS name_x, s.cy AS name_y
-  FROM closed c LEFT JOIN walk w ON w.doc_id = c.doc_id AND w.contour_id = c.contour_id
-    LEFT JOIN scored s ON s.doc_id = c.doc_id AND s.contour_id = c.contour_id AND s.text_id = w.text_id)"""
+  SELECT doc_id, page, turn, contour_id, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+  FROM (SELECT w.doc_id, w.page, t.turn, t.contour_id, w.used, list_filter(t.options, lambda o: NOT list_contains(w.used, o))[1] AS pick
+    FROM walk w JOIN turns t ON t.doc_id = w.doc_id AND t.page = w.page AND t.turn = w.turn + 1)),
+named AS (SELECT c.doc_id, c.page, c.contour_id, w.text_id, s.final_name AS name, s.candidate AS original_name, s.cx AS name_x, s.cy AS name_y
+  FROM closed c LEFT JOIN walk w ON w.doc_id = c.doc_id AND w.page = c.page AND w.contour_id = c.contour_id
+    LEFT JOIN scored s ON s.doc_id = c.doc_id AND s.page = c.page AND s.contour_id = c.contour_id AND s.text_id = w.text_id)"""
 
 ORACLE["contour_names"] = f"{_TURNS} SELECT * FROM named"
 
 ORACLE["contour_rows"] = f"""{_TURNS},
-refs AS (SELECT doc_id, contour_id, string_agg(seg_id, ' ' ORDER BY seg_id) AS refs FROM drawn GROUP BY ALL)
-SELECT n.doc_id, n.contour_id AS id, refs, printf('%.3f', c.max_x) AS max_x, name
-FROM named n JOIN refs USING (doc_id, contour_id) JOIN closed c USING (doc_id, contour_id) WHERE coalesce(name, '') <> ''"""
+refs AS (SELECT doc_id, page, contour_id, string_agg(seg_id, ' ' ORDER BY seg_id) AS refs FROM drawn GROUP BY ALL)
+SELECT n.doc_id, n.page, n.contour_id AS id, refs, printf('%.3f', c.min_x) AS min_x, printf('%.3f', c.min_y) AS min_y, printf('%.3f', c.max_x) AS max_x,
+  printf('%.3f', c.max_y) AS max_y, printf('%.3f', c.cx) AS cx, printf('%.3f', c.cy) AS cy, name, printf('%.3f', name_x) AS name_x, printf('%.3f', name_y) AS name_y
+FROM named n JOIN refs USING (doc_id, page, contour_id) JOIN closed c USING (doc_id, page, contour_id) WHERE coalesce(name, '') <> ''"""
 
 # Configurations: objects, operations m, states s and steps k straight from the orders.
 CONFIG = """objs AS (SELECT o_orderkey % 50 AS doc_id, o_orderkey AS d, CAST(o_orderkey AS VARCHAR) AS obj_id, 'Obj ' || o_custkey AS obj_name,
@@ -264,23 +266,29 @@ steps AS (SELECT *, state_id || '_' || k AS step_id, CASE WHEN k % 2 = 1 THEN 's
 
 ORACLE["config_objects"] = f"""WITH {CONFIG}
 SELECT doc_id, obj_id AS id, d AS n, d % 5 AS tech_type, obj_name AS name, 'TANK' || (c % 30) AS name_eplan, o_orderpriority AS name_BC,
-  o_orderstatus AS base_tech_object, CAST(NULL AS BIGINT) AS cooper_param_number, o_orderstatus AS property, 3 AS n_equipment FROM objs"""
+  o_orderstatus AS base_tech_object, CAST(NULL AS BIGINT) AS cooper_param_number, obj_id AS n_text, CAST(NULL AS VARCHAR) AS attached_objects,
+  'p=' || o_orderstatus AS properties, 'lt=D' || (c % 100) || 'LT9,none=Нет,x=4' AS equipment FROM objs"""
 
 ORACLE["config_parameters"] = f"""WITH {CONFIG}
-SELECT doc_id, obj_id, obj_name, '1' AS id, 'Volume' AS name, o_totalprice AS value, 'l' AS meter, 'V_1' AS nameLua, 2 AS n_oper FROM objs
-UNION ALL SELECT doc_id, obj_id, obj_name, '2', '', CAST(c AS DOUBLE), '', '', 0 FROM objs"""
+SELECT doc_id, obj_id, obj_name, '1' AS id, 'Volume' AS name, o_totalprice AS value, 'l' AS meter, 'V_1' AS nameLua, '1,' || (d % 7) AS oper FROM objs
+UNION ALL SELECT doc_id, obj_id, obj_name, '2', '', CAST(c AS DOUBLE), '', '', '' FROM objs"""
 
 ORACLE["config_operations"] = f"""WITH {CONFIG}
 SELECT doc_id, operation_id AS id, operation_name AS name, base_operation, obj_id, obj_name, o_orderpriority AS k FROM ops"""
 
+_OPENED = """'D' || (c % 80) || 'V' || s || '|{{"a":"D' || (c % 70) || 'LS' || m || '","b":5}}'""".replace("{{", "{").replace("}}", "}")
+_CHECKED = "'D' || (c % 60) || 'LT' || s || '|7'"
 ORACLE["config_states"] = f"""WITH {CONFIG}
-SELECT doc_id, state_id AS id, state_name AS name, operation_id, operation_name, obj_id, 'D' || (c % 60) || 'LT' || s AS first_checked FROM states"""
+SELECT doc_id, state_id AS id, state_name AS name, operation_id, operation_name, obj_id, {_OPENED} AS opened, '' AS closed, {_CHECKED} AS checked FROM states"""
 
-ORACLE["config_state_data"] = f"WITH {CONFIG} SELECT doc_id, state_id AS id, 'DI' || (c % 40) AS first_signal FROM states"
+ORACLE["config_state_data"] = f"""WITH {CONFIG}
+SELECT doc_id, state_id AS id, '[[["DI' || (c % 40) || '","DO' || m || '"],["S3"]],["S9"]]' AS signals, '[{{"devices":["D' || (c % 50) || 'TE' || m || '"]}}]' AS devices_data,
+  '["D' || (c % 60) || 'LT' || s || '",7]' AS checked FROM states"""
 
+_TIME = "CASE WHEN k = 2 THEN '2.0' ELSE CAST(k AS VARCHAR) END"
 ORACLE["config_steps"] = f"""WITH {CONFIG}
 SELECT doc_id, step_id AS id, step_name AS name, CAST(k AS BIGINT) AS step_number, step_pos, state_id, state_name, operation_name,
-  CAST(k AS BIGINT) AS time_param_n, CAST(-1 AS BIGINT) AS next_step_n, 'D' || (c % 100) || 'V' || k AS opened, 'D' || (c % 90) || 'M' || m AS closed FROM steps"""
+  CAST(k AS BIGINT) AS time_param_n, {_TIME} AS time_param_n_text, CAST(CASE WHEN k < 3 THEN -1 END AS BIGINT) AS next_step_n, CASE WHEN k = 3 THEN 'T5' END AS next_step_n_text, 'D' || (c % 100) || 'V' || k AS opened, 'D' || (c % 90) || 'M' || m AS closed FROM steps"""
 
 # All device mentions with their place: object, operation, state, part, step, field, position.
 MENTIONS = """mentions AS (
@@ -329,10 +337,23 @@ SELECT doc_id, operation_id, state_id AS id, CAST(row_number() OVER (PARTITION B
 FROM states QUALIFY row_number() OVER (PARTITION BY operation_id ORDER BY s) <= 2"""
 
 ORACLE["tree_first_steps"] = f"""WITH {CONFIG}
-SELECT doc_id, state_id, step_id AS id, CAST(row_number() OVER (PARTITION BY state_id ORDER BY k) AS INT) AS rank, greatest(count(*) OVER (PARTITION BY state_id) - 2, 0) AS more
-FROM steps QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY k) <= 2"""
+SELECT doc_id, state_id, step_id AS id, CAST(row_number() OVER (PARTITION BY state_id ORDER BY step_pos) AS INT) AS rank, greatest(count(*) OVER (PARTITION BY state_id) - 2, 0) AS more
+FROM steps QUALIFY row_number() OVER (PARTITION BY state_id ORDER BY step_pos) <= 2"""
 
-ORACLE["list_heads"] = f"WITH {CONFIG} SELECT doc_id, state_id AS id, 'D' || (c % 80) || 'V' || s AS first, 1 AS more FROM states"
+ORACLE["list_heads"] = f"""WITH {CONFIG}
+SELECT doc_id, state_id AS id, {_OPENED} || '|D' || (c % 60) || 'LT' || s AS first_3, 1 AS more_3, {_OPENED} || '|' || {_CHECKED} AS first_10, 0 AS more_10 FROM states"""
+
+ORACLE["tree_first_operations"] = f"""WITH {CONFIG}
+SELECT doc_id, obj_id, operation_id AS id, CAST(m AS INT) AS rank, CAST(0 AS BIGINT) AS more FROM ops"""
+
+ORACLE["steps_in_order"] = f"WITH {CONFIG} SELECT doc_id, state_id, step_id AS id, CAST(k AS INT) AS place FROM steps"
+
+ORACLE["operations_by_name"] = f"""WITH {CONFIG}
+SELECT doc_id, obj_id, operation_id AS id, operation_name AS name, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY operation_name, m) AS INT) AS place FROM ops"""
+
+ORACLE["devices_by_label"] = f"""{_DRAWING}
+SELECT doc_id, tech_object, page, contour_id, text_id, label AS pdf_name,
+  CAST(row_number() OVER (PARTITION BY doc_id, tech_object ORDER BY label, page, contour_id, text_id) AS INT) AS place FROM matches"""
 
 ORACLE["hierarchy_counts"] = f"""WITH {CONFIG}
 SELECT o.doc_id, o.obj_id, o.obj_name, o.operation_id, o.operation_name AS name, count(DISTINCT s.state_id) AS n_states,
@@ -343,13 +364,13 @@ ORACLE["operation_totals"] = f"""WITH {CONFIG}
 SELECT doc_id, count(DISTINCT obj_id) AS objects_with_operations, count(*) AS operations FROM ops GROUP BY ALL"""
 
 ORACLE["entity_summary"] = f"""WITH {CONFIG}, {MENTIONS}, {SIGNALS}
-SELECT 'tech_objects' AS entity, count(*) AS n, first(obj_id ORDER BY doc_id, d) AS sample FROM objs
-UNION ALL SELECT 'devices', count(*), first(name ORDER BY doc_id, name) FROM first_seen
-UNION ALL SELECT 'operations', count(*), first(operation_id ORDER BY doc_id, d, m) FROM ops
-UNION ALL SELECT 'states', count(*), first(state_id ORDER BY doc_id, d, m, s) FROM states
-UNION ALL SELECT 'steps', count(*), first(step_id ORDER BY doc_id, d, m, s, step_pos) FROM steps
-UNION ALL SELECT 'signals', count(*), first(name ORDER BY doc_id, name) FROM signals
-UNION ALL SELECT 'parameters', 2 * count(*), 'Volume' FROM objs"""
+SELECT 'tech_objects' AS entity, count(*) AS n, first(concat_ws(';', obj_id, d, d % 5, obj_name, 'TANK' || (c % 30), o_orderpriority, o_orderstatus, 'p=' || o_orderstatus) ORDER BY doc_id, d) AS sample FROM objs
+UNION ALL SELECT 'devices', count(*), NULL FROM first_seen
+UNION ALL SELECT 'operations', count(*), NULL FROM ops
+UNION ALL SELECT 'states', count(*), first(concat_ws(';', state_id, state_name, operation_id, operation_name, obj_name, {_OPENED}, '', {_CHECKED}) ORDER BY doc_id, d, m, s) FROM states
+UNION ALL SELECT 'steps', count(*), first(concat_ws(';', step_id, step_name, state_id, state_name, operation_name, {_TIME}, CASE WHEN k = 3 THEN 'T5' ELSE '-' END, 'D' || (c % 100) || 'V' || k, 'D' || (c % 90) || 'M' || m) ORDER BY doc_id, d, m, s, step_pos) FROM steps
+UNION ALL SELECT 'signals', count(*), NULL FROM signals
+UNION ALL SELECT 'parameters', 2 * count(*), NULL FROM objs"""
 
 ORACLE["operation_details"] = f"""WITH {CONFIG}
 SELECT doc_id, operation_id AS id, operation_name AS name, obj_id, d % 5 AS tech_type, 'TANK' || (c % 30) AS name_eplan, CAST(2 AS BIGINT) AS n_parameters FROM ops"""
@@ -372,7 +393,7 @@ GROUP BY w.doc_id, wanted"""
 
 _GOOD = "event_type NOT IN ('error', 'view')"
 ORACLE["event_devices"] = f"""SELECT CAST(event_id AS VARCHAR) AS path, 0 AS ord, 'E' || (user_id % 9) || 'V1' AS name, CAST(NULL AS VARCHAR) AS descr,
-  'user' AS key, json_extract_string(props, '$.k') AS k, 2 AS n_extra FROM events WHERE {_GOOD}"""
+  'user,k' AS keys, CAST(user_id AS VARCHAR) AS "user", json_extract_string(props, '$.k') AS k, 2 AS n_extra FROM events WHERE {_GOOD}"""
 ORACLE["event_nodes"] = f"""SELECT CAST(event_id AS VARCHAR) AS path, ord, CAST(ord + 1 AS BIGINT) AS node
 FROM events, (VALUES (0), (1)) n(ord) WHERE {_GOOD}"""
 ORACLE["config_rejects"] = """SELECT CAST(event_id AS VARCHAR) AS path, CASE event_type WHEN 'error' THEN 'no nodes' ELSE 'not a JSON object' END AS reason
@@ -381,7 +402,8 @@ ORACLE["file_statistics"] = f"""SELECT CAST(count_if({_GOOD}) AS BIGINT) AS file
 
 ORACLE["encoding_census"] = """SELECT doc_id, CASE WHEN lang = 'de' THEN 'latin-1'
   WHEN lang = 'fr' AND regexp_matches(regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g'), '[^\\x00-\\x7f]') THEN 'cp1251' ELSE 'utf-8' END AS encoding,
-  CAST(length(text) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS INT) AS chars FROM documents"""
+  CAST(length(text) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS INT) AS chars,
+  md5(regexp_replace(CASE WHEN lang IN ('fr', 'de') THEN regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g') ELSE text END, '[^\\x00-\\x7f]', '', 'g')) AS ascii_md5 FROM documents"""
 
 # Similarity of every pair of distinct names.
 ORACLE["fuzzy_objects"] = """WITH a AS (SELECT DISTINCT p_partkey % 10 AS doc_id, substr(replace(p_name, ' ', ''), CAST(1 + p_partkey % 3 AS INT)) || (p_size % 30) AS a FROM part),
@@ -402,17 +424,39 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM matches GROUP BY ALL) m USING (doc_
 
 ORACLE["matched_objects"] = f"{_DRAWING} SELECT DISTINCT doc_id, tech_object FROM matches"
 ORACLE["object_matches"] = f"{_DRAWING} SELECT doc_id, contour_id, text_id, label AS pdf_name FROM matches WHERE tech_object = 'TANK7'"
-ORACLE["nested_objects"] = f"""{_DRAWING} SELECT doc_id, tech_object, 0 AS part, count(*) AS total,
-  string_agg(label, ',' ORDER BY contour_id, text_id) AS devices FROM matches GROUP BY doc_id, tech_object"""
+ORACLE["nested_objects"] = f"""{_DRAWING} SELECT doc_id, tech_object, page, contour_id, text_id, label AS pdf_name, count(*) OVER (PARTITION BY doc_id, tech_object) AS total,
+  row_number() OVER (PARTITION BY doc_id, tech_object ORDER BY page, contour_id, text_id) = 1 AS first FROM matches"""
+
+ORACLE["matched_rows"] = f"""{_DRAWING},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tech_object ORDER BY page, contour_id, text_id) = 1 AS first FROM matches),
+firsts AS (SELECT o.doc_id, o.tech_object, first(c ORDER BY c.page, c.contour_id) AS c
+  FROM {_KNOWN} o JOIN contours c ON c.doc_id = o.doc_id AND contains(upper(c.name), o.tech_object) GROUP BY ALL),
+latest AS (SELECT doc_id, upper(name) AS n, arg_max(devices, ord) AS d FROM devices GROUP BY ALL)
+SELECT m.doc_id, m.tech_object,
+  CASE WHEN m.first THEN concat_ws(',', f.c.min_x, f.c.min_y, f.c.max_x, f.c.max_y) END AS bounds,
+  CASE WHEN m.first THEN concat_ws(',', (f.c.min_x + f.c.max_x) / 2, (f.c.min_y + f.c.max_y) / 2) END AS center,
+  m.tech_object || label AS lua_name, label AS pdf_name, printf('%.3f', cx) AS x, printf('%.3f', cy) AS y, '1.00' AS confidence, regexp_extract(label, '^[A-Z]+') AS device_type,
+  l.d.descr AS descr, l.d.article AS article, l.d.type AS "type", l.d.category AS category, l.d.size AS size, l.d.price AS price
+FROM ordered m JOIN firsts f ON f.doc_id = m.doc_id AND f.tech_object = m.tech_object JOIN latest l ON l.doc_id = m.doc_id AND l.n = m.tech_object || m.label"""
+
+ORACLE["visualisation_contours"] = f"""WITH {CONTOURS}
+SELECT doc_id, name, tech_object, concat_ws(',', min_x, min_y, max_x, max_y) AS bounds, concat_ws(',', (min_x + max_x) / 2, (min_y + max_y) / 2) AS center,
+  CAST(max_x - min_x AS VARCHAR) AS width, CAST(max_y - min_y AS VARCHAR) AS height FROM contours WHERE tech_object IS NOT NULL"""
+
+ORACLE["visualisation_devices"] = f"""{_DRAWING},
+latest AS (SELECT doc_id, upper(name) AS n, arg_max(devices, ord) AS d FROM devices GROUP BY ALL)
+SELECT m.doc_id, m.tech_object || label AS lua_name, label AS pdf_name, m.tech_object, CAST(cx AS VARCHAR) AS x, CAST(cy AS VARCHAR) AS y, '1.0' AS confidence,
+  l.d.descr AS descr, l.d.article AS article, regexp_extract(label, '^[A-Z]+') AS device_type, l.d.category AS category, l.d.size AS size
+FROM matches m JOIN latest l ON l.doc_id = m.doc_id AND l.n = m.tech_object || m.label"""
 
 ORACLE["device_captions"] = f"""WITH {TEXTS}, {LABELS}
 SELECT doc_id, text_id, label || CASE WHEN 1.0 - l_tax * 10 < 1.0 THEN printf(' (%.1f)', 1.0 - l_tax * 10) ELSE '' END AS caption FROM labels_"""
 
 ORACLE["text_rows"] = f"""WITH {TEXTS}
-SELECT doc_id, text_id AS id, text AS content, printf('%.3f', cx) AS x, printf('%.3f', cy) AS y, printf('%.3f', cx - 4) AS x1, printf('%.3f', cy + 2) AS y2 FROM texts"""
+SELECT doc_id, text_id AS id, text AS content, printf('%.3f', cx) AS x, printf('%.3f', cy) AS y, printf('%.3f', cx - 4) AS x1, printf('%.3f', cy - 2) AS y1, printf('%.3f', cx + 4) AS x2, printf('%.3f', cy + 2) AS y2, page FROM texts"""
 
 ORACLE["segment_rows"] = f"""WITH {SEGMENTS}
-SELECT doc_id, seg_id AS id, printf('%.3f', x1) AS x1, printf('%.3f', x2) AS x2, printf('%.3f', y2) AS y2, CASE WHEN dashed THEN 'True' ELSE 'False' END AS dashed FROM segments"""
+SELECT doc_id, page, seg_id AS id, printf('%.3f', x1) AS x1, printf('%.3f', y1) AS y1, printf('%.3f', x2) AS x2, printf('%.3f', y2) AS y2, CASE WHEN dashed THEN 'True' ELSE 'False' END AS dashed FROM segments"""
 
 _SCALED = "printf('%.3f', {} * 1.25)".format
 _D = "'M ' || l_quantity || ',' || l_extendedprice || ' L -' || l_discount || ' ' || l_tax || 'Z'"
@@ -456,6 +500,10 @@ def _short(v: str) -> str:
 ORACLE["label_lines"] = f"""{_TILED} SELECT image_id || '_' || tile_id AS tile_name, box_id,
   cls || ' ' || {_short('cx')} || ' ' || {_short('cy')} || ' ' || {_short('bw')} || ' ' || {_short('bh')} AS line FROM labels_ JOIN ids USING (image_id, tile_x, tile_y)"""
 
+ORACLE["split_images"] = """SELECT image_id, CASE WHEN rank <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS subset FROM (
+  SELECT 'img' || o_orderkey AS image_id, row_number() OVER (ORDER BY left(md5('img' || o_orderkey || ':42'), 15), 'img' || o_orderkey) AS rank, count(*) OVER () AS n
+  FROM (SELECT DISTINCT o_orderkey FROM orders))"""
+
 ORACLE["split_counts"] = """SELECT 'train' AS subset, CAST(floor(count(*) * 0.8) AS BIGINT) AS images FROM orders
 UNION ALL SELECT 'val', CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) FROM orders"""
 
@@ -467,10 +515,13 @@ ORACLE["annotation_precedence"] = """SELECT 'img' || l_orderkey AS stem, 'a/img'
 FROM lineitem GROUP BY l_orderkey"""
 
 ORACLE["clamped_shapes"] = f"""WITH {IMAGES}, {BOXES}
-SELECT image_id, box_id, xmin > width OR xmax > width OR ymin > height OR ymax > height AS changed, CAST(least(xmax, width) AS DOUBLE) AS x,
-  CAST(least(ymax, height) AS DOUBLE) AS y FROM boxes JOIN images USING (image_id)"""
+SELECT image_id, box_id, xmin > width OR xmax > width OR ymin > height OR ymax > height AS changed, CAST(least(xmin, width) AS DOUBLE) AS x0, CAST(least(ymin, height) AS DOUBLE) AS y0,
+  CAST(least(xmax, width) AS DOUBLE) AS x1, CAST(least(ymax, height) AS DOUBLE) AS y1 FROM boxes JOIN images USING (image_id)"""
 
-ORACLE["annotation_files"] = f"WITH {BOXES} SELECT image_id, CAST(count(*) AS INT) AS boxes, min(xmin) AS xmin FROM boxes GROUP BY ALL"
+ORACLE["annotation_files"] = f"""WITH {IMAGES}, {BOXES},
+lists AS (SELECT image_id, string_agg(concat_ws(':', name, xmin, ymin, xmax, ymax), '|' ORDER BY box_id) AS boxes FROM boxes
+  WHERE right(image_id, 1) IN ('0', '2', '4', '6', '8') GROUP BY ALL)
+SELECT image_id, CASE WHEN width > 2000 THEN 'yes' END AS _verified, width, height, coalesce(boxes, '') AS boxes FROM images LEFT JOIN lists USING (image_id)"""
 
 _X, _Y = "(l_quantity * 15.5::DOUBLE + l_partkey % 50)", "(l_suppkey % 40 * 11.25::DOUBLE + l_quantity)"
 DETECTED = f"""found AS (SELECT 'page' || (l_orderkey // 100) AS image_id, l_orderkey // 100 AS doc_id,

@@ -54,7 +54,7 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _one_per_row(
         table(spark, sf_dir, "orders"),
         doc_id="o_orderkey % 50",
-        page="0",
+        page="cast(o_orderkey div 50 % 2 as int)",
         contour_id="o_orderkey",
         **_BOX,
         name="case o_orderpriority when '5-LOW' then null when '1-URGENT' then concat('=A+TANK', o_orderkey div 50 % 20)"
@@ -90,7 +90,7 @@ def drawing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("e", F.explode(F.expr(edges)))
         .selectExpr(
             "o_orderkey % 50 as doc_id",
-            "0 as page",
+            "cast(o_orderkey div 50 % 2 as int) as page",
             "o_orderkey * 10 + e.k as seg_id",
             "'l' as kind",
             "e.x1",
@@ -120,7 +120,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_per_row(
         table(spark, sf_dir, "lineitem"),
         doc_id="l_orderkey % 50",
-        page="0",
+        page="cast(l_orderkey div 50 % 2 as int)",
         text_id=ROW_ID,
         text=text,
         bbox=f"struct({x} - 4.0D as x1, {y} - 2.0D as y1, {x} + 4.0D as x2, {y} + 2.0D as y2)",
@@ -164,7 +164,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = (
     "concat('\"', k, '\":{', if(k % 2 = 1, concat('\"name\":\"step ', k, '\",'), ''),"
     " '\"opened_devices\":[\"D', o_custkey % 100, 'V', k, '\"],\"closed_devices\":[\"D', o_custkey % 90, 'M', m, '\"],',"
-    " '\"time_param_n\":', k, '}')"
+    " '\"time_param_n\":', k, if(k = 2, '.0', ''), if(k = 3, ',\"next_step_n\":\"T5\"', ''), '}')"
 )
 _STATE = (
     "concat('\"', s, '\":{', if(s = 1, concat('\"name\":\"state ', m, '\",'), ''),"

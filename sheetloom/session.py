@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,19 +29,20 @@ def build_session(app: str = "sheetloom", master: str | None = None, **extra: st
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder for cut lineage.
 
-    The folder named in ``spark.checkpoint.dir`` wins. A machine-local folder is made only
-    for a local master, where every executor shares the machine.
+    The folder named in ``spark.checkpoint.dir`` wins. Where none is named, as in tests, a
+    folder in the warehouse is used, which executors share too, and removed at the end.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="sheetloom-checkpoint-")
-    context.setCheckpointDir(folder)
+    if folder:
+        context.setCheckpointDir(folder)
+        return context.getCheckpointDir()
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds")
+    made = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    made.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(made)
     return context.getCheckpointDir()
 
 

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sheetloom.operators import browse, classify, config, matching, tiles
+from sheetloom.operators import browse, classify, config, matching, ordinals, tiles
 
 OBJECT = {
     "n": 1, "tech_type": 2, "name": "Tank", "name_eplan": "TANK", "name_BC": "TankBC", "base_tech_object": "tank", "cooper_param_number": -1,
@@ -107,7 +107,26 @@ def test_classes(spark):
     assert [r.prim_id for r in classify.rejected_primitives(prims).collect()] == [6]
 
 
-def test_nested_objects_split_large_groups(spark):
-    matches = spark.range(1000).selectExpr("'d' as doc_id", "'T' as tech_object", "id as contour_id", "id as text_id", "'V1' as pdf_name")
-    parts = browse.objects_nested(matches, chunk=100).select("part", F.size("devices").alias("n")).collect()
-    assert sum(r.n for r in parts) == 1000 and len(parts) == 10 and max(r.n for r in parts) < 200
+def test_devices_of_an_object_of_any_size(spark):
+    matches = spark.range(30_000).selectExpr("'d' as doc_id", "0 as page", "'T' as tech_object", "id as contour_id", "id as text_id", "'V1' as pdf_name")
+    rows = browse.object_devices(matches).select("contour_id", "total", "first").collect()
+    assert len(rows) == 30_000 and {r.total for r in rows} == {30_000}
+    assert [r.contour_id for r in rows if r.first] == [0]
+
+
+def test_numbers_of_sparse_orders(spark):
+    rows = spark.range(4000).selectExpr("if(id % 4 = 0, 'b', 'a') as g", "id * 1000000 as o").repartition(5)
+    got = ordinals.number_within(rows, ["g"], "o", "n").collect()
+    for g in "ab":
+        assert [r.n for r in sorted(got, key=lambda r: r.o) if r.g == g] == list(range(1000 if g == "b" else 3000))
+
+
+def test_numbers_and_broken_texts_of_configurations(spark):
+    step = '"1":{"time_param_n":2.0,"next_step_n":"T5"},"2":{"time_param_n":"x1"},"3":{}'
+    good = '{"1":{"n":1.0,"tech_type":"2.5","modes":{"1":{"states":{"1":{"steps":{%s}}}}}}}' % step
+    texts = spark.createDataFrame([("d", 0, good), ("e", 0, '{"1":{"n":1}},"z":{"n":2}'), ("f", 0, '{"1":{"n":1}}{"2":{}}'), ("g", 0, '{"1":{"n":')], "doc_id string, part int, body string")
+    t = config.flatten_config(texts)
+    assert [(r.doc_id, r.id, r.n, r.tech_type, r.tech_type_text) for r in t.tech_objects.collect()] == [("d", "1", 1, None, "2.5")]
+    assert [(r.time_param_n, r.time_param_n_text, r.next_step_n, r.next_step_n_text) for r in t.steps.orderBy("step_pos").collect()] == [
+        (2, "2.0", None, "T5"), (None, "x1", -1, None), (-1, None, -1, None),
+    ]
