@@ -322,7 +322,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     numbers = gram_rows.unionByName(word_rows).withColumn("kind", F.lit(0))
     id_type = dict(docs.dtypes)["doc_id"]
     texts = own.select(F.col("block").cast("bigint").alias("block"), F.lit(1).alias("kind"), "doc_id", "text", "held")
-    together = numbers.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+    # More partitions than blocks, so that few tasks get several of them.
+    together = numbers.unionByName(texts, allowMissingColumns=True).repartition(3 * parts * fold, "block").sortWithinPartitions("block", "kind")
     unknown = float(np.log10(0.5 / (n_all + 0.5 * (n_kinds + 1))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
