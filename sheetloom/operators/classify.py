@@ -79,9 +79,9 @@ def classify_primitives(primitives: DataFrame, boxes: DataFrame) -> DataFrame:
     good = primitives.where(readable(primitives))
     points = decision_points(good.where(F.col("kind").isin(*KINDS)))
     ids = [*PAGE, "prim_id"]
-    lines = _hits(points.where("kind = 'l'"), boxes, shapes.LINE_TOLERANCE, ids)
-    others = _hits(points.where("kind <> 'l'"), boxes, shapes.POINT_TOLERANCE, ids)
-    hit = lines.union(others).withColumn("_hit", F.lit(True))
+    tolerance = F.when(F.col("kind") == "l", shapes.LINE_TOLERANCE).otherwise(shapes.POINT_TOLERANCE)
+    largest = max(shapes.LINE_TOLERANCE, shapes.POINT_TOLERANCE)
+    hit = points_hit(points.withColumn("_tol", tolerance), boxes, PAGE, ids, ("px", "py"), tol=largest, own_tol="_tol").withColumn("_hit", F.lit(True))
     label = (
         F.when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "other")
         .when(F.col("_hit"), "device")

@@ -23,9 +23,13 @@ def _cell(v: Column, level: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), level.cast("double")))
 
 
-def _box_cells(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) -> DataFrame:
+def _leveled(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) -> DataFrame:
     side = F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes], F.lit(0.0)) + 2 * tol
-    out = boxes.withColumn("_level", _level(side))
+    return boxes.withColumn("_level", _level(side))
+
+
+def _box_cells(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) -> DataFrame:
+    out = _leveled(boxes, axes, tol)
     for n, (lo, hi) in enumerate(axes):
         cells = F.sequence(
             _cell(F.col(lo) - tol, F.col("_level")), _cell(F.col(hi) + tol, F.col("_level"))
@@ -34,9 +38,9 @@ def _box_cells(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) ->
     return out
 
 
-def _point_cells(points: DataFrame, cells: DataFrame, coords: Sequence[str]) -> DataFrame:
+def _point_cells(points: DataFrame, leveled: DataFrame, coords: Sequence[str]) -> DataFrame:
     # At most a few dozen levels exist between the smallest and the largest double side.
-    levels = cells.agg(F.collect_set("_level")).scalar()
+    levels = leveled.agg(F.collect_set("_level")).scalar()
     out = points.withColumn("_level", F.explode(levels))
     for n, c in enumerate(coords):
         out = out.withColumn(f"_cell{n}", _cell(F.col(c), F.col("_level")))
@@ -68,7 +72,7 @@ def range_pairs(
     ``keys`` must differ between the inputs.
     """
     cells = _box_cells(boxes, axes, tol)
-    probes = _point_cells(points, cells, coords)
+    probes = _point_cells(points, _leveled(boxes, axes, tol), coords)
     pairs = probes.alias("p").join(cells.alias("b"), _condition("p", "b", keys, coords, axes, tol))
     return pairs.select(
         *[F.col(f"p.{c}") for c in points.columns],
@@ -84,15 +88,18 @@ def points_hit(
     coords: Sequence[str] = ("x", "y"),
     axes: Sequence[tuple[str, str]] = (("x1", "x2"), ("y1", "y2")),
     tol: float = 0.0,
+    own_tol: str | None = None,
 ) -> DataFrame:
     """Distinct ``ids`` of points inside at least one widened box.
 
-    A left-semi join stops at the first hit, so piles of repeated boxes never multiply rows.
+    ``own_tol`` names a column with each point's tolerance, at most ``tol``. A left-semi join stops at the first hit, so piles of repeated boxes never multiply rows.
     """
     sides = [c for axis in axes for c in axis]
-    cells = _box_cells(boxes.select(*keys, *sides), axes, tol).distinct()
-    probes = _point_cells(points, cells, coords)
+    boxes = boxes.select(*keys, *sides)
+    cells = _box_cells(boxes, axes, tol).distinct()
+    probes = _point_cells(points, _leveled(boxes, axes, tol), coords)
+    within = F.lit(tol) if own_tol is None else F.col(f"p.{own_tol}")
     hit = probes.alias("p").join(
-        cells.alias("b"), _condition("p", "b", keys, coords, axes, tol), "left_semi"
+        cells.alias("b"), _condition("p", "b", keys, coords, axes, within), "left_semi"
     )
     return hit.select(*ids).distinct()
