@@ -124,6 +124,8 @@ def _plan(narrow: DataFrame, weights: Sequence[float], share: float, most: float
     sizes = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
 
     def allot(group: pd.DataFrame) -> pd.DataFrame:
+        # Rows arrive in any order; reruns must agree.
+        group = group.sort_values("size")
         lengths, n = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         passes = min(int(target // total), int(most)) if total else 0

@@ -82,6 +82,13 @@ def test_mix_against_plain_targets(spark, make_docs):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter(r.doc_id for r in got for _ in range(r.copies))
 
 
+def test_reruns_agree_whatever_the_order(spark, make_docs):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(n), "s") for i, n in enumerate(rng.integers(1, 400, 900))] + [(1000 + i, "v", "t") for i in range(9)]
+    first, second = (sorted(map(tuple, mixture.mix(make_docs(r, n)).collect())) for r, n in ((rows, 2), (rows[::-1], 9)))
+    assert first == second
+
+
 def test_empty_tables_and_texts(spark, make_docs):
     assert mixture.mix(make_docs([])).count() == 0 and mixture.mixed_documents(make_docs([])).count() == 0
     got = mixture.mix(make_docs([(1, None), (2, "")])).collect()
