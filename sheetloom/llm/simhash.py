@@ -8,6 +8,11 @@ checks the pairs. That is the whole ball, but 56 rows instead of 2,081 per finge
 
 All fingerprints with a common variant are linked with each other, so a task returns one link per
 member to the smallest one it is connected with, never all pairs.
+
+Bits tell only almost identical texts from others. Groups by a *similarity* of the shingle sets
+therefore take many small fingerprints of a text, each over the least of its shingles under some
+permutations (MinHash bands); texts that share one are candidates, and the Jaccard similarity of
+their shingle sets decides.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from sheetloom.llm.components import components
 from sheetloom.llm.shared import table, written
@@ -34,36 +38,45 @@ CELL_VARIANTS = 1 << 22
 MIN_LEAD = 10
 MAX_LEAD = 30
 _CHUNK = 1 << 16
+#: Small fingerprints of a text and the shingles in each. Of pairs at a similarity of s, a share of
+#: ``1 - (1 - s ** BAND_ROWS) ** BANDS`` meets: 0.9996 at 0.8.
+BANDS = 20
+BAND_ROWS = 5
+_PERMUTED = 1 << 12
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text as an unsigned 64-bit number; no words: 0.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a text in turn, unsigned; no words: none.
 
-    A-Z are lower-cased, words are cut at ASCII white space, shingles of ``shingle`` words count
-    as often as they occur, and a shorter text is one shingle. A bit is set if it is set in more
-    than half of the shingle hashes (XXH64, seed 42).
+    A-Z are lower-cased, words are cut at ASCII white space, and a text of fewer than ``shingle``
+    words is one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    line, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hash64(line, 42)
+        return np.zeros(0, np.uint64)
+    line, hash64, shingle = b" ".join(words), xxhash.xxh64_intdigest, min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    ones, total = np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, total, _CHUNK):
+    parts = []
+    for at in range(0, len(starts), _CHUNK):
         pairs = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([hash64(line[s:e], 42) for s, e in pairs], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+        parts.append(np.array([hash64(line[s:e], 42) for s, e in pairs], "<u8"))
+    return np.concatenate(parts)
 
 
-@F.pandas_udf(LongType())
-def fingerprint_column(text: pd.Series) -> pd.Series:
-    """Fingerprints as signed numbers with the same bits."""
-    return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text as an unsigned 64-bit number; no words: 0.
+
+    Shingles are those of ``shingle_hashes`` and count as often as they occur. A bit is set if it
+    is set in more than half of the shingle hashes.
+    """
+    hashes = shingle_hashes(text, shingle)
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _masks(bits: int, most: int) -> list[np.ndarray]:
@@ -161,31 +174,119 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     return sent.groupBy("key").applyInPandas(lambda g: _meet(g, lead), "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and summands of the permutations of 64-bit numbers."""
+    rng = np.random.default_rng(64)
+    factors, summands = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+    return factors | np.uint64(1), summands
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Small fingerprints of a set of shingle hashes, signed; of none: none."""
+    if not hashes.size:
+        return []
+    factors, summands = _permutations()
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, hashes.size, _PERMUTED):
+        np.minimum(least, (hashes[at : at + _PERMUTED, None] * factors + summands).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of 64-bit numbers, each as sorted bytes; of two empty sets: 1."""
+    one, other = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = np.intersect1d(one, other, assume_unique=True).size
+    return both / (one.size + other.size - both) if one.size or other.size else 1.0
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs (a, b)`` and whether the sets ``sets (fp, hashes)`` of both are similar enough: ``near``."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    one, other = (sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", near("_a", "_b").alias("near"))
+
+
+def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``components`` of the shingle sets ``distinct (fp, text_hash, bands)`` at ``similarity`` or more.
+
+    Members of a band are first compared with its smallest one; only those that are not connected
+    thereafter are compared in pairs, so a large group of copies takes one comparison per member.
+    """
+    entries = distinct.select(F.explode("bands").alias("key"), "fp")
+    shared = entries.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = written(entries.join(shared, "key"))
+    hashed = F.pandas_udf(lambda text: pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in text], dtype=object), "binary")
+    wanted = distinct.select("fp", "text_hash").join(met.select("fp").distinct(), "fp")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash")
+    sets = written(texts.groupBy("fp").agg(F.first("text").alias("text")).select("fp", hashed("text").alias("hashes")))
+    first = written(similar(met.where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity))
+    roots = components(first.where("near"))
+    named = met.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    apart = written(named.join(mixed, "key", "left_semi"))
+    one = apart.select("key", F.col("fp").alias("a"), F.col("root").alias("_a"))
+    other = apart.select("key", F.col("fp").alias("b"), F.col("root").alias("_b"))
+    rest = one.join(other, "key").where("a < b AND _a != _b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    second = written(similar(rest, sets, similarity).where("near"))
+    return roots if second.isEmpty() else components(first.where("near").unionByName(second).select("a", "b"))
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fp, text_hash, component_id``; ``fp`` is signed.
 
-    Texts link when their fingerprints differ in at most ``RADIUS`` bits; null and wordless texts
-    have fingerprint zero and link like any other. ``component_id`` is the smallest ``doc_id``
-    reachable (null if there is none). An empty table gives an empty result; further columns are
-    not read.
+    Without ``similarity``, texts link when their fingerprints differ in at most ``RADIUS`` bits;
+    null and wordless texts have fingerprint zero and link like any other. With it, texts link
+    when the Jaccard similarity of their sets of shingles is at least that, ``fp`` is a hash of the
+    set, and null and wordless texts have the empty set and link with each other only; candidates
+    are found with the share of ``BANDS``. ``component_id`` is the smallest ``doc_id`` reachable
+    (null if there is none). An empty table gives an empty result; further columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = written(docs.select("doc_id", fingerprint_column(text).alias("fp"), F.xxhash64(text).alias("text_hash")))
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, distinct.count()))
+    if similarity is None:
+        prints = F.pandas_udf(lambda text: pd.Series(np.array([fingerprint(t, shingle) for t in text], np.uint64).view(np.int64)), "bigint")
+        marked = written(docs.select("doc_id", prints(text).alias("fp"), F.xxhash64(text).alias("text_hash")))
+        distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+        roots = components(links(distinct, distinct.count()))
+    else:
+
+        @F.pandas_udf("fp bigint, bands array<bigint>")
+        def banded(text: pd.Series) -> pd.DataFrame:
+            prints, bands = [], []
+            for t in text:
+                hashes = np.unique(shingle_hashes(t, shingle))
+                prints.append(_set_id(hashes))
+                bands.append(band_keys(hashes))
+            return pd.DataFrame({"fp": np.array(prints, np.int64), "bands": bands})
+
+        whole = docs.select("doc_id", banded(text).alias("_set"), F.xxhash64(text).alias("text_hash"))
+        marked = written(whole.select("doc_id", "_set.fp", "_set.bands", "text_hash"))
+        # Texts of one set differ in white space and letter case only, so any of them stands for it.
+        some = F.min_by(F.struct("text_hash", "bands"), "text_hash").alias("some")
+        distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), some).select("fp", "first_id", "some.*"))
+        roots = similar_roots(docs, distinct, shingle, similarity)
     named = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(named.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``.
+def drop_near(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each group of ``near_groups``: the one with the smallest ``doc_id``.
 
     In a group without any ``doc_id`` the text with the smallest hash stays. Rows that repeat both
     ``doc_id`` and text are one document and stay or go together.
     """
-    groups = written(near_groups(docs))
+    groups = written(near_groups(docs, shingle, similarity))
     keep = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     # Groups without ids have no common name here, so each of their fingerprints keeps one text.
     nameless = groups.where("component_id IS NULL").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))

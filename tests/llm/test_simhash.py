@@ -108,3 +108,73 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in components(chain).collect()} == {0}
     assert components(chain.where("a < 0")).count() == 0
+
+
+def plain_shingles(text, size=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copy_at(rng, base, similarity, lowest):
+    """A copy of ``base`` with as many single words changed as keep its similarity from ``lowest`` to about ``similarity``."""
+    own, copy = plain_shingles(" ".join(base)), list(base)
+    for at in rng.sample(range(len(base)), len(base)):
+        if plain_jaccard(own, plain_shingles(" ".join(copy))) <= similarity:
+            break
+        before = copy[at]
+        copy[at] = f"new{rng.random()}"
+        if plain_jaccard(own, plain_shingles(" ".join(copy))) < lowest:
+            copy[at] = before
+            break
+    return " ".join(copy)
+
+
+def test_planted_copies_are_found_by_similarity(make_docs):
+    rng = random.Random(8)
+    rows, apart = [], []
+    for i in range(360):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([100, 200, 250, 500]))]
+        level = [0.8, 0.9, 0.95][i % 3]
+        rows += [(i, " ".join(base)), (1000 + i, copy_at(rng, base, level, level))]
+        if i % 9 == 0:
+            apart.append((2000 + i, copy_at(rng, base, 0.7, 0.6)))
+    near = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(rows), 5, 0.8).collect()}
+    for k in range(3):
+        found = sum(near[1000 + i] == i for i in range(k, 360, 3))
+        assert found >= 118, (k, found)
+    assert all(near[i] == i for i in range(360))
+    bits = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(rows)).collect()}
+    assert sum(bits[1000 + i] == i for i in range(360)) < 180
+    others = make_docs([r for r in rows if r[0] < 1000] + apart)
+    assert simhash.near_groups(others, 5, 0.8).where("doc_id != component_id").count() == 0
+
+
+def test_similarity_groups_are_those_of_all_pairs(make_docs):
+    texts = near_copies() + ["one two three four five", "ONE two\tthree four FIVE", "a b c d e f", "a b c d e"]
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(120)]
+    # Copies of one text that are further from each other than from it.
+    texts += [copy_at(rng, base, level, level - 0.03) for level in [0.78, 0.85, 0.88] * 8] + [" ".join(base)]
+    rows = [(i * 3 + 1, t) for i, t in enumerate(texts)]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and plain_jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(rows), 5, 0.8).collect()}
+    assert got == {i: find(i) for i in sets}
+    kept = [r.doc_id for r in simhash.drop_near(make_docs(rows), 5, 0.8).collect()]
+    assert sorted(kept) == sorted({find(i) for i in sets})
+    assert simhash.drop_near(make_docs([]), 5, 0.8).count() == 0
