@@ -3,7 +3,8 @@
 A string of one character class is walked over by a window. The window's Shannon entropy follows
 from the sum of ``c * log2(c)`` over its character counts, and one step changes that sum by two
 terms only: the count of the character that leaves and of the one that enters. Windows at or
-above the threshold of their class are joined to spans. Strings of an allowed form are left out.
+above the threshold of their class are joined to spans. Strings of an allowed form are left out;
+a placeholder inside a string is cut out, and what stands before and after it is walked over.
 All of it is built-in column functions.
 """
 
@@ -40,14 +41,15 @@ CLASSES = (
     EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.9),
 )
 #: Candidates of these forms are no secrets: words and paths without digits, numbers with
-#: separators, UUIDs, placeholders, and runs of one repeated character.
+#: separators, and UUIDs.
 ALLOWED = (
     r"^[A-Za-z/_=-]+$",
     r"^[0-9/_=+-]+$",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|placeholder|changeme|xxxx|0123456789",
-    r"(.)\1{7,}",
 )
+#: Parts of candidates that are no secrets, whatever stands around them: placeholders, and runs of
+#: one repeated character.
+FILLER = r"(?i:example|placeholder|changeme|xxxx|0123456789)|(.)\1{7,}"
 
 
 def found_spans(text: Column, pattern: str) -> Column:
@@ -70,6 +72,15 @@ def found_spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
+def pieces(start: Column, hit: Column, filler: str) -> Column:
+    """What is left of a string that begins at ``start`` when the filler is cut out, in the form of ``found_spans``."""
+    gap = lambda a, e: F.struct(a.alias("start"), e.alias("end"), F.substring(hit, a - start + 1, e - a).alias("hit"))
+    cuts = found_spans(hit, filler)
+    ends = F.concat(F.transform(cuts, lambda c: start + c["start"]), F.array(start + F.length(hit)))
+    starts = F.concat(F.array(start), F.transform(cuts, lambda c: start + c["end"]))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("e")), lambda p: gap(p["a"], p["e"]))
+
+
 def _term(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
@@ -115,7 +126,7 @@ def dense_spans(start: Column, hit: Column, window: int, bits: float) -> Column:
     return F.aggregate(steps, begin, step, lambda s: s["found"])
 
 
-def secret_spans(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def secret_spans(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, filler: str = FILLER) -> DataFrame:
     """``doc_id, base, added`` for every row: arrays of kind, start and end, in order.
 
     ``base`` has the known forms, ``added`` the spans of high entropy outside of them. Null
@@ -128,7 +139,9 @@ def secret_spans(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES, a
     own = own.withColumn("access", found_spans(text, ACCESS)).withColumn("hex", found_spans(text, HEX))
     for c in classes:
         plain = lambda m: ~F.lit(False) if not allowed else ~F.greatest(*[m["hit"].rlike(a) for a in (*allowed, allowed[0])])
-        own = own.withColumn(c.name, F.filter(found_spans(text, c.pattern), plain))
+        held = F.filter(found_spans(text, c.pattern), plain)
+        whole = F.flatten(F.transform(held, lambda m: pieces(m["start"], m["hit"], filler)))
+        own = own.withColumn(c.name, F.filter(whole, lambda m: F.length(m["hit"]) >= c.window))  # noqa: B023
     own = own.drop("text")
     span = lambda rank: lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))
     base = F.sort_array(F.concat(*[F.transform(k, span(i)) for i, k in enumerate(KINDS)]))

@@ -72,3 +72,16 @@ def test_no_allow_list_and_empty_table(spark, make_docs):
     assert secret_scan.secret_spans(docs).where("size(added) > 0").count() == 0
     assert secret_scan.secret_spans(docs, allowed=()).where("size(added) > 0").count() == 1
     assert secret_scan.secret_spans(make_docs([])).count() == 0
+
+
+def test_filler_inside_a_string_takes_only_itself(make_docs):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.sample(letters, 50)) + "7"
+    ssh = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAB" + key
+    texts = [f"é {ssh} ", f"v1/deploy/example/{key}", f"{key}xxxx{key}0123456789{key}", f"{key}PlaceHolder", f"example{key}", "your/example/key/0123456789/xxxx7", f"4{'x' * 40}"]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.secret_spans(make_docs(list(enumerate(texts)))).collect()}
+    covered = lambda i, a: any(s <= a and e >= a + len(key) for s, e in got[i])
+    assert covered(0, texts[0].index(key)) and covered(1, 18) and covered(3, 0) and covered(4, 7)
+    assert got[2] == [(0, 51), (55, 106), (116, 167)]
+    assert got[3] == [(0, 51)] and got[4] == [(7, 58)] and got[5] == got[6] == []
