@@ -242,14 +242,14 @@ def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fp, text_hash, component_id``; ``fp`` is signed.
+    """One row per row of ``docs``: ``doc_id, fp, text_hash, root, component_id``; ``fp`` is signed.
 
     Without ``similarity``, texts link when their fingerprints differ in at most ``RADIUS`` bits;
     null and wordless texts have fingerprint zero and link like any other. With it, texts link
     when the Jaccard similarity of their sets of shingles is at least that, ``fp`` is a hash of the
     set, and null and wordless texts have the empty set and link with each other only; candidates
-    are found with the share of ``BANDS``. ``component_id`` is the smallest ``doc_id`` reachable
-    (null if there is none). An empty table gives an empty result; further columns are not read.
+    are found with the share of ``BANDS``. ``root`` is the smallest ``fp`` of a group, ``component_id``
+    the smallest ``doc_id`` reachable (null if there is none). An empty table gives an empty result; further columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     if similarity is None:
@@ -276,21 +276,20 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
         roots = similar_roots(docs, distinct, shingle, similarity)
     named = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(named.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    named = written(named.join(least, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each group of ``near_groups``: the one with the smallest ``doc_id``.
 
-    In a group without any ``doc_id`` the text with the smallest hash stays. Rows that repeat both
+    Of several texts with that ``doc_id``, and in a group without any, the one with the smallest hash stays. Rows that repeat both
     ``doc_id`` and text are one document and stay or go together.
     """
     groups = written(near_groups(docs, shingle, similarity))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    # Groups without ids have no common name here, so each of their fingerprints keeps one text.
-    nameless = groups.where("component_id IS NULL").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
-    keys = keep.unionByName(nameless.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "text_hash")).distinct()
+    # An id may stand in several groups, so the kept text is chosen by group.
+    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keys = named.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash").distinct()
     keys = keys.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash"))
     own = docs.select(
         F.struct(*docs.columns).alias("_row"),

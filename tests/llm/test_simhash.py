@@ -178,3 +178,13 @@ def test_similarity_groups_are_those_of_all_pairs(make_docs):
     kept = [r.doc_id for r in simhash.drop_near(make_docs(rows), 5, 0.8).collect()]
     assert sorted(kept) == sorted({find(i) for i in sets})
     assert simhash.drop_near(make_docs([]), 5, 0.8).count() == 0
+
+
+def test_one_id_in_two_groups_leaves_a_document_of_each(make_docs):
+    one, other = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(1, " ".join(one)), (2, " ".join(one) + " end"), (1, " ".join(other)), (3, " ".join(other) + " end")]
+    for given in ((), (5, 0.8)):
+        groups = simhash.near_groups(make_docs(rows), *given).collect()
+        assert len({r.root for r in groups}) == 2 and {r.component_id for r in groups} == {1}
+        kept = simhash.drop_near(make_docs(rows), *given).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
