@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, bpe, context_tree, filter_audit, gif, host_trust, mixture, secret_scan, sharding, simhash, toxicity
+from sheetloom.llm import bloom_dedup, bpe, code_trie, context_tree, filter_audit, gif, host_trust, mixture, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         host_trust.op9_host_trust,
         bloom_dedup.op10_bloom_dedup,
         filter_audit.op11_filter_audit,
+        code_trie.op12_code_trie,
     )
 }
 
-SQL = {"op9_host_trust": host_trust.OP9_SQL, "op10_bloom_dedup": bloom_dedup.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
+SQL = {"op9_host_trust": host_trust.OP9_SQL, "op10_bloom_dedup": bloom_dedup.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL, "op12_code_trie": code_trie.OP12_SQL}
