@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetloom.llm import bloom_dedup, bpe, code_trie, context_tree, filter_audit, gif, host_trust, mixture, secret_scan, sharding, simhash, toxicity
+from sheetloom.llm import bloom_dedup, bpe, code_trie, context_tree, factor_quality, filter_audit, gif, host_trust, mixture, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         bloom_dedup.op10_bloom_dedup,
         filter_audit.op11_filter_audit,
         code_trie.op12_code_trie,
+        factor_quality.op13_factor_quality,
     )
 }
 
