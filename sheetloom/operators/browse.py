@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetloom.operators.config import OPERATION_NAME
+from sheetloom.operators.config import OPERATION_NAME, texts_of, there
 
 
 # Margin of the scene, lengths of the tree and of the short and long device lists.
@@ -33,6 +33,24 @@ def device_usage(states: DataFrame, steps: DataFrame) -> DataFrame:
     return lists(states, "state", ("opened", "closed", "checked")).union(lists(steps, "step", ("opened", "closed")))
 
 
+def nested_usage(states: DataFrame) -> DataFrame:
+    """``device_usage`` of states that hold their steps in ``_steps``, in one pass."""
+
+    def entries(level: str, owner: Column, action: str, texts: Column) -> Column:
+        return F.transform(
+            texts,
+            lambda d, i: F.struct(F.lit(level).alias("level"), owner.alias("owner_id"), F.lit(action).alias("action"), i.cast("int").alias("pos"), d.alias("device")),
+        )
+
+    def of_step(e: Column) -> Column:
+        owner = F.concat_ws("_", F.col("id"), e["key"])
+        return F.concat(*[entries("step", owner, a, texts_of(e["value"][f"{a}_devices"])) for a in ("opened", "closed")])
+
+    own = [entries("state", F.col("id"), a, F.col(f"{a}_devices")) for a in ("opened", "closed", "checked")]
+    of_steps = F.flatten(F.transform(there(F.col("_steps")), of_step))
+    return states.select("doc_id", F.explode(F.concat(*own, of_steps)).alias("u")).select("doc_id", "u.*")
+
+
 def operations_of_matches(matches: DataFrame, states: DataFrame, steps: DataFrame) -> DataFrame:
     """Operations and states in which a matched device is used, counted per device name."""
     used = (
@@ -112,14 +130,26 @@ def first_of_list(items: Column, limit: int) -> tuple[Column, Column]:
     return F.slice(items, 1, limit), F.greatest(F.size(items) - limit, F.lit(0))
 
 
+def first_entries(df: DataFrame, source: str, key: str, limit: int) -> DataFrame:
+    """The first entries of the level in ``source`` with their ``rank``, and in ``more`` how many follow.
+
+    They are counted where they are nested, so nothing is shuffled.
+    """
+    found = df.withColumn("_found", there(F.col(source)))
+    rest = [c for c in df.columns if c != source]
+    more = F.greatest(F.size("_found") - limit, F.lit(0)).cast("bigint").alias("more")
+    return found.select(*rest, more, F.posexplode(F.slice("_found", 1, limit)).alias("_at", "_e")).select(
+        *rest, F.col("_e.key").alias(key), (F.col("_at") + 1).alias("rank"), "more"
+    )
+
+
 def hierarchy_counts(objects: DataFrame) -> DataFrame:
     """States and steps per operation, and operations per object, counted where they are nested."""
-    there = lambda m: F.filter(F.coalesce(F.map_values(m), F.array()), lambda v: v.isNotNull())
     modes = objects.select(
-        "doc_id", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), F.size(there("_modes")).cast("bigint").alias("n_operations"),
+        "doc_id", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), F.size(there(F.col("_modes"))).cast("bigint").alias("n_operations"),
         F.explode("_modes").alias("mode_id", "v"),
     ).where(F.col("v").isNotNull())
-    n_steps = F.aggregate(there(F.col("v.states")), F.lit(0).cast("bigint"), lambda n, s: n + F.size(there(s["steps"])))
+    n_steps = F.aggregate(there(F.col("v.states")), F.lit(0).cast("bigint"), lambda n, s: n + F.size(there(s["value"]["steps"])))
     return modes.select(
         "doc_id",
         "obj_id",
@@ -209,6 +239,11 @@ def object_filter(objects: DataFrame, operations: DataFrame) -> DataFrame:
     return objects.join(with_ops, ["doc_id", "id"], "left_semi").select("doc_id", "name").distinct()
 
 
+def objects_with_operations(objects: DataFrame) -> DataFrame:
+    """Distinct names of objects whose ``_modes`` hold operations."""
+    return objects.where(F.size(there(F.col("_modes"))) > 0).select("doc_id", "name").distinct()
+
+
 def match_filter(matches: DataFrame) -> DataFrame:
     """Distinct objects of the matches, sorted."""
     return matches.select("doc_id", "tech_object").distinct().orderBy("doc_id", "tech_object")

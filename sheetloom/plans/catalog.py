@@ -252,7 +252,7 @@ def config_steps(spark, sf_dir):
 
 @query
 def config_devices_first_seen(spark, sf_dir):
-    return _tables(spark, sf_dir, write_once=True).devices
+    return _tables(spark, sf_dir).devices
 
 
 @query
@@ -262,30 +262,43 @@ def config_signals(spark, sf_dir):
 
 @query
 def object_operations(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return config.operations_of_objects(t.operations, t.tech_objects).select("doc_id", "id", "obj_id", "name_eplan", "tech_type")
-
-
-def _fill_operations(t: config.ConfigTables) -> DataFrame:
-    return t.operations.where("base_operation = 'FILL'")
+    return _tables(spark, sf_dir).operations_with_objects.select("doc_id", "id", "obj_id", "name_eplan", "tech_type")
 
 
 @query
 def indexed_states(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return config.indexed_states(t.states, _fill_operations(t)).select("doc_id", "id")
+    return _tables(spark, sf_dir).states.where("base_operation = 'FILL'").select("doc_id", "id")
 
 
 @query
 def orphan_states(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return config.orphan_states(t.states, _fill_operations(t)).select("doc_id", "id")
+    return _tables(spark, sf_dir).states.where("NOT base_operation <=> 'FILL'").select("doc_id", "id")
+
+
+@query
+def flat_steps(spark, sf_dir):
+    rows = config.flat_steps(config.flat_rows(views.flat_config(spark, sf_dir), "states"))
+    return rows.select(
+        "doc_id", "id", "name", "step_number", "place", "state_id", "state_name", "operation_id", "obj_id", "time_param_n", "next_step_n",
+        F.array_join("opened_devices", ",").alias("opened"), F.size("closed_devices").alias("n_closed"),
+    )
+
+
+@query
+def flat_orphans(spark, sf_dir):
+    rows = config.flat_orphans(config.flat_rows(views.flat_config(spark, sf_dir), "operations", "states"))
+    return rows.select("doc_id", "ord", "id", "name", "operation_id")
+
+
+@query
+def flat_parameters(spark, sf_dir):
+    rows = config.flat_parameters(config.flat_rows(views.flat_config(spark, sf_dir), "tech_objects"))
+    return rows.select("doc_id", "obj_id", "param_pos", "id", "name", F.try_variant_get("value", "$", "bigint").alias("value"), F.array_join(F.col("oper").cast("array<string>"), ",").alias("oper"))
 
 
 @query
 def device_usage(spark, sf_dir):
-    t = _tables(spark, sf_dir, write_once=True)
-    return browse.device_usage(t.states, t.steps)
+    return browse.nested_usage(_tables(spark, sf_dir).states_in_use)
 
 
 @query
@@ -296,18 +309,16 @@ def device_operation_use(spark, sf_dir):
 
 @query
 def tree_first_states(spark, sf_dir):
-    states = _tables(spark, sf_dir).states
-    return browse.first_of_parent(states, ["doc_id", "operation_id"], ["state_pos"], browse.TREE_LIMIT).select(
-        "doc_id", "operation_id", "id", "rank", "more"
-    )
+    _, operations, _ = _tables(spark, sf_dir).tree
+    rows = browse.first_entries(operations, "_states", "state_key", browse.TREE_LIMIT)
+    return rows.select("doc_id", F.col("id").alias("operation_id"), F.concat_ws("_", "id", "state_key").alias("id"), "rank", "more")
 
 
 @query
 def tree_first_steps(spark, sf_dir):
-    steps = _tables(spark, sf_dir).steps
-    return browse.first_of_parent(steps, ["doc_id", "state_id"], ["step_pos"], browse.TREE_LIMIT).select(
-        "doc_id", "state_id", "id", "rank", "more"
-    )
+    _, _, states = _tables(spark, sf_dir).tree
+    rows = browse.first_entries(states, "_steps", "step_key", browse.TREE_LIMIT)
+    return rows.select("doc_id", F.col("id").alias("state_id"), F.concat_ws("_", "id", "step_key").alias("id"), "rank", "more")
 
 
 @query
@@ -321,10 +332,9 @@ def list_heads(spark, sf_dir):
 
 @query
 def tree_first_operations(spark, sf_dir):
-    operations = _tables(spark, sf_dir).operations
-    return browse.first_of_parent(operations, ["doc_id", "obj_id"], ["mode_pos"], browse.LIST_LIMITS[0]).select(
-        "doc_id", "obj_id", "id", "rank", "more"
-    )
+    objects, _, _ = _tables(spark, sf_dir).tree
+    rows = browse.first_entries(objects, "_modes", "mode_id", browse.LIST_LIMITS[0])
+    return rows.select("doc_id", F.col("id").alias("obj_id"), F.concat_ws("_", "id", "mode_id").alias("id"), "rank", "more")
 
 
 @query
@@ -345,7 +355,7 @@ def devices_by_label(spark, sf_dir):
 
 @query
 def hierarchy_counts(spark, sf_dir):
-    return browse.hierarchy_counts(_tables(spark, sf_dir).tech_objects)
+    return browse.hierarchy_counts(_tables(spark, sf_dir).tree[0])
 
 
 @query
@@ -386,19 +396,14 @@ def entity_summary(spark, sf_dir):
 
 @query
 def operation_details(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return browse.operation_details(t.operations, t.tech_objects, t.parameters).select(
-        "doc_id", "id", "name", "obj_id", "tech_type", "name_eplan", "n_parameters"
-    )
+    return _tables(spark, sf_dir).operations_with_objects.select("doc_id", "id", "name", "obj_id", "tech_type", "name_eplan", "n_parameters")
 
 
 @query
 def operation_parameters(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    wanted = _fill_operations(t).select("doc_id", F.col("id").alias("operation_id"))
-    return browse.operation_parameters(wanted, t.operations, t.parameters).select(
-        "doc_id", "operation_id", "obj_id", "id", "name", "meter"
-    )
+    wanted = _tables(spark, sf_dir).operations_with_objects.where("base_operation = 'FILL'")
+    owned = wanted.select("doc_id", "obj_ord", F.col("id").alias("operation_id"), F.col("obj_id").alias("id"), F.col("obj_name").alias("name"), "_par_float")
+    return config.read_parameters(owned, ("operation_id",)).select("doc_id", "operation_id", "obj_id", "id", "name", "meter")
 
 
 @query
@@ -408,8 +413,7 @@ def operation_filter(spark, sf_dir):
 
 @query
 def object_filter(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return browse.object_filter(t.tech_objects, t.operations)
+    return browse.objects_with_operations(_tables(spark, sf_dir).tree[0])
 
 
 @query
@@ -431,9 +435,7 @@ def objects_by_name(spark, sf_dir):
 
 @query
 def states_of_operations(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    wanted = _fill_operations(t).select("doc_id", F.col("id").alias("operation_id"))
-    return browse.children_of(wanted, t.states, "operation_id").select("doc_id", "operation_id", "id")
+    return _tables(spark, sf_dir).states.where("base_operation = 'FILL'").select("doc_id", "operation_id", "id")
 
 
 # Device configuration texts

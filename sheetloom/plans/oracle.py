@@ -318,6 +318,24 @@ ORACLE["indexed_states"] = f"WITH {CONFIG} SELECT doc_id, state_id AS id FROM st
 ORACLE["orphan_states"] = f"WITH {CONFIG} SELECT doc_id, state_id AS id FROM states WHERE m <> 1"
 ORACLE["states_of_operations"] = f"WITH {CONFIG} SELECT doc_id, operation_id, state_id AS id FROM states WHERE m = 1"
 
+# Flat files: states m of an order, whose third is an orphan; steps 10, 2 and x of the first two states.
+_FLAT_FILES = """files AS (SELECT o_orderkey AS d, CAST(o_orderkey AS VARCHAR) AS obj_id, o_custkey AS c, o_orderpriority FROM orders),
+flat_states AS (SELECT *, obj_id || '_' || m AS operation_id, obj_id || '_' || m || '_1' AS state_id,
+    CASE WHEN m = 1 THEN 'Run' ELSE 'state_' || obj_id || '_' || m || '_1' END AS state_name
+  FROM (SELECT *, unnest(range(1, 2 + d % 3)) AS m FROM files WHERE o_orderpriority <> '5-LOW'))"""
+
+ORACLE["flat_steps"] = f"""WITH {_FLAT_FILES}
+SELECT d AS doc_id, state_id || '_' || k AS id, CASE WHEN k = 'x' THEN 'step x' ELSE 'Шаг ' || k END AS name, CAST(n AS BIGINT) AS step_number, place,
+  state_id, state_name, operation_id, obj_id, CAST(c % 7 AS BIGINT) AS time_param_n, CAST(-1 AS BIGINT) AS next_step_n, 'V' || (c % 90) AS opened, 0 AS n_closed
+FROM flat_states, (VALUES ('x', 0, 1), ('2', 2, 2), ('10', 10, 3)) k(k, n, place) WHERE m < 3"""
+
+ORACLE["flat_orphans"] = f"""WITH {_FLAT_FILES}
+SELECT d AS doc_id, 2 AS ord, state_id AS id, state_name AS name, operation_id FROM flat_states WHERE m = 3"""
+
+ORACLE["flat_parameters"] = f"""WITH {_FLAT_FILES}
+SELECT d AS doc_id, obj_id, pos AS param_pos, pid AS id, pname AS name, CASE WHEN pos = 0 THEN c ELSE 0 END AS value, CASE WHEN pos = 0 THEN '2,' || (c % 5) ELSE '' END AS oper
+FROM files, (VALUES (0, '1', ''), (1, '', 'p')) p(pos, pid, pname)"""
+
 USAGE = """used AS (
   SELECT doc_id, 'state' AS level, state_id AS owner_id, 'opened' AS action, 0 AS pos, 'D' || (c % 80) || 'V' || s AS device FROM states
   UNION ALL SELECT doc_id, 'state', state_id, 'opened', 1, '{"a":"D' || (c % 70) || 'LS' || m || '","b":5}' FROM states

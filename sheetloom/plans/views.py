@@ -195,6 +195,27 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey % 50 as doc_id", "o_orderkey as part", f"{_OBJECT} as body")
 
 
+_FLAT_STEP = (
+    "concat('\"', k, '\":', if(k = 4, '[1]', concat('{', if(k % 2 = 1, concat('\"name\":\"step ', k, '\",'), ''),"
+    " '\"opened_devices\":[\"V', o_custkey % 90, '\"],\"time_param_n\":', o_custkey % 7, '}')))"
+)
+_FLAT_STATE = (
+    "concat('{\"state_id\":\"', o_orderkey, '_', m, '_1\",\"operation_id\":\"', o_orderkey, '_', m, '\",\"operation_name\":\"Op ', m,"
+    " '\",\"obj_id\":\"', o_orderkey, '\",\"state_data\":{', if(m = 1, '\"name\":\"Run\",', ''), if(m = 3, '\"steps\":[]', concat('\"steps\":{',"
+    " array_join(transform(array('10', '2', 'x', '4'), k -> " + _FLAT_STEP.replace("k % 2 = 1", "k = 'x'").replace("k = 4", "k = '4'") + "), ','), '}')), '}}')"
+)
+_FLAT = (
+    "concat('{\"tech_objects\":[{\"id\":\"', o_orderkey, '\",\"name\":\"Obj\",\"parameters\":[{\"id\":\"1\",\"value\":', o_custkey, ',\"oper\":[2,', o_custkey % 5, ']},{\"name\":\"p\"}]}],"
+    "\"operations\":[', array_join(transform(sequence(1, 2), m -> concat('{\"id\":\"', o_orderkey, '_', m, '\"}')), ','), '],\"states\":[',"
+    " array_join(transform(sequence(1, 1 + cast(o_orderkey % 3 as int)), m -> " + _FLAT_STATE + "), ','), if(o_orderpriority = '5-LOW', ',7', ''), ']}')"
+)
+
+
+def flat_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat object file per order: third states are orphans, and files of low priority hold a list entry that is no object."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", f"{_FLAT} as body")
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image per order."""
     return table(spark, sf_dir, "orders").selectExpr(

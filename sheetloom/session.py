@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -40,7 +42,11 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     if folder:
         context.setCheckpointDir(folder)
         return context.getCheckpointDir()
-    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds"
+    if not context.master.startswith("local") and (folder.startswith("file:") or ":" not in folder):
+        # Each executor would write to its own disk.
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local folder")
+    context.setCheckpointDir(folder)
     made = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
     made.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(made)
     return context.getCheckpointDir()
@@ -50,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the checkpoint folder, by column and compressed; it goes when the session ends."""
+    spark = df.sparkSession
+    folder = f"{use_checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -130,3 +130,44 @@ def test_numbers_and_broken_texts_of_configurations(spark):
     assert [(r.time_param_n, r.time_param_n_text, r.next_step_n, r.next_step_n_text) for r in t.steps.orderBy("step_pos").collect()] == [
         (2, "2.0", None, "T5"), (None, "x1", -1, None), (-1, None, -1, None),
     ]
+
+
+def test_flat_files_give_back_their_steps(spark):
+    steps = {"10": {"name": "ten"}, "2": 5, "b": {}, "1": {"next_step_n": 3, "closed_devices": ["V1", 4]}, "a": {"time_param_n": None}}
+    flat = {
+        "operations": [{"id": "1_1"}],
+        "states": [
+            {"state_id": "s1", "operation_id": "1_1", "obj_id": "1", "state_data": {"name": "Run", "steps": steps}},
+            {"state_id": "s2", "operation_id": "9_9", "state_data": {"steps": []}},
+            {"state_id": "s3", "state_data": {}},
+        ],
+        "tech_objects": [{"id": "1", "parameters": [{"id": "1", "value": 2.5}, {}]}, {"id": "2"}],
+    }
+    bodies = [("d", json.dumps(flat)), ("e", json.dumps({"states": [3]})), ("f", "[]"), ("g", None), ("h", "{}")]
+    texts = spark.createDataFrame(bodies, "doc_id string, body string")
+    rows = config.flat_rows(texts, "tech_objects", "operations", "states")
+    assert {r.doc_id for r in rows.collect()} == {"d", "h"}
+    got = config.flat_steps(rows).orderBy("place").collect()
+    assert [(r.id, r.name, r.step_number, r.next_step_n, r.closed_devices) for r in got] == [
+        ("s1_b", "Шаг b", 0, -1, []), ("s1_a", "Шаг a", 0, -1, []), ("s1_1", "Шаг 1", 1, 3, ["V1", "4"]), ("s1_10", "ten", 10, -1, []),
+    ]
+    assert {(r.id, r.name) for r in config.flat_states(rows).collect()} == {("s1", "Run"), ("s2", "state_s2"), ("s3", "state_s3")}
+    assert [r.id for r in config.flat_orphans(rows).orderBy("ord").collect()] == ["s2", "s3"]
+    assert [(r.obj_id, r.id, r.value.toPython(), r.oper) for r in config.flat_parameters(rows).orderBy("param_pos").collect()] == [("1", "1", 2.5, []), ("1", "", 0, [])]
+
+
+def test_each_table_is_one_scan_without_a_shuffle(spark, tmp_path):
+    spark.createDataFrame([("d", 0, json.dumps({"1": OBJECT}))], "doc_id string, part int, body string").write.parquet(str(tmp_path / "c"))
+    t = config.flatten_config(spark.read.parquet(str(tmp_path / "c")))
+    objects, operations, states = t.tree
+    usage = browse.nested_usage(t.states_in_use)
+    heads = [browse.first_entries(df, c, "key", 1) for df, c in ((objects, "_modes"), (operations, "_states"), (states, "_steps"))]
+    for df in (t.tech_objects, t.parameters, t.operations, t.operations_with_objects, t.states, t.steps, usage, *heads):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    plan = t.devices._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("Exchange") == 1
+    assert [(r.key, r["rank"], r.more) for r in heads[2].collect()] == [("2", 1, 1)]
+    assert sorted((r.level, r.owner_id, r.action, r.device) for r in usage.collect()) == sorted(
+        (r.level, r.owner_id, r.action, r.device) for r in browse.device_usage(t.states, t.steps).collect()
+    )
