@@ -11,7 +11,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from math import inf
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from sheetloom.llm.shared import table
+from sheetloom.llm.shared import KEPT, table, tidy
 
 _PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 # The same pattern for texts of Latin-1 characters only, where the classes can be written out.
@@ -173,10 +172,12 @@ class Codec:
         return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(spec: bytes) -> Codec:
-    """The codec of a vocabulary file's content; kept by a worker from task to task."""
-    return Codec(json.loads(spec))
+    """The codec of a vocabulary file's content; kept by a worker until a task of another operator runs."""
+    held = KEPT.get("bpe")
+    if held is None or held[0] != spec:
+        held = KEPT["bpe"] = (spec, Codec(json.loads(spec)))
+    return held[1]
 
 
 def vocabulary(path: str | None = None) -> bytes:
@@ -213,7 +214,7 @@ def encode_column(docs: DataFrame, spec: bytes, text: str = "text", ids: str = "
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
     kinds = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
-    return own.mapInArrow(encode, StructType([*own.select(*keep).schema.fields, *kinds]))
+    return own.mapInArrow(tidy(encode, "bpe"), StructType([*own.select(*keep).schema.fields, *kinds]))
 
 
 def decode_column(docs: DataFrame, spec: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -231,7 +232,7 @@ def decode_column(docs: DataFrame, spec: bytes, ids: str = "ids", text: str = "d
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*keep, text])
 
     own = docs.select(*keep)
-    return own.mapInArrow(decode, StructType([*own.schema.fields, StructField(text, StringType())]))
+    return own.mapInArrow(tidy(decode, "bpe"), StructType([*own.schema.fields, StructField(text, StringType())]))
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,33 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What a worker holds from task to task, by operator. A task of another operator drops it.
+KEPT: dict[str, object] = {}
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; workers are reused, and what they hold counts for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, without what other operators left, and with its memory given back at the end."""
+
+    def run(batches: Iterator) -> Iterator:
+        for name in [k for k in KEPT if k != own]:
+            del KEPT[name]
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sheetloom.llm.shared import table, written
+from sheetloom.llm.shared import table, tidy, written
 
 #: Bound of the labelled rows of each class that the model is fitted on.
 SAMPLE_PER_CLASS = 8_000
@@ -31,7 +31,7 @@ MIN_DOCS = 5
 DRIFT = 0.15
 MAX_E = 0.01
 PREFIXES = (4, 5, 6)
-_KNOWN_TOKENS = 500_000
+_KNOWN_TOKENS = 100_000
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     rate = ((share["n1"] or 0) + 0.5) / (share["n"] + 2.0)
     prior_only = (float(np.log(rate / (1 - rate))), 0.0, 0.0)
     sample = labelled_sample(docs, given, per_class).mapInPandas(
-        describe, "mark bigint, order bigint, toxic int, n bigint, late boolean, features array<string>, words array<string>"
+        tidy(describe), "mark bigint, order bigint, toxic int, n bigint, late boolean, features array<string>, words array<string>"
     )
     one = F.min_by(F.struct("toxic", "n", "late", "features", "words"), F.struct("order", "toxic"))
     sample = written(sample.groupBy("mark").agg(one.alias("one")).select("one.*"))
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
                 rows.append((int(toxic), len(words), [v for _, _, v, _ in found]))
             yield pd.DataFrame(rows, columns=["toxic", "n", "scores"])
 
-    seen = late.mapInPandas(calibrate, "toxic int, n bigint, scores array<double>").toPandas()
+    seen = late.mapInPandas(tidy(calibrate), "toxic int, n bigint, scores array<double>").toPandas()
     clean = seen[seen["toxic"] == 0]
     least = float(delta.min())
     model.log_k = float(np.log((sum(map(len, clean["scores"])) + 0.5) / ((clean["n"].sum() + 1.0) * np.exp(-model.rate * least))))
@@ -251,7 +251,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "passages": rows})
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(
-        find, f"doc_id {dict(docs.dtypes)['doc_id']}, passages array<struct<start:int, `end`:int, score:double, expected:double>>"
+        tidy(find), f"doc_id {dict(docs.dtypes)['doc_id']}, passages array<struct<start:int, `end`:int, score:double, expected:double>>"
     )
 
 
@@ -265,8 +265,9 @@ def probability_column(text: Column, model: Model, spark: SparkSession) -> Colum
         for batch in batches:
             yield pd.Series([own.probability(own.passages(tokens(t or ""), known)) for t in batch], dtype="float64")
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, DoubleType())(text)
+    run = tidy(score)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, DoubleType())(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
