@@ -15,17 +15,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from sheetloom.llm.shared import table
+from sheetloom.llm.shared import table, tidy
 
 MAX_CODES = 4096
 #: Layout of stored payloads: samples in a row, rows of a frame, and how long a frame is shown.
 ROW = 64
 FRAME_ROWS = 4096
 FRAME_MS = 100
+#: Bytes of files that a task builds before it passes them on.
+_PART_BYTES = 8_000_000
 KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 
@@ -353,23 +356,61 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), F.pandas_udf(stored, BinaryType())(text).alias("media"))
 
 
+def _features(file: bytes | None) -> tuple[int | None, str | None, int | None, str | None]:
+    """Size, digest and tail of the payload of a stored file, and its features; of null all are null."""
+    if file is None:
+        return None, None, None, None
+    payload, feature = read(file)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """``media`` and the column ``stored``: size, digest and tail of the payload read back, and its features."""
+    """``media`` and the column ``stored``: size, digest and tail of the payload read back, and its features.
+
+    Null media have nulls there. Repeated rows are read each, an empty table gives an empty
+    result, and a column ``stored`` of ``media`` is replaced.
+    """
 
     def features(files: pd.Series) -> pd.DataFrame:
-        rows = []
-        for file in files:
-            payload, feature = read(file)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        found = pd.DataFrame([_features(f) for f in files], columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        return found.astype({"payload_bytes": "Int64", "tail_crc32": "Int64"})
 
     features.__annotations__ = {"files": pd.Series, "return": pd.DataFrame}
     return media.withColumn("stored", F.pandas_udf(features, _READ)("media"))
 
 
+def store_and_read(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media, stored`` as of ``store_texts`` and ``read_media``, with each text encoded once.
+
+    A task passes its files on in parts of bounded size. Null texts have the media of an empty
+    one; other columns are not read; an empty table gives an empty result.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            start, size, rows = 0, 0, []
+            for i in range(batch.num_rows):
+                payload = texts[i].as_py().encode()
+                file = store(payload)
+                rows.append((len(payload), file, *_features(file)))
+                size += len(file)
+                if size >= _PART_BYTES or i == batch.num_rows - 1:
+                    lengths, files, *stored = zip(*rows, strict=True)
+                    struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(stored, kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(rows)), pa.array(lengths, pa.int64()), pa.array(files, pa.binary()), struct], names=["doc_id", "n_bytes", "media", "stored"])
+                    start, size, rows = i + 1, 0, []
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, media binary, stored struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
+    return docs.select("doc_id", text).mapInArrow(tidy(both), schema)
+
+
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as GIF files, read back."""
-    kept = read_media(store_texts(table(spark, sf_dir, "documents")))
+    kept = store_and_read(table(spark, sf_dir, "documents"))
     return kept.select(
         "doc_id",
         "n_bytes",

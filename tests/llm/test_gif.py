@@ -165,3 +165,30 @@ def test_texts_stored_and_read(spark, make_docs, tmp_path):
     assert [(f.frame, f.start_ms, f.height, sum(f.histogram)) for f in listed] == [(0, 0, 4096, 64 * 4096), (1, 100, 4096, 64 * 4096), (2, 200, 1183, 64 * 4096)]
     assert gif.frames(stored.withColumn("media", stored.media.substr(3, 9))).count() == 0
     assert gif.store_texts(make_docs([])).count() == 0
+
+
+def test_one_pass_gives_the_same_as_two(spark, make_docs, monkeypatch):
+    texts = ["", None, "a", "some text " * 400, "é" * 63, "same", "same", "\x00\U0001f600", "long " * 60_000]
+    docs = make_docs([(i, t) for i, t in enumerate(texts)]).selectExpr("*", "'x' AS media", "1 AS stored")
+    monkeypatch.setattr(gif, "_PART_BYTES", 2_000)
+    once = gif.store_and_read(docs)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    got = {r.doc_id: tuple(r) for r in once.collect()}
+    want = {r.doc_id: tuple(r) for r in gif.read_media(gif.store_texts(docs)).select("doc_id", "n_bytes", "media", "stored").collect()}
+    assert len(got) == len(texts) and got == want
+    assert gif.store_and_read(make_docs([])).collect() == []
+
+
+def test_null_media_have_no_features(spark):
+    rows = gif.read_media(spark.createDataFrame([(1, None), (2, gif.store(b"x"))], "doc_id int, media binary")).orderBy("doc_id").collect()
+    assert tuple(rows[0].stored) == (None, None, None, None)
+    assert rows[1].stored.payload_bytes == 64
+
+
+def test_each_file_is_encoded_once(monkeypatch):
+    calls = []
+    whole = gif.encode
+    monkeypatch.setattr(gif, "encode", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    assert gif._features(gif.store(b"payload"))[0] == 64
+    assert len(calls) == 1
