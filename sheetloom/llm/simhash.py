@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm.components import components
@@ -197,22 +197,18 @@ def _set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of 64-bit numbers, each as sorted bytes; of two empty sets: 1."""
-    one, other = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = np.intersect1d(one, other, assume_unique=True).size
-    return both / (one.size + other.size - both) if one.size or other.size else 1.0
+def jaccard(one: Column | str, other: Column | str) -> Column:
+    """Jaccard similarity of two arrays without repeats; of two empty ones: 1."""
+    both = F.size(F.array_intersect(one, other))
+    either = F.size(one) + F.size(other) - both
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``pairs (a, b)`` and whether the sets ``sets (fp, hashes)`` of both are similar enough: ``near``."""
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= similarity - 1e-12 for x, y in zip(a, b, strict=True)], dtype=bool)
-
     one, other = (sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(other, "b").select("a", "b", near("_a", "_b").alias("near"))
+    # Row by row, so that a task never holds the sets of a whole batch of pairs.
+    return pairs.join(one, "a").join(other, "b").select("a", "b", (jaccard("_a", "_b") >= similarity - 1e-12).alias("near"))
 
 
 def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -224,7 +220,7 @@ def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity
     entries = distinct.select(F.explode("bands").alias("key"), "fp")
     shared = entries.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = written(entries.join(shared, "key"))
-    hashed = F.pandas_udf(lambda text: pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in text], dtype=object), "binary")
+    hashed = F.pandas_udf(lambda text: pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text], dtype=object), "array<bigint>")
     wanted = distinct.select("fp", "text_hash").join(met.select("fp").distinct(), "fp")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash")
