@@ -11,7 +11,7 @@ from sheetloom.functions import names, numbers, shapes, svg
 from sheetloom.operators import browse, classify, config, fuzzy, loops, matching, naming, tiles
 from sheetloom.plans import views
 from sheetloom.sinks import writers
-from sheetloom.sources import annotations, config_files
+from sheetloom.sources import annotations, config_files, drawings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,7 +473,7 @@ def file_statistics(spark, sf_dir):
 @query
 def encoding_census(spark, sf_dir):
     text, encoding = config_files.decode_text(F.col("content"))
-    return views.encoded_documents(spark, sf_dir).select("doc_id", encoding.alias("encoding"), F.length(text).alias("chars"), F.md5(F.regexp_replace(text, "[^\\x00-\\x7f]", "").cast("binary")).alias("ascii_md5"))
+    return views.encoded_documents(spark, sf_dir).select("doc_id", encoding.alias("encoding"), F.length(text).alias("chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 # Names alike
@@ -560,13 +560,19 @@ def matched_rows(spark, sf_dir):
     contours, texts, devices = _drawing(spark, sf_dir)
     enriched = matching.enrich_matches(matching.match_devices(contours, texts, devices), devices)
     first = matching.first_contour_of_object(matching.device_parts(devices), contours)
-    d = "Devices.Device[0]."
+    # The whole element: all attributes in the order they are written.
     return writers.matched_rows(enriched, first).selectExpr(
         "doc_id", "_name as tech_object", "Contour._bounds as bounds", "Contour._center as center",
-        *[f"{d}_{c} as {c}" for c in ("lua_name", "pdf_name", "x", "y", "confidence", "device_type", "descr", "article", "type", "category", "size", "price")],
+        "array_join(transform(map_entries(Devices.Device[0]), e -> concat(substr(e.key, 2), '=', e.value)), ';') as attributes",
     )
 
 
+@query
+def matched_devices_read(spark, sf_dir):
+    rows = drawings.devices_of_elements(drawings.element_texts(views.matched_files(spark, sf_dir)))
+    return rows.select("doc_id", "tech_object", "ord", "lua_name", "x", "confidence", "descr", F.try_element_at("extra", F.lit("size")).alias("size"), F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("open"))
+
+
 @query
 def visualisation_contours(spark, sf_dir):
     contours = matching.contours_with_object(views.contours(spark, sf_dir))
@@ -657,9 +663,9 @@ def clamped_shapes(spark, sf_dir):
 
 @query
 def annotation_files(spark, sf_dir):
-    # Images of every other order have no boxes.
-    boxes = views.boxes(spark, sf_dir).where("substr(image_id, -1) in ('0', '2', '4', '6', '8')").withColumn("difficult", F.lit(False))
-    rows = writers.annotation_rows(boxes, views.images(spark, sf_dir).withColumn("verified", F.col("width") > 2000))
+    boxes = views.boxes(spark, sf_dir).withColumn("difficult", F.lit(False))
+    images = views.images(spark, sf_dir).unionByName(views.bare_images(spark, sf_dir))
+    rows = writers.annotation_rows(boxes, images.withColumn("verified", F.col("width") > 2000))
     text = lambda o: F.concat_ws(":", o["name"], *[o["bndbox"][s] for s in ("xmin", "ymin", "xmax", "ymax")])
     return rows.select("image_id", "_verified", "size.width", "size.height", F.array_join(F.transform("object", text), "|").alias("boxes"))
 

@@ -418,10 +418,13 @@ ORACLE["config_rejects"] = """SELECT CAST(event_id AS VARCHAR) AS path, CASE eve
 FROM events WHERE event_type IN ('error', 'view')"""
 ORACLE["file_statistics"] = f"""SELECT CAST(count_if({_GOOD}) AS BIGINT) AS files_ok, count(*) AS files, CAST(2 * count_if({_GOOD}) AS BIGINT) AS nodes, CAST(count_if({_GOOD}) AS BIGINT) AS devices FROM events"""
 
+# Characters of the bytes 80 to FF but 98, in ISO-8859-1 and in windows-1251.
+_LATIN, _CYRILLIC = (bytes(b for b in range(0x80, 0x100) if b != 0x98).decode(e) for e in ("latin-1", "cp1251"))
 ORACLE["encoding_census"] = """SELECT doc_id, CASE WHEN lang = 'de' THEN 'latin-1'
   WHEN lang = 'fr' AND regexp_matches(regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g'), '[^\\x00-\\x7f]') THEN 'cp1251' ELSE 'utf-8' END AS encoding,
   CAST(length(text) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS INT) AS chars,
-  md5(regexp_replace(CASE WHEN lang IN ('fr', 'de') THEN regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g') ELSE text END, '[^\\x00-\\x7f]', '', 'g')) AS ascii_md5 FROM documents"""
+  md5(CASE lang WHEN 'de' THEN regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g') || chr(152)
+    WHEN 'fr' THEN translate(regexp_replace(text, '[^\\x{0}-\\x{ff}]', '?', 'g'), '""" + _LATIN + """', '""" + _CYRILLIC + """') ELSE text END) AS text_md5 FROM documents"""
 
 # Similarity of every pair of distinct names.
 ORACLE["fuzzy_objects"] = """WITH a AS (SELECT DISTINCT p_partkey % 10 AS doc_id, substr(replace(p_name, ' ', ''), CAST(1 + p_partkey % 3 AS INT)) || (p_size % 30) AS a FROM part),
@@ -453,10 +456,16 @@ latest AS (SELECT doc_id, upper(name) AS n, arg_max(devices, ord) AS d FROM devi
 SELECT m.doc_id, m.tech_object,
   CASE WHEN m.first THEN concat_ws(',', f.c.min_x, f.c.min_y, f.c.max_x, f.c.max_y) END AS bounds,
   CASE WHEN m.first THEN concat_ws(',', (f.c.min_x + f.c.max_x) / 2, (f.c.min_y + f.c.max_y) / 2) END AS center,
-  m.tech_object || label AS lua_name, label AS pdf_name, printf('%.3f', cx) AS x, printf('%.3f', cy) AS y, '1.00' AS confidence, regexp_extract(label, '^[A-Z]+') AS device_type,
-  l.d.descr AS descr, l.d.article AS article, l.d.type AS "type", l.d.category AS category, l.d.size AS size, l.d.price AS price
+  concat_ws(';', 'device_type=' || regexp_extract(label, '^[A-Z]+'), 'lua_name=' || m.tech_object || label, 'pdf_name=' || label, 'x=' || printf('%.3f', cx), 'y=' || printf('%.3f', cy),
+    'confidence=1.00', 'descr=' || l.d.descr, 'article=' || l.d.article, 'type=' || l.d.type, 'category=' || l.d.category, 'price=' || l.d.price, 'size=' || l.d.size) AS attributes
 FROM ordered m JOIN firsts f ON f.doc_id = m.doc_id AND f.tech_object = m.tech_object JOIN latest l ON l.doc_id = m.doc_id AND l.n = m.tech_object || m.label"""
 
+# Third devices have a bad number; devices in comments and raw texts are none.
+ORACLE["matched_devices_read"] = """SELECT o_orderkey AS doc_id, 'TANK' || (o_orderkey % 9) || CASE WHEN n = 2 THEN '&' ELSE '' END AS tech_object, k - 1 AS ord,
+  'T' || o_custkey || 'V' || k AS lua_name, CAST(o_custkey AS DOUBLE) AS x, CASE WHEN k = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
+  CASE WHEN k = 1 THEN o_orderpriority || ' <a> & "b"' ELSE '' END AS descr, CASE WHEN k = 1 THEN '0' || (o_orderkey % 10) END AS size, CASE WHEN k = 1 THEN 'size' ELSE 'foo' END AS open
+FROM orders, (VALUES (1), (2)) n(n), (VALUES (1), (2)) k(k)"""
+
 ORACLE["visualisation_contours"] = f"""WITH {CONTOURS}
 SELECT doc_id, name, tech_object, concat_ws(',', min_x, min_y, max_x, max_y) AS bounds, concat_ws(',', (min_x + max_x) / 2, (min_y + max_y) / 2) AS center,
   CAST(max_x - min_x AS VARCHAR) AS width, CAST(max_y - min_y AS VARCHAR) AS height FROM contours WHERE tech_object IS NOT NULL"""
@@ -537,9 +546,10 @@ SELECT image_id, box_id, xmin > width OR xmax > width OR ymin > height OR ymax >
   CAST(least(xmax, width) AS DOUBLE) AS x1, CAST(least(ymax, height) AS DOUBLE) AS y1 FROM boxes JOIN images USING (image_id)"""
 
 ORACLE["annotation_files"] = f"""WITH {IMAGES}, {BOXES},
-lists AS (SELECT image_id, string_agg(concat_ws(':', name, xmin, ymin, xmax, ymax), '|' ORDER BY box_id) AS boxes FROM boxes
-  WHERE right(image_id, 1) IN ('0', '2', '4', '6', '8') GROUP BY ALL)
-SELECT image_id, CASE WHEN width > 2000 THEN 'yes' END AS _verified, width, height, coalesce(boxes, '') AS boxes FROM images LEFT JOIN lists USING (image_id)"""
+lists AS (SELECT image_id, string_agg(concat_ws(':', name, xmin, ymin, xmax, ymax), '|' ORDER BY box_id) AS boxes FROM boxes GROUP BY ALL),
+every AS (SELECT image_id, width, height FROM images
+  UNION ALL SELECT 'bare' || c_custkey, CAST(640 + c_custkey % 9 * 200 AS INT), CAST(480 + c_nationkey * 10 AS INT) FROM customer)
+SELECT image_id, CASE WHEN width > 2000 THEN 'yes' END AS _verified, width, height, coalesce(boxes, '') AS boxes FROM every LEFT JOIN lists USING (image_id)"""
 
 _X, _Y = "(l_quantity * 15.5::DOUBLE + l_partkey % 50)", "(l_suppkey % 40 * 11.25::DOUBLE + l_quantity)"
 DETECTED = f"""found AS (SELECT 'page' || (l_orderkey // 100) AS image_id, l_orderkey // 100 AS doc_id,

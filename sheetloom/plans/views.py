@@ -225,6 +225,31 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bare_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image without boxes per customer."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "concat('bare', c_custkey) as image_id", "cast(640 + c_custkey % 9 * 200 as int) as width", "cast(480 + c_nationkey * 10 as int) as height"
+    )
+
+
+def matched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One matched-device file per order: two objects, devices with open attributes, comments, raw texts and a bad number."""
+    device = (
+        "concat('<Device lua_name=\"T', o_custkey, 'V', k, '\" x=\"', if(k = 3, 'bad', cast(o_custkey as string)), '\" y=\"2.5\"',"
+        " if(k = 1, concat(' confidence=\"0.50\" descr=\"', o_orderpriority, ' &lt;a> &amp; &quot;b&quot;\" size=\"0', o_orderkey % 10, '\"'), ' foo=\"1\"'),"
+        " if(k = 2, '><![CDATA[<Device lua_name=\"raw\"/>]]></Device>', '/><!-- <Device lua_name=\"old\" x=\"1\"/> -->'))"
+    )
+    element = (
+        "concat('<TechnologicalObject name=\"TANK', o_orderkey % 9, if(n = 2, '&amp;', ''), '\"><Contour bounds=\"1,2,3,4\" center=\"1,2\"/><Devices>',"
+        f" array_join(transform(sequence(1, 3), k -> {device}), '\n'), '</Devices></TechnologicalObject>')"
+    )
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id",
+        "concat('<?xml version=\"1.0\"?><PlantGeometry><TechnologicalObjects><!-- <TechnologicalObject name=\"gone\"/> -->',"
+        f" array_join(transform(sequence(1, 2), n -> {element}), ''), '<TechnologicalObject name=\"empty\"/></TechnologicalObjects></PlantGeometry>') as body",
+    )
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One annotation box per line item."""
     x, y = "cast(l_partkey % 4000 as int)", "cast(l_suppkey * 13 % 2500 as int)"

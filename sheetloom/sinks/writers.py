@@ -5,8 +5,6 @@ Tables keep full doubles; decimals are cut only in the XML and label texts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,8 @@ def _xml(df: DataFrame, path: str, root: str, row: str) -> None:
         df.write.format("xml").option("rootTag", root).option("rowTag", row).mode("overwrite").save(path)
         return
     # Rows of a document meet in a few tasks, so that not every task writes a file for each document.
-    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map" not in t and "variant" not in t]), F.lit(_PARTS))
+    plain = [c for c, t in df.dtypes if "map" not in t and "variant" not in t]
+    salt = F.pmod(F.xxhash64(*plain, *[F.to_json(c) for c in df.columns if c not in plain]), F.lit(_PARTS))
     clustered = df.repartition("doc_id", salt)
     clustered.write.format("xml").option("rootTag", root).option("rowTag", row).partitionBy("doc_id").mode("overwrite").save(path)
 
@@ -101,29 +100,33 @@ def _joined(*cols: str) -> Column:
     return F.concat_ws(",", *[float_text(F.col(c)) for c in cols])
 
 
-def open_names(enriched: DataFrame) -> list[str]:
-    """Names of all open attributes in the table; like a schema, they are few."""
-    return sorted(r["k"] for r in enriched.select(F.explode(F.map_keys("extra")).alias("k")).distinct().collect())
+def _element(fixed: dict[str, Column], extra: Column) -> Column:
+    """An element's attributes as a map, which the XML writer prints: fixed ones, then open ones by name.
+
+    Missing values are left out, and so are open names that are fixed ones or no XML names. No
+    list of the open names is needed, so it is never gathered.
+    """
+    own = F.array(*[F.struct(F.lit(f"_{k}").alias("key"), v.cast("string").alias("value")) for k, v in fixed.items()])
+    named = lambda k, v: v.isNotNull() & k.rlike(r"^[\p{L}_][\p{L}\p{N}_.\-]*$") & ~k.isin(*fixed)
+    found = F.array_sort(F.map_entries(F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), named)))
+    marked = F.transform(found, lambda e: F.struct(F.concat(F.lit("_"), e["key"]).alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(F.concat(F.filter(own, lambda e: e["value"].isNotNull()), marked))
 
 
-def matched_rows(enriched: DataFrame, first_contours: DataFrame, extra: Sequence[str] | None = None) -> DataFrame:
+def matched_rows(enriched: DataFrame, first_contours: DataFrame) -> DataFrame:
     """One row per device, in an element of its object; the first one carries the contour.
 
-    ``extra`` lists the open attributes to write, by default all there are. Readers of the format
-    take elements of the same name together, so objects of any size have one form.
+    A device has all its open attributes. Readers of the format take elements of the same name
+    together, so objects of any size have one form.
     """
-    extra = open_names(enriched) if extra is None else extra
-    fields = ("descr", "article", "type", "category")
-    device = lambda d: F.struct(
-        d["device_type"].alias("_device_type"),
-        d["lua_name"].alias("_lua_name"),
-        d["pdf_name"].alias("_pdf_name"),
-        fixed3(d["x"]).alias("_x"),
-        fixed3(d["y"]).alias("_y"),
-        F.format_string("%.2f", d["confidence"]).alias("_confidence"),
-        *[d[f].alias(f"_{f}") for f in fields],
-        *[F.try_element_at(d["extra"], F.lit(k)).alias(f"_{k}") for k in extra],
-        F.lit(None).cast("string").alias("_VALUE"),
+    device = _element(
+        {
+            **{c: F.col(c) for c in ("device_type", "lua_name", "pdf_name")},
+            **{c: fixed3(F.col(c)) for c in ("x", "y")},
+            "confidence": F.format_string("%.2f", F.col("confidence")),
+            **{c: F.col(c) for c in ("descr", "article", "type", "category")},
+        },
+        F.col("extra"),
     )
     contour = F.struct(
         _joined("min_x", "min_y", "max_x", "max_y").alias("_bounds"),
@@ -136,13 +139,13 @@ def matched_rows(enriched: DataFrame, first_contours: DataFrame, extra: Sequence
         "doc_id",
         F.col("tech_object").alias("_name"),
         "Contour",
-        F.struct(F.array(device({c: F.col(c) for c in devices.columns})).alias("Device")).alias("Devices"),
+        F.struct(F.array(device).alias("Device")).alias("Devices"),
     )
 
 
-def write_matched(enriched: DataFrame, first_contours: DataFrame, path: str, extra: Sequence[str] | None = None) -> None:
+def write_matched(enriched: DataFrame, first_contours: DataFrame, path: str) -> None:
     """Matched devices as XML, one element per device."""
-    _xml(matched_rows(enriched, first_contours, extra), path, "TechnologicalObjects", "TechnologicalObject")
+    _xml(matched_rows(enriched, first_contours), path, "TechnologicalObjects", "TechnologicalObject")
 
 
 def contour_view_rows(contours: DataFrame) -> DataFrame:

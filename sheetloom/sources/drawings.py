@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import names, shapes
 from sheetloom.functions.numbers import number_or, to_number
 from sheetloom.operators.matching import DEVICE_FIELDS, open_attributes
-from sheetloom.sources.config_files import document_of, read_text_files
+from sheetloom.sources.config_files import document_of
 
 
 def line_segments(items: DataFrame) -> DataFrame:
@@ -111,18 +111,33 @@ def _attributes(tag: Column) -> Column:
     return F.map_from_entries(F.transform(F.regexp_extract_all(tag, F.lit(pair), F.lit(0)), entry))
 
 
-def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
-    """Devices of matched-device files; a device with unreadable numbers is skipped."""
-    # The XML source drops the open attributes of empty elements, so tags are read as text.
+# End of an element: files are cut there, so that a file of any size is read in parts.
+_END = "</TechnologicalObject>"
+
+
+def element_texts(files: DataFrame) -> DataFrame:
+    """``files(doc_id, body)`` cut at the ends of their object elements."""
+    return files.select("doc_id", F.explode(F.split("body", _END)).alias("element"))
+
+
+def devices_of_elements(elements: DataFrame) -> DataFrame:
+    """Devices of ``elements(doc_id, element)``, each the text up to the end of one object element.
+
+    Comments and raw character data are no data. A device with unreadable numbers is skipped.
+    """
     tag = r"""(?s)<{}\b(?:"[^"]*"|'[^']*'|[^>"'])*>""".format
-    objects = F.regexp_extract_all("body", F.lit(tag("TechnologicalObject") + ".*?</TechnologicalObject>"), F.lit(0))
+    data = F.regexp_replace("element", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    objects = F.regexp_extract_all("_data", F.lit(tag("TechnologicalObject")), F.lit(0))
+    # Elements without content end in their own tag; the last one that opens holds the devices.
+    opened = F.try_element_at(F.filter(objects, lambda o: ~F.endswith(o, F.lit("/>"))), F.lit(-1))
     rows = (
-        read_text_files(spark, path, "*.xml")
-        .select("doc_id", F.explode(objects).alias("_o"))
+        elements.withColumn("_data", data)
+        .select("doc_id", opened.alias("_o"), "_data")
+        .where("_o IS NOT NULL")
         .select(
             "doc_id",
-            F.try_element_at(_attributes(F.regexp_extract("_o", tag("TechnologicalObject"), 0)), F.lit("name")).alias("tech_object"),
-            F.posexplode(F.regexp_extract_all("_o", F.lit(tag("Device")), F.lit(0))).alias("ord", "_e"),
+            F.try_element_at(_attributes(F.col("_o")), F.lit("name")).alias("tech_object"),
+            F.posexplode(F.regexp_extract_all(F.expr("substring_index(_data, _o, -1)"), F.lit(tag("Device")), F.lit(0))).alias("ord", "_e"),
         )
         .where(F.coalesce("tech_object", F.lit("")) != "")
     )
@@ -154,3 +169,10 @@ def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
         .where("x is not null and y is not null and confidence is not null")
     )
 
+
+
+def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
+    """Devices of matched-device files in UTF-8, read by element."""
+    # The XML source drops the open attributes of empty elements, and as variants it turns 01 into 1.
+    records = spark.read.option("lineSep", _END).option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").text(path)
+    return devices_of_elements(records.select(document_of(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("element")))

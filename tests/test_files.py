@@ -122,3 +122,32 @@ def test_text_file(spark, tmp_path):
     writers.write_texts(texts, str(tmp_path / "t"))
     back = spark.read.format("xml").option("rowTag", "Text").load(str(tmp_path / "t")).select("_content", "_y", F.col("BBox._y2"))
     assert [tuple(r) for r in back.collect()] == [("V1", 1.0, 2.0)]
+
+
+def test_matched_devices_by_element(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        '<?xml version="1.0"?>\n<PlantGeometry><TechnologicalObjects><!-- <TechnologicalObject name="no"><Devices><Device lua_name="N"/></Devices> -->\n'
+        '<TechnologicalObject name="empty"/><TechnologicalObject name="T&amp;1" note="a > b"><Devices><Device lua_name="V1" size="01" x="1"/>\n'
+        '<!-- <Device lua_name="C"/> --><Device lua_name="V2"><![CDATA[<Device lua_name="D"/>]]></Device></Devices></TechnologicalObject>'
+        '<TechnologicalObject name=""><Devices><Device lua_name="V3"/></Devices></TechnologicalObject></TechnologicalObjects></PlantGeometry>'
+    )
+    rows = drawings.read_matched_devices(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.doc_id, r.tech_object, r.lua_name, r.x, r.extra) for r in rows] == [("x", "T&1", "V1", 1.0, {"size": "01"}), ("x", "T&1", "V2", 0.0, {})]
+
+
+def test_open_attributes_are_written_without_a_list(spark, tmp_path):
+    extra = {"z": "1", "a": '<"&>', "bad name": "2", "lua_name": "x", "ü": "3", "none": None}
+    rows = spark.createDataFrame(
+        [("d", "T", 0, i, f"TV{i}", f"V{i}", 1.0, 2.0, 1.0, "V", None, "", None, None, extra if i else {}) for i in range(2)],
+        "doc_id string, tech_object string, contour_id int, text_id int, lua_name string, pdf_name string, x double, y double, confidence double,"
+        " device_type string, descr string, article string, type string, category string, extra map<string,string>",
+    )
+    none = spark.createDataFrame([], "doc_id string, tech_object string, min_x double, min_y double, max_x double, max_y double, cx double, cy double")
+    found = writers.matched_rows(rows, none)
+    fixed = {"_device_type": "V", "_x": "1.000", "_y": "2.000", "_confidence": "1.00", "_article": ""}
+    got = [r.Devices.Device[0] for r in found.collect()]
+    own = {"TV0": {}, "TV1": {"_a": '<"&>', "_z": "1", "_ü": "3"}}
+    assert sorted(got, key=len) == [{**fixed, "_lua_name": n, "_pdf_name": n[1:], **own[n]} for n in ("TV0", "TV1")]
+    writers.write_matched(rows, none, str(tmp_path / "m"))
+    back = drawings.read_matched_devices(spark, str(tmp_path / "m")).collect()
+    assert {r.lua_name: r.extra for r in back} == {"TV0": {}, "TV1": {"a": '<"&>', "z": "1", "ü": "3"}}
