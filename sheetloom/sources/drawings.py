@@ -100,7 +100,7 @@ def _unescape(v: Column) -> Column:
 
 def _attributes(tag: Column) -> Column:
     """Attributes of one start tag as a map."""
-    pair = r"""([\w:.\-]+)\s*=\s*("[^"]*"|'[^']*')"""
+    pair = r"""([\p{L}\p{N}_:.\-]+)\s*=\s*("[^"]*"|'[^']*')"""
 
     def entry(p: Column) -> Column:
         quoted = F.regexp_extract(p, pair, 2)
