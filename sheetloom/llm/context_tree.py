@@ -21,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import table, written
+from sheetloom.llm.shared import table, tidy, written
 
 DEPTH = 5
 END = b""
 _SEP, _CLOSE = b" ", b"\n"
 #: Text bytes of a block, and entries of a count that a task holds before it passes them on.
 BLOCK_BYTES = 24_000_000
-HELD = 1_200_000
-_CHUNK = 2_000_000
-_DENSE = 1 << 23
+HELD = 1_000_000
+_CHUNK = 1_000_000
+_DENSE = 1 << 21
 _GROUPS = 64
+#: In place of a gram, of a word that training texts have.
+_SEEN = -2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -308,7 +310,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", text.alias("text"), held_out("doc_id").alias("held"), block.alias("block"))
 
     most, chunk = HELD, _CHUNK
-    counted = own.select("block", "held", "text").mapInArrow(lambda b: _count_blocks(b, most, chunk), "block bigint, word binary, gram bigint, n bigint")
+    counted = own.select("block", "held", "text").mapInArrow(tidy(lambda b: _count_blocks(b, most, chunk)), "block bigint, word binary, gram bigint, n bigint")
     same = Window.partitionBy("word", "gram")
     ranked = Window.partitionBy("word", "gram").orderBy("block")
     summed = written(counted.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(ranked) == 1).select("block", "word", "gram", "c", "first"))
@@ -318,16 +320,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     values = gram_scores(once.where("gram >= 0").select("gram", F.col("c").alias("n")))
     gram_rows = summed.where("gram >= 0").select("block", "gram").join(values, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
     word_value = F.log10((F.col("c") + F.lit(0.5)) / F.lit(n_all + 0.5 * (n_kinds + 1)))
-    word_rows = summed.where("gram < 0").select("block", "word", "gram", word_value.alias("value"))
+    # Words of training texts have another number, as equal logs need not be equal to the last bit.
+    seen = F.when(F.col("c") > 0, F.lit(_SEEN)).otherwise(F.col("gram")).alias("gram")
+    word_rows = summed.where("gram < 0").select("block", "word", seen, word_value.alias("value"))
     numbers = gram_rows.unionByName(word_rows).withColumn("kind", F.lit(0))
     id_type = dict(docs.dtypes)["doc_id"]
     texts = own.select(F.col("block").cast("bigint").alias("block"), F.lit(1).alias("kind"), "doc_id", "text", "held")
     # More partitions than blocks, so that few tasks get several of them.
     together = numbers.unionByName(texts, allowMissingColumns=True).repartition(3 * parts * fold, "block").sortWithinPartitions("block", "kind")
-    unknown = float(np.log10(0.5 / (n_all + 0.5 * (n_kinds + 1))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, grams, logs, lookup = None, {}, [], [], None
+        now, known, unseen, grams, logs, lookup = None, {}, set(), [], [], None
         for batch in batches:
             column = lambda name, b=batch: b.column(b.schema.get_field_index(name))
             of_block, kinds = column("block").to_numpy(), column("kind").to_numpy()
@@ -336,7 +339,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 if a == b:
                     continue
                 if of_block[a] != now:
-                    now, known, grams, logs, lookup = of_block[a], {}, [], [], None
+                    now, known, unseen, grams, logs, lookup = of_block[a], {}, set(), [], [], None
                 if kinds[a] == 0:
                     gram, value = column("gram").slice(a, b - a).to_numpy(), column("value").slice(a, b - a).to_numpy()
                     is_gram = gram >= 0
@@ -344,6 +347,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     logs.append(value[is_gram])
                     words = column("word").slice(a, b - a).to_pylist()
                     known.update((w, v) for w, v in zip(words, value.tolist(), strict=True) if w is not None)
+                    unseen.update(w for w, n in zip(words, gram.tolist(), strict=True) if w is not None and n != _SEEN)
                     continue
                 if lookup is None:
                     lookup = GramTable(np.concatenate(grams), np.concatenate(logs))
@@ -354,7 +358,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     stream = stream_of(tokens)
                     tokens.append(END)
                     each = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
-                    out.append((len(tokens), int((each > unknown).sum()), float(each.sum()), float(lookup.look_up(stream).sum()), len(stream) - DEPTH))
+                    out.append((len(tokens), len(tokens) - sum(map(unseen.__contains__, tokens)), float(each.sum()), float(lookup.look_up(stream).sum()), len(stream) - DEPTH))
                 n_tokens, n_known, base, model, n_bytes = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -365,7 +369,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 )
 
     return together.mapInArrow(
-        score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
+        tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
     )
 
 
