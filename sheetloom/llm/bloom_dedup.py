@@ -102,9 +102,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical without white space; null counts as empty. The row
-    with the most code points stays, then the one with the smallest ``doc_id`` (null last). Rows
-    that repeat a ``doc_id`` together with a text of the same length are one document and share
-    the verdict. An empty table gives an empty result; further columns are not read.
+    with the most code points stays, then the one with the smallest ``doc_id`` (null last); of
+    rows that repeat a ``doc_id`` together with a text of the same length one stays. An empty table gives an empty result; further columns are not read.
 
     Groups of any size are first gathered by a salt, so that a group with a large share of all
     rows is spread over tasks, and its verdict is sent back to those gathered parts.
@@ -125,12 +124,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     parts = written(parts.select("text_sha256", "best", "members"))
     verdicts = parts.groupBy("text_sha256").agg(best("best"), F.sum(F.size("members")).alias("group_size"))
-    members = parts.drop("best").join(verdicts, "text_sha256").select("text_sha256", "best", "group_size", F.explode("members").alias("me"))
+    # Rows equal to the best one have its id, thus its salt, and lie in one part.
+    place = F.array_position("members", F.col("best")).alias("_best_at")
+    members = parts.drop("best").join(verdicts, "text_sha256").select("text_sha256", "best", "group_size", place, F.posexplode("members").alias("_at", "me"))
     checked = members.select(
         F.col("me.doc_id").alias("doc_id"),
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        F.col("me").eqNullSafe(F.col("best")).alias("kept"),
+        (F.col("_at") + 1 == F.col("_best_at")).alias("kept"),
         "text_sha256",
     )
     return through.unionByName(checked)

@@ -64,3 +64,11 @@ def test_filter_sizes():
 def test_empty_table(spark, make_docs):
     assert bloom_dedup.exact_groups(make_docs([])).count() == 0
     assert bloom_dedup.drop_exact(make_docs([])).count() == 0
+
+
+def test_one_of_repeated_rows_stays(make_docs):
+    rows = [(7, "a b"), (7, "a b"), (7, "ab "), (8, "a b"), (None, "x"), (None, "x"), (9, "alone")]
+    got = bloom_dedup.exact_groups(make_docs(rows, 4)).collect()
+    assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in got) == sorted(
+        [(7, 4, True), (7, 4, False), (7, 4, False), (7, 4, False), (0, 2, True), (0, 2, False), (9, 1, True)]
+    )
