@@ -88,6 +88,8 @@ class _Ranks:
         slot = self._slot(keys)
         wrong = np.flatnonzero(self.slots[slot] != keys)
         while wrong.size:
+            if (self.slots[slot[wrong]] < 0).any():
+                raise KeyError("key that is not in the table")
             slot[wrong] = (slot[wrong] + 1) & ((1 << self.power) - 1)
             wrong = wrong[self.slots[slot[wrong]] != keys[wrong]]
         return self.at[slot].astype(np.int64)
@@ -117,9 +119,11 @@ class GramTable:
 
     def look_up(self, raw: bytes) -> np.ndarray:
         codes = self.code[np.frombuffer(raw, np.uint8)]
-        ids = codes
+        # The last bytes of a stream begin no gram, so no step knows them.
+        n = len(codes) - DEPTH
+        ids = codes[:n]
         for i, step in enumerate(self.steps, 1):
-            ids = step(ids[: len(codes) - i] * self.width + codes[i:])
+            ids = step(ids * self.width + codes[i : n + i])
         return self.values[ids]
 
 

@@ -130,3 +130,14 @@ def test_words_that_training_texts_lack_are_not_known(spark, make_docs, tmp_path
     assert got[out].train_tokens == n
     assert (got[out].n_tokens, got[out].n_known) == (4, 2)
     assert got[train].n_known == n
+
+
+def test_the_end_of_a_stream_begins_no_gram(monkeypatch):
+    monkeypatch.setattr(context_tree, "_DENSE", 1)
+    streams = [context_tree.stream_of(t.split()) for t in (b"", b"a", b"some words and a last one", b"zq \xc3\xa9t\xc3\xa9 xylophone")]
+    known = context_tree.np.unique(context_tree.np.concatenate([context_tree.grams_of(s) for s in streams]))
+    lookup = context_tree.GramTable(known, known.astype(float))
+    for s in streams:
+        assert (lookup.look_up(s) == context_tree.grams_of(s)).all()
+    with pytest.raises(KeyError):
+        lookup.look_up(context_tree.stream_of([b"never", b"counted"]))
