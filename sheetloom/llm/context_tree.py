@@ -30,7 +30,7 @@ _SEP, _CLOSE = b" ", b"\n"
 BLOCK_BYTES = 24_000_000
 HELD = 1_000_000
 _CHUNK = 1_000_000
-_DENSE = 1 << 21
+_PART = 1 << 18
 _GROUPS = 64
 #: In place of a gram, of a word that training texts have.
 _SEEN = -2
@@ -56,75 +56,44 @@ def grams_of(raw: bytes) -> np.ndarray:
     return out
 
 
-class _Ranks:
-    """Places of keys in a sorted list of known ones: by a table of all keys where that is small, else by hashing.
-
-    Only known keys may be asked for.
-    """
-
-    def __init__(self, known: np.ndarray, bound: int) -> None:
-        self.slots = None
-        if bound <= _DENSE:
-            self.at = np.zeros(max(1, bound), np.int32)
-            self.at[known] = np.arange(len(known), dtype=np.int32)
-            return
-        self.power = max(4, (3 * len(known)).bit_length())
-        self.slots, self.at = np.full(1 << self.power, -1, np.int64), np.zeros(1 << self.power, np.int32)
-        left, slot = np.arange(len(known)), self._slot(known)
-        while left.size:
-            free = self.slots[slot] < 0
-            place, first = np.unique(slot[free], return_index=True)
-            taken = left[free][first]
-            self.slots[place], self.at[place] = known[taken], taken
-            open_ = self.slots[slot] != known[left]
-            left, slot = left[open_], (slot[open_] + 1) & ((1 << self.power) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if self.slots is None:
-            return self.at[keys].astype(np.int64)
-        slot = self._slot(keys)
-        wrong = np.flatnonzero(self.slots[slot] != keys)
-        while wrong.size:
-            if (self.slots[slot[wrong]] < 0).any():
-                raise KeyError("key that is not in the table")
-            slot[wrong] = (slot[wrong] + 1) & ((1 << self.power) - 1)
-            wrong = wrong[self.slots[slot[wrong]] != keys[wrong]]
-        return self.at[slot].astype(np.int64)
-
-
 class GramTable:
-    """Numbers of the known grams, looked up for a whole stream by one step per byte of the gram."""
+    """Numbers of the known grams, found by hashing with linear probing."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
         # A gram that was passed on in parts comes several times with the same number.
-        grams, order = np.unique(grams, return_index=True)
-        self.values = values[order]
-        parts = np.stack([(grams >> (8 * (DEPTH - i))) & 255 for i in range(DEPTH + 1)], axis=1)
-        used = np.unique(parts)
-        self.code = np.zeros(256, np.int64)
-        self.code[used] = np.arange(len(used))
-        self.width = max(1, len(used))
-        self.steps: list[_Ranks] = []
-        ids = self.code[parts[:, 0]] if len(grams) else np.zeros(0, np.int64)
-        bound = self.width
-        for i in range(1, DEPTH + 1):
-            keys = ids * self.width + self.code[parts[:, i]]
-            known = np.unique(keys)
-            step = _Ranks(known, bound * self.width)
-            self.steps.append(step)
-            ids, bound = step(keys), len(known)
+        self.power = max(4, (2 * len(grams)).bit_length())
+        self.keys, self.values = np.full(1 << self.power, -1, np.int64), np.zeros(1 << self.power)
+        slot = self._slot(grams)
+        while grams.size:
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = grams[free]
+            own = self.keys[slot] == grams
+            self.values[slot[own]] = values[own]
+            grams, values, slot = grams[~own], values[~own], self._next(slot[~own])
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.power)).view(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.power) - 1)
+
+    def _numbers(self, grams: np.ndarray) -> np.ndarray:
+        slot = self._slot(grams)
+        wrong = np.flatnonzero(self.keys[slot] != grams)
+        while wrong.size:
+            if (self.keys[slot[wrong]] < 0).any():
+                raise KeyError("gram that was not counted")
+            slot[wrong] = self._next(slot[wrong])
+            wrong = wrong[self.keys[slot[wrong]] != grams[wrong]]
+        return self.values[slot]
 
     def look_up(self, raw: bytes) -> np.ndarray:
-        codes = self.code[np.frombuffer(raw, np.uint8)]
-        # The last bytes of a stream begin no gram, so no step knows them.
-        n = len(codes) - DEPTH
-        ids = codes[:n]
-        for i, step in enumerate(self.steps, 1):
-            ids = step(ids * self.width + codes[i : n + i])
-        return self.values[ids]
+        """Numbers of the grams of a stream, in order, a part of the stream at a time."""
+        out = np.empty(len(raw) - DEPTH)
+        for at in range(0, len(out), _PART):
+            part = raw[at : at + _PART + DEPTH]
+            out[at : at + _PART] = self._numbers(grams_of(part))
+        return out
 
 
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:

@@ -93,7 +93,7 @@ def test_blocks_passed_on_in_parts(spark, make_docs, monkeypatch):
     check(spark, docs, rows)
 
 
-def test_large_counts_and_search_instead_of_tables(spark, make_docs, monkeypatch):
+def test_large_counts_and_streams_in_parts(spark, make_docs, monkeypatch):
     import numpy as np
 
     n = np.array([0.0, 1, 4096, 4097, 10**6, 10**9])
@@ -101,7 +101,7 @@ def test_large_counts_and_search_instead_of_tables(spark, make_docs, monkeypatch
     assert np.allclose(context_tree._log_rising(n), want, rtol=1e-12) and np.allclose(context_tree._log_factorial(n), [math.lgamma(x + 1) for x in n], rtol=1e-12)
     raw = bytes(random.Random(1).randrange(256) for _ in range(2000))
     grams = context_tree.grams_of(raw)
-    monkeypatch.setattr(context_tree, "_DENSE", 10)
+    monkeypatch.setattr(context_tree, "_PART", 10)
     unique = np.unique(grams)
     assert (context_tree.GramTable(unique, unique.astype(float)).look_up(raw) == grams).all()
 
@@ -133,7 +133,7 @@ def test_words_that_training_texts_lack_are_not_known(spark, make_docs, tmp_path
 
 
 def test_the_end_of_a_stream_begins_no_gram(monkeypatch):
-    monkeypatch.setattr(context_tree, "_DENSE", 1)
+    monkeypatch.setattr(context_tree, "_PART", 7)
     streams = [context_tree.stream_of(t.split()) for t in (b"", b"a", b"some words and a last one", b"zq \xc3\xa9t\xc3\xa9 xylophone")]
     known = context_tree.np.unique(context_tree.np.concatenate([context_tree.grams_of(s) for s in streams]))
     lookup = context_tree.GramTable(known, known.astype(float))
