@@ -18,7 +18,7 @@ from sheetloom.functions import shapes
 from sheetloom.operators.ordinals import number_within
 from sheetloom.session import cut_lineage
 
-_MAX_ROUNDS = 64
+_MAX_ROUNDS = 62
 MIN_EDGES = 3
 
 
@@ -67,42 +67,44 @@ def _successors(degrees: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _cycles(links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ends on cycles with the smallest end of the cycle and the steps to reach it."""
-    state = links.select(
-        *keys,
-        "at",
-        "next",
-        F.lit(1).cast("bigint").alias("span"),
-        F.struct(F.col("at").alias("end"), F.lit(0).cast("bigint").alias("steps")).alias("low"),
-        F.lit(True).alias("changed"),
+    """Ends on cycles with the smallest end of the cycle, the steps to reach it, and the cycle's length.
+
+    Each round doubles the way that an end looks ahead. Where both halves of its way have the same
+    smallest end, the way has come round, and the steps between are the length. A cycle leaves
+    when a half is as long as itself, as all its ends know the length then; a round writes only
+    the ends of longer ones.
+    """
+    state = cut_lineage(
+        links.select(
+            *keys,
+            "at",
+            "next",
+            F.struct(F.col("at").alias("end"), F.lit(0).cast("bigint").alias("steps")).alias("low"),
+            F.lit(None).cast("bigint").alias("length"),
+        )
     )
-    state = cut_lineage(state)
-    before = state.count()
-    for _ in range(_MAX_ROUNDS):
-        if before == 0:
-            return state
+    settled = state.where(F.lit(False))
+    for turn in range(_MAX_ROUNDS):
+        half = F.lit(1 << turn).cast("bigint")
         ahead = state.select(
             *keys, F.col("at").alias("next"), F.col("next").alias("_far"), F.col("low").alias("_low")
         )
-        moved = F.struct(
-            F.col("_low.end").alias("end"), (F.col("_low.steps") + F.col("span")).alias("steps")
-        )
+        moved = F.struct(F.col("_low.end").alias("end"), (F.col("_low.steps") + half).alias("steps"))
+        round_trip = F.when(F.col("_low.end") == F.col("low.end"), moved["steps"] - F.col("low.steps"))
         # Ends whose path stops within reach find no partner and drop out here.
         joined = state.join(ahead, [*keys, "next"]).select(
             *keys,
             "at",
             F.col("_far").alias("next"),
-            (F.col("span") * 2).alias("span"),
             F.least("low", moved).alias("low"),
-            (F.col("_low.end") < F.col("low.end")).alias("changed"),
+            F.coalesce("length", round_trip).alias("length"),
         )
-        state = cut_lineage(joined)
-        left, changed = state.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.col("changed").cast("bigint")), F.lit(0))
-        ).first()
-        if left == before and changed == 0:
-            return state
-        before = left
+        written = cut_lineage(joined)
+        done = F.coalesce(F.col("length") <= half, F.lit(False))
+        settled = settled.unionByName(written.where(done))
+        state = written.where(~done)
+        if state.isEmpty():
+            return settled
     raise RuntimeError("loop search did not settle")
 
 
@@ -113,22 +115,12 @@ def _loop_edges(degrees: DataFrame, keys: Sequence[str]) -> DataFrame:
     first to second point is kept.
     """
     ends = _cycles(_successors(degrees, keys), keys)
-    walk = ends.where("low.end % 2 = 1").select(
+    return ends.where((F.col("low.end") % 2 == 1) & (F.col("length") >= MIN_EDGES)).select(
         *keys,
-        (F.col("low.end") - 1).alias("_low"),
+        F.shiftright("low.end", 1).alias("loop"),
         F.shiftright("at", 1).alias("seg_id"),
-        F.col("low.steps").alias("_steps"),
-    )
-    loop = walk.groupBy(*keys, "_low").agg(F.count(F.lit(1)).alias("n_edges"))
-    return (
-        walk.join(loop.where(F.col("n_edges") >= MIN_EDGES), [*keys, "_low"])
-        .select(
-            *keys,
-            F.shiftright("_low", 1).alias("loop"),
-            "seg_id",
-            F.pmod(F.col("n_edges") - F.col("_steps"), F.col("n_edges")).alias("pos"),
-            "n_edges",
-        )
+        F.pmod(F.col("length") - F.col("low.steps"), F.col("length")).alias("pos"),
+        F.col("length").alias("n_edges"),
     )
 
 

@@ -121,3 +121,17 @@ def test_numbers_inside_large_groups(spark):
     check = got.groupBy("g").agg(F.count("*").alias("c"), F.max("n").alias("m"), F.countDistinct("n").alias("d"))
     assert all(r.c == r.m + 1 == r.d for r in check.collect())
     assert got.where("g = 1").orderBy("o").limit(3).agg(F.collect_list("n")).first()[0] == [0, 1, 2]
+
+
+def test_settled_loops_leave_the_rounds(spark, monkeypatch):
+    rows = [r for k in range(60) for r in polygon("d", 4 * k, square(100.0 * k, 0.0, 10.0))]
+    ring = [(5.0 * i, 500.0 + (0.0 if i in (0, 99) else 10.0 + i % 3)) for i in range(100)]
+    rows += polygon("d", 1000, ring)
+    written, write = [], loops.cut_lineage
+    monkeypatch.setattr(loops, "cut_lineage", lambda df: written.append(write(df)) or written[-1])
+    got = loops.closed_loops(spark.createDataFrame(rows, SEGMENT)).orderBy("loop", "pos").collect()
+    assert [(r.loop, r.seg_id, r.pos, r.n_edges) for r in got] == [
+        *[(4 * k, 4 * k + i, i, 4) for k in range(60) for i in range(4)], *[(1000, 1000 + i, i, 100) for i in range(100)]
+    ]
+    # Two ends for each segment; after the third round only those of the long ring are written.
+    assert [df.count() for df in written] == [680] * 4 + [200] * 5
