@@ -31,7 +31,9 @@ BLOCK_BYTES = 24_000_000
 HELD = 1_000_000
 _CHUNK = 1_000_000
 _PART = 1 << 18
-_GROUPS = 64
+#: Grams that are scored together, and parts of the contexts that share their last two bytes.
+GROUP_GRAMS = 100_000
+_SPLIT = 16
 #: In place of a gram, of a word that training texts have.
 _SEEN = -2
 
@@ -168,37 +170,50 @@ def _lower_levels(context: np.ndarray, node: np.ndarray, bit: np.ndarray, n: np.
     return levels
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
+def gram_scores(counts: DataFrame, rows: int) -> DataFrame:
     """``gram, value``: log10 of the probability of each counted gram's byte in its context.
 
-    ``counts`` has ``gram, n``; grams that were not met in training have 0. Contexts that share
-    their last two bytes are worked on together; the levels above are at most 65,536 rows.
+    ``counts`` has ``rows`` rows ``gram, n``; grams that were not met in training have 0. Contexts
+    that share their last three bytes are worked on together, in as many groups as ``rows`` asks
+    for, so that a frequent ending of two bytes is spread. Contexts of two bytes are summed up over
+    the groups and sent back to those that hold them; shorter ones are at most 65,536 rows.
     """
-    grouped = counts.withColumn("bucket", F.pmod(F.hash(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(_GROUPS)))
-
-    def upper(group: pd.DataFrame) -> pd.DataFrame:
+    endings = max(1, -(-rows // (GROUP_GRAMS * _SPLIT)))
+    ending = lambda context: F.pmod(F.hash(context.bitwiseAND(F.lit(0xFFFF))), F.lit(endings))
+    part = F.pmod(F.hash(F.shiftright("gram", 24).bitwiseAND(F.lit(0xFF))), F.lit(_SPLIT))
+    groups = counts.withColumn("ending", ending(F.shiftright("gram", 8))).withColumn("part", part).groupBy("ending", "part")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "log_w")]
+    kind = "key bigint, n0 double, n1 double, log_w double"
+
+    def longer(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, _Level]]:
         context, node, bit = _decisions(group["gram"].to_numpy(np.int64))
-        level = _lower_levels(context, node, bit, np.tile(group["n"].to_numpy(float), 8), 2)[2]
-        return pd.DataFrame({"key": level.keys & 0xFFFF, "n0": level.n0, "n1": level.n1, "log_w": level.log_w})
+        return context, node, bit, _lower_levels(context, node, bit, np.tile(group["n"].to_numpy(float), 8), 3)
+
+    def shorter(rows: pd.DataFrame) -> _Level:
+        return _Level(rows["key"].to_numpy(np.int64), rows["n0"].to_numpy(float), rows["n1"].to_numpy(float), rows["log_w"].to_numpy(float))
+
+    def handed_on(level: _Level, depth: int) -> pd.DataFrame:
+        # By what the next shorter context and the node leave of the key.
+        return pd.DataFrame({"key": level.keys & ((1 << 8 * depth) - 1), "n0": level.n0, "n1": level.n1, "log_w": level.log_w})
 
-    # By the last byte and the node.
-    seen = grouped.groupBy("bucket").applyInPandas(upper, "key bigint, n0 double, n1 double, log_w double")
-    top = seen.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("log_w")).toPandas()
-    one = _Level(top["key"].to_numpy(np.int64), top["n0"].to_numpy(float), top["n1"].to_numpy(float), top["log_w"].to_numpy(float))
-    none = _Level(one.keys & 255, one.n0, one.n1, one.log_w)
-    sent = counts.sparkSession.sparkContext.broadcast((one, none))
+    pairs = written(groups.applyInPandas(lambda group: handed_on(longer(group)[3][3], 3), kind).groupBy("key").agg(*sums))
+    top = pairs.mapInPandas(lambda batches: (handed_on(shorter(b), 2) for b in batches), kind).groupBy("key").agg(*sums).toPandas()
+    one = shorter(top)
+    sent = counts.sparkSession.sparkContext.broadcast((one, _Level(one.keys & 255, one.n0, one.n1, one.log_w)))
+    meeting = pairs.withColumn("ending", ending(F.shiftright("key", 8))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_SPLIT - 1))))
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
+    def score(group: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         own, root = sent.value
-        grams = group["gram"].to_numpy(np.int64)
-        context, node, bit = _decisions(grams)
-        levels = _lower_levels(context, node, bit, np.tile(group["n"].to_numpy(float), 8), 2) | {1: own, 0: root}
+        context, node, bit, levels = longer(group)
+        levels |= {2: shorter(two), 1: own, 0: root}
         p = None
         for depth in range(DEPTH, -1, -1):
             p = levels[depth].mix(_key(context, node, depth), bit, p)
-        return pd.DataFrame({"gram": grams, "value": np.log10(p).reshape(8, -1).sum(axis=0)})
+        return pd.DataFrame({"gram": group["gram"], "value": np.log10(p).reshape(8, -1).sum(axis=0)})
 
-    return grouped.groupBy("bucket").applyInPandas(score, "gram bigint, value double")
+    # Parts without grams hold contexts only; their rows have nothing to score.
+    either = lambda group, two: score(group, two) if len(group) else pd.DataFrame({"gram": [], "value": []})
+    return groups.cogroup(meeting.groupBy("ending", "part")).applyInPandas(either, "gram bigint, value double")
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -288,9 +303,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     ranked = Window.partitionBy("word", "gram").orderBy("block")
     summed = written(counted.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(ranked) == 1).select("block", "word", "gram", "c", "first"))
     once = summed.where("first")
-    totals = once.where("gram < 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    word = F.col("gram") < 0
+    totals = once.agg(
+        F.coalesce(F.sum(F.when(word, F.col("c"))), F.lit(0)).alias("n"), F.count(F.when(word & (F.col("c") > 0), 1)).alias("v"), F.count(F.when(~word, 1)).alias("grams")
+    ).first()
     n_all, n_kinds = int(totals["n"]), int(totals["v"])
-    values = gram_scores(once.where("gram >= 0").select("gram", F.col("c").alias("n")))
+    values = gram_scores(once.where("gram >= 0").select("gram", F.col("c").alias("n")), int(totals["grams"]))
     gram_rows = summed.where("gram >= 0").select("block", "gram").join(values, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
     word_value = F.log10((F.col("c") + F.lit(0.5)) / F.lit(n_all + 0.5 * (n_kinds + 1)))
     # Words of training texts have another number, as equal logs need not be equal to the last bit.
@@ -299,8 +317,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     numbers = gram_rows.unionByName(word_rows).withColumn("kind", F.lit(0))
     id_type = dict(docs.dtypes)["doc_id"]
     texts = own.select(F.col("block").cast("bigint").alias("block"), F.lit(1).alias("kind"), "doc_id", "text", "held")
-    # More partitions than blocks, so that few tasks get several of them.
-    together = numbers.unionByName(texts, allowMissingColumns=True).repartition(3 * parts * fold, "block").sortWithinPartitions("block", "kind")
+    # One task for each block.
+    both = numbers.unionByName(texts, allowMissingColumns=True)
+    together = both.repartitionById(parts * fold, F.col("block").cast("int")).sortWithinPartitions("block", "kind")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known, unseen, grams, logs, lookup = None, {}, set(), [], [], None

@@ -141,3 +141,9 @@ def test_the_end_of_a_stream_begins_no_gram(monkeypatch):
         assert (lookup.look_up(s) == context_tree.grams_of(s)).all()
     with pytest.raises(KeyError):
         lookup.look_up(context_tree.stream_of([b"never", b"counted"]))
+
+
+def test_groups_from_the_data(spark, make_docs, monkeypatch):
+    rows = texts(25, 4)
+    monkeypatch.setattr(context_tree, "GROUP_GRAMS", 3)
+    check(spark, make_docs(rows).cache(), rows)
