@@ -13,6 +13,13 @@ SCALE = 1.25
 COORDINATES = ("x", "y", "x1", "y1", "x2", "y2", "cx", "cy", "r", "rx", "ry", "width", "height")
 
 _NUMBER = r"-?\d+\.?\d*"
+# Path data by its grammar: a number may have an exponent, and a flag of an arc may touch what follows.
+_REAL = r"[-+]?(?:\d++\.?+\d*+|\.\d++)(?:[eE][-+]?\d++)?+"
+_GAP = r"[\s,]*+"
+_COMMANDS = "MmZzLlHhVvCcSsQqTtAa"
+_COMMAND = rf"[{_COMMANDS}][^{_COMMANDS}]*"
+# Radii, then rotation and the two flags, then the end point.
+_ARC = rf"({_REAL})({_GAP})({_REAL})({_GAP}{_REAL}{_GAP}[01]{_GAP}[01]{_GAP})({_REAL})({_GAP})({_REAL})"
 _TRANSLATE = r"translate\(([^)]+)\)"
 
 
@@ -43,6 +50,48 @@ def rescale_path(d: Column, scale: float = SCALE) -> Column:
     return _rewrite(d, _NUMBER, lambda m: m.cast("double") * scale, fixed3)
 
 
+def _apart(gap: Column, number: Column) -> Column:
+    """A number after its gap; a blank parts it from a number that it would touch."""
+    touching = (gap == "") & ~F.startswith(number, F.lit("-"))
+    return F.concat(F.when(touching, " ").otherwise(gap), number)
+
+
+def _rewrite_list(text: Column, pattern: str, *changes) -> Column:
+    """``_rewrite`` for lists of numbers, which stay apart."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    for change in changes:
+        found = F.transform(found, change)
+    return F.array_join(F.zip_with(between, found, lambda b, m: F.coalesce(_apart(b, m), b)), "")
+
+
+def _arc_parts(arc: Column, scale: float) -> Column:
+    """Scaled radii and end point of an arc, and what stands between them."""
+    part = lambda i: F.regexp_extract(arc, _ARC, i)
+    numbers = F.transform(F.array(*[part(i).cast("double") * scale for i in (1, 3, 5, 7)]), fixed3)
+    return F.struct(numbers.alias("n"), part(2).alias("radii"), part(4).alias("flags"), part(6).alias("ends"))
+
+
+def _arc_text(p: Column) -> Column:
+    number = lambda i: F.get(p["n"], i)
+    return F.concat(number(0), _apart(p["radii"], number(1)), p["flags"], number(2), _apart(p["ends"], number(3)))
+
+
+def rescale_path_by_grammar(d: Column, scale: float = SCALE) -> Column:
+    """Scale path data command by command, to three decimals.
+
+    Unlike ``rescale_path`` it leaves rotations and flags of arcs alone, reads exponents as part of
+    their numbers, and keeps numbers apart that touched (``1.5.5``). What stands before the first
+    command, and what does not make up a whole arc, stays as it is; null gives null.
+    """
+
+    def command(c: Column) -> Column:
+        arcs = _rewrite_list(c, _ARC, lambda m: _arc_parts(m, scale), _arc_text)
+        plain = _rewrite_list(c, _REAL, lambda m: m.cast("double") * scale, fixed3)
+        return F.when(F.lower(F.left(c, F.lit(1))) == "a", arcs).otherwise(plain)
+
+    return _rewrite(d, _COMMAND, command)
+
+
 def rescale_translate(transform: Column, scale: float = SCALE) -> Column:
     """Scale ``translate(a,b)``; other forms stay."""
     return _rewrite(
@@ -59,14 +108,15 @@ def rescale_points(points: Column, scale: float = SCALE) -> Column:
     return F.array_join(F.transform(F.transform(pairs, lambda p: _pair(p, scale, p)), lambda p: _pair_text(p)), " ")
 
 
-def rescale_attributes(tag: Column, attrs: Column, scale: float = SCALE) -> Column:
-    """Scale all geometry of one element given as ``map<string,string>``."""
+def rescale_attributes(tag: Column, attrs: Column, scale: float = SCALE, by_grammar: bool = False) -> Column:
+    """Scale all geometry of one element given as ``map<string,string>``; path data by its grammar if asked for."""
+    path = rescale_path_by_grammar if by_grammar else rescale_path
     outline = F.endswith(tag, F.lit("polygon")) | F.endswith(tag, F.lit("polyline"))
     return F.transform_values(
         attrs,
         lambda k, v: F.when(k.isin(*COORDINATES), F.coalesce(float_text(to_number(v) * scale), v))
         .when(k == "transform", rescale_translate(v, scale))
-        .when((k == "d") & F.endswith(tag, F.lit("path")), rescale_path(v, scale))
+        .when((k == "d") & F.endswith(tag, F.lit("path")), path(v, scale))
         .when((k == "points") & outline, rescale_points(v, scale))
         .otherwise(v),
     )

@@ -596,9 +596,30 @@ def svg_rescale(spark, sf_dir):
     return rows.select("elem_id", "tag", *[F.try_element_at("a", F.lit(k)).alias(k) for k in ("d", "points", "transform", "width")])
 
 
+@query
+def svg_rescale_grammar(spark, sf_dir):
+    attrs = svg.rescale_attributes(F.col("tag"), F.col("attrs"), by_grammar=True)
+    return views.arc_paths(spark, sf_dir).select("elem_id", F.try_element_at(attrs, F.lit("d")).alias("d"))
+
+
 # Annotated images
 
 
+@query
+def annotation_text_boxes(spark, sf_dir):
+    return annotations.boxes_of_texts(views.annotation_texts(spark, sf_dir))
+
+
+@query
+def annotation_text_sizes(spark, sf_dir):
+    return annotations.sizes_of_texts(views.annotation_texts(spark, sf_dir))
+
+
+@query
+def annotation_text_rejects(spark, sf_dir):
+    return annotations.rejects_of_texts(views.annotation_texts(spark, sf_dir))
+
+
 @query
 def class_filter(spark, sf_dir):
     return tiles.known_boxes(views.boxes(spark, sf_dir)).select("image_id", "box_id", "cls")

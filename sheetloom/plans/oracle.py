@@ -495,6 +495,12 @@ ORACLE["svg_rescale"] = f"""SELECT {_ROW_ID} AS elem_id, {_pick(('path', 'polygo
   'rotate(5) translate(' || {_SCALED('l_quantity')} || ',' || {_SCALED('l_tax')} || ') translate(' || l_tax || ')' AS transform,
   CASE WHEN l_returnflag = 'R' THEN '100%' ELSE CAST(l_quantity * 1.25 AS VARCHAR) END AS width FROM lineitem"""
 
+ORACLE["svg_rescale_grammar"] = f"""SELECT {_ROW_ID} AS elem_id, 'M' || {_SCALED('l_quantity * 10')} || ',' || {_SCALED('l_extendedprice')} || CASE WHEN strpos(CAST(l_extendedprice AS VARCHAR), '.') > 0
+    THEN ' ' || {_SCALED('0.5')} ELSE '' END || '-' || {_SCALED('l_tax')}
+  || ' a' || {_SCALED('l_quantity')} || ',' || {_SCALED('l_tax')} || ' ' || l_linenumber || '0 ' || l_linenumber % 2 || l_linenumber // 2 % 2 || {_SCALED('l_quantity')}
+  || '-' || {_SCALED('l_extendedprice')} || ' ' || {_SCALED('l_tax')} || ' ' || {_SCALED('0.5')} || ' 3e1 0,1 ' || {_SCALED('l_quantity')} || ' ' || {_SCALED('7')} || ' A1 2 3Z' AS d
+FROM lineitem"""
+
 ORACLE["number_texts"] = f"SELECT {_ROW_ID} AS id, printf('%.3f', l_tax / 16) AS tax, printf('%.3f', -l_extendedprice / 64) AS price FROM lineitem"
 
 IMAGES = """images AS (SELECT 'img' || o_orderkey AS image_id, CAST(1024 + o_custkey % 20 * 160 AS INT) AS width, CAST(1024 + o_custkey % 7 * 300 AS INT) AS height FROM orders)"""
@@ -538,6 +544,14 @@ _LIST = ", ".join(f"('{c}')" for c in CLASSES)
 ORACLE["label_vocabulary"] = f"""WITH {BOXES}, classes(label) AS (VALUES {_LIST})
 SELECT label, 0 AS grp FROM classes UNION ALL SELECT DISTINCT name, 1 FROM boxes WHERE name NOT IN (SELECT label FROM classes)"""
 
+ANNOTATED = f"""texts AS (SELECT {_ROW_ID} AS image_id, l_linenumber AS n, l_returnflag || ' & ' || l_linestatus AS name, l_returnflag = 'R' AS verified, CAST(l_orderkey AS INT) AS width,
+  CAST(l_partkey % 4000 AS INT) AS xmin, CAST(l_suppkey * 13 % 2500 AS INT) AS ymin FROM lineitem)"""
+ORACLE["annotation_text_boxes"] = f"""WITH {ANNOTATED} SELECT image_id, 0 AS box_id, name, xmin, ymin, xmin + 40 AS xmax, ymin + 30 AS ymax, n % 2 = 1 AS difficult
+FROM texts WHERE n NOT IN (2, 3, 5, 6)"""
+ORACLE["annotation_text_sizes"] = f"WITH {ANNOTATED} SELECT image_id, width, 20 AS height, verified FROM texts WHERE n NOT IN (3, 5, 6)"
+ORACLE["annotation_text_rejects"] = f"""WITH {ANNOTATED} SELECT image_id, CAST(NULL AS INT) AS box_id, 'broken' AS reason FROM texts WHERE n IN (3, 5, 6)
+UNION ALL SELECT image_id, 1, 'missing' FROM texts WHERE n NOT IN (3, 5, 6) UNION ALL SELECT image_id, 0, 'unreadable' FROM texts WHERE n = 2"""
+
 ORACLE["annotation_precedence"] = """SELECT 'img' || l_orderkey AS stem, 'a/img' || l_orderkey || CASE WHEN bool_or(l_returnflag = 'R') THEN '.xml' ELSE '.txt' END AS path
 FROM lineitem GROUP BY l_orderkey"""
 

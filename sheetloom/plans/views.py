@@ -325,6 +325,30 @@ def svg_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arc_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One path per line item: exponents, two arcs after one command, flags and numbers that touch."""
+    flags = "l_linenumber % 2, l_linenumber div 2 % 2"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{ROW_ID} as elem_id",
+        "'path' as tag",
+        "map('d', concat('M', l_quantity, 'e1,', l_extendedprice, '.5-', l_tax, 'E0 a', l_quantity, ',', l_tax, ' ', l_linenumber, '0 ',"
+        f" {flags}, l_quantity, '-', l_extendedprice, ' ', l_tax, '.5 3e1 0,1 ', l_quantity, ' 7 A1 2 3Z')) as attrs",
+    )
+
+
+def annotation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One annotation text per line item: two objects, one without a box, a size; some broken, some with a bad number."""
+    x, y = "l_partkey % 4000", "l_suppkey * 13 % 2500"
+    box = f"'<bndbox><xmin>', if(l_linenumber = 2, 'wide', string({x})), '</xmin><ymin> ', {y}, ' </ymin><xmax>', {x} + 40, '</xmax><ymax>', {y} + 30, '</ymax></bndbox>'"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{ROW_ID} as image_id",
+        "case when l_linenumber = 5 then null when l_linenumber = 6 then '' else concat('<annotation', if(l_returnflag = 'R', ' verified=\"yes\"', ''),"
+        " '><size><width>', l_orderkey, '</width><height>20</height></size><!-- <object/> --><object><name>', l_returnflag, ' &amp; ', l_linestatus,"
+        f" '</name><difficult>', l_linenumber % 2, '</difficult>', {box}, '</object>', '<object><name>bare</name></object>',"
+        " if(l_linenumber = 3, '</annot', '</annotation>')) end as body",
+    )
+
+
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts as bytes: French in ISO-8859-1, German with a byte 98, others in UTF-8."""
     plain = "regexp_replace(text, '[^\\\\x{0}-\\\\x{ff}]', '?')"

@@ -12,11 +12,8 @@ _STEM = r"([^/]+?)(\.[^./]*)?$"
 IMAGE_TYPES = ("bmp", "cur", "gif", "ico", "jpeg", "jpg", "pbm", "pgm", "png", "ppm", "svg", "svgz", "xbm", "xpm")
 
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
-_ANNOTATION = (
-    "_image_id string, object array<struct<name:string,difficult:string,bndbox:struct<"
-    + ",".join(f"{s}:string" for s in _SIDES)
-    + ">>>, size struct<width:int,height:int>, _verified string"
-)
+_OBJECT = f"struct<name:string,difficult:string,bndbox:struct<{','.join(f'{s}:string' for s in _SIDES)}>>"
+_ANNOTATION = f"_image_id string, object array<{_OBJECT}>, size struct<width:int,height:int>, _verified string"
 
 
 def _annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -31,26 +28,68 @@ def _annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("image_id", F.coalesce("_image_id", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1)))
 
 
-def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """``boxes(image_id, box_id, name, xmin, ymin, xmax, ymax, difficult)`` of annotation files."""
-    rows = _annotations(spark, path).select("image_id", F.posexplode("object").alias("box_id", "o"))
-    return rows.select(
+def _boxes(rows: DataFrame) -> DataFrame:
+    """Boxes of parsed annotations, numbers that cannot be read as null."""
+    return rows.select("image_id", F.posexplode("object").alias("box_id", "o")).select(
         "image_id",
         "box_id",
         F.col("o.name").alias("name"),
-        *[F.col(f"o.bndbox.{s}").try_cast("int").alias(s) for s in _SIDES],
+        *[F.trim(f"o.bndbox.{s}").try_cast("int").alias(s) for s in _SIDES],
         (F.col("o.difficult") == "1").alias("difficult"),
     )
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.select("image_id", "size.width", "size.height", (F.coalesce("_verified", F.lit("")) == "yes").alias("verified"))
+
+
+def read_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """``boxes(image_id, box_id, name, xmin, ymin, xmax, ymax, difficult)`` of annotation files."""
+    return _boxes(_annotations(spark, path))
+
+
 def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """``images(image_id, width, height, verified)`` of annotation files."""
-    return _annotations(spark, path).select(
-        "image_id",
-        "size.width",
-        "size.height",
-        (F.coalesce("_verified", F.lit("")) == "yes").alias("verified"),
-    )
+    return _sizes(_annotations(spark, path))
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """``image_id`` with the fields of its annotation text, and ``broken`` where the text is no annotation."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    body = F.coalesce(F.col("body"), F.lit(""))
+    parsed = F.from_xml(body, f"{_ANNOTATION}, _broken string", options)
+    # An empty text has no element, which the parser does not report.
+    rows = texts.select("image_id", (F.trim(body) == "").alias("empty"), parsed.alias("a"))
+    broken = F.col("empty") | F.col("a").isNull() | F.col("a._broken").isNotNull()
+    return rows.select("image_id", broken.alias("broken"), "a.object", "a.size", "a._verified")
+
+
+def boxes_of_texts(texts: DataFrame) -> DataFrame:
+    """Boxes of annotation texts ``(image_id, body)`` whose four numbers can all be read.
+
+    Null, empty and broken texts have none. What is left out here is in ``rejects_of_texts``.
+    """
+    return _boxes(_parsed(texts).where(~F.col("broken"))).dropna(subset=list(_SIDES))
+
+
+def sizes_of_texts(texts: DataFrame) -> DataFrame:
+    """``images(image_id, width, height, verified)`` of annotation texts that are not broken."""
+    return _sizes(_parsed(texts).where(~F.col("broken")))
+
+
+def rejects_of_texts(texts: DataFrame) -> DataFrame:
+    """``image_id, box_id, reason`` of what ``boxes_of_texts`` leaves out.
+
+    A text is ``broken`` as a whole (no box number); a box has a ``missing`` or an ``unreadable`` side.
+    """
+    sides = [F.col(f"o.bndbox.{s}") for s in _SIDES]
+    missing = F.greatest(*[s.isNull() for s in sides])
+    unreadable = F.greatest(*[F.trim(s).try_cast("int").isNull() for s in sides])
+    # One pass: a broken text stands as one entry without a number.
+    entries = F.when(F.col("broken"), F.array(F.lit(None).cast(_OBJECT))).otherwise(F.col("object"))
+    rows = _parsed(texts).select("image_id", "broken", F.posexplode(entries).alias("box_id", "o"))
+    reason = F.when(F.col("broken"), "broken").when(missing, "missing").when(unreadable, "unreadable")
+    return rows.select("image_id", F.when(~F.col("broken"), F.col("box_id")).alias("box_id"), reason.alias("reason")).where("reason is not null")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:

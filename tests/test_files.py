@@ -151,3 +151,15 @@ def test_open_attributes_are_written_without_a_list(spark, tmp_path):
     writers.write_matched(rows, none, str(tmp_path / "m"))
     back = drawings.read_matched_devices(spark, str(tmp_path / "m")).collect()
     assert {r.lua_name: r.extra for r in back} == {"TV0": {}, "TV1": {"a": '<"&>', "z": "1", "ü": "3"}}
+
+
+def test_annotation_texts(spark):
+    box = "<object><name>a &lt; b</name><bndbox><xmin>{}</xmin><ymin>2</ymin><xmax>3</xmax>{}</bndbox></object>"
+    whole = "<annotation><size><width>8</width><height>9</height></size>" + box.format(1, "<ymax> 4</ymax>") + box.format("x", "<ymax>4</ymax>") + box.format(1, "") + "</annotation>"
+    rows = [("whole", whole), ("cut", whole[:-5]), ("text", "no element"), ("none", None), ("blank", " "), ("bare", "<annotation/>"), ("whole", whole)]
+    texts = spark.createDataFrame([(*r, 1, 2) for r in rows], "image_id string, body string, broken int, size int")
+    assert [tuple(r) for r in annotations.boxes_of_texts(texts).collect()] == [("whole", 0, "a < b", 1, 2, 3, 4, None)] * 2
+    assert sorted((r.image_id, r.width) for r in annotations.sizes_of_texts(texts.where("image_id != 'bare'")).collect()) == [("whole", 8)] * 2
+    rejects = sorted(map(tuple, annotations.rejects_of_texts(texts).collect()), key=repr)
+    assert rejects == sorted([(i, None, "broken") for i in ("cut", "text", "none", "blank")] + [("whole", 1, "unreadable"), ("whole", 2, "missing")] * 2, key=repr)
+    assert annotations.boxes_of_texts(texts.limit(0)).count() == 0 == annotations.rejects_of_texts(texts.limit(0)).count()

@@ -102,3 +102,20 @@ def test_encodings(spark):
 def test_length(spark):
     got = values(spark, [(0.0, 0.0, 3.0, 4.0)], "a double, b double, c double, d double", shapes.segment_length(*map(F.col, "abcd")))
     assert math.isclose(got[0], 5)
+
+
+def test_paths_by_grammar(spark):
+    paths = {
+        "M1e1,2": "M12.500,2.500",
+        "m.5.5-1+2": "m0.625 0.625-1.250 2.500",
+        "M0 0A4 8 30 1 0 12 16Z": "M0.000 0.000A5.000 10.000 30 1 0 15.000 20.000Z",
+        "a4,8,30,018,4-4": "a5.000,10.000,30,0110.000,5.000-4",
+        "a4 8 0 0 1 .8.8 4 8 0 1 1 8-4": "a5.000 10.000 0 0 1 1.000 1.000 5.000 10.000 0 1 1 10.000-5.000",
+        "a1 2 3": "a1 2 3",
+        "7 M1": "7 M1.250",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(paths)], "i int, d string")
+    got = df.select("i", svg.rescale_path_by_grammar(F.col("d"))).orderBy("i").collect()
+    assert [r[1] for r in got] == list(paths.values())
