@@ -28,9 +28,9 @@ def _annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("image_id", F.coalesce("_image_id", F.regexp_extract(F.col("_metadata.file_path"), _STEM, 1)))
 
 
-def _boxes(rows: DataFrame) -> DataFrame:
+def _boxes(rows: DataFrame, entries: Column) -> DataFrame:
     """Boxes of parsed annotations, numbers that cannot be read as null."""
-    return rows.select("image_id", F.posexplode("object").alias("box_id", "o")).select(
+    return rows.select("image_id", F.posexplode(entries).alias("box_id", "o")).select(
         "image_id",
         "box_id",
         F.col("o.name").alias("name"),
@@ -45,7 +45,7 @@ def _sizes(rows: DataFrame) -> DataFrame:
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """``boxes(image_id, box_id, name, xmin, ymin, xmax, ymax, difficult)`` of annotation files."""
-    return _boxes(_annotations(spark, path))
+    return _boxes(_annotations(spark, path), F.col("object"))
 
 
 def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,9 @@ def boxes_of_texts(texts: DataFrame) -> DataFrame:
 
     Null, empty and broken texts have none. What is left out here is in ``rejects_of_texts``.
     """
-    return _boxes(_parsed(texts).where(~F.col("broken"))).dropna(subset=list(_SIDES))
+    # Chosen by value: a filter on the parsed text would parse it once more.
+    entries = F.when(F.col("broken"), F.array().cast(f"array<{_OBJECT}>")).otherwise(F.col("object"))
+    return _boxes(_parsed(texts), entries).dropna(subset=list(_SIDES))
 
 
 def sizes_of_texts(texts: DataFrame) -> DataFrame:
