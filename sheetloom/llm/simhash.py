@@ -9,14 +9,16 @@ checks the pairs. That is the whole ball, but 56 rows instead of 2,081 per finge
 All fingerprints with a common variant are linked with each other, so a task returns one link per
 member to the smallest one it is connected with, never all pairs.
 
-Bits tell only almost identical texts from others. Groups by a *similarity* of the shingle sets
-therefore take many small fingerprints of a text, each over the least of its shingles under some
-permutations (MinHash bands); texts that share one are candidates, and the Jaccard similarity of
-their shingle sets decides.
+One fingerprint of all shingles tells only almost identical texts from others. Groups by a
+*similarity* of the shingle sets therefore take many fingerprints of a text, in each of which a bit
+is that of a subset of the shingles: of the least one under a permutation. Two texts differ in such
+a bit with half of what their similarity lacks to 1. Texts are candidates where the balls around
+their fingerprints connect them, and the Jaccard similarity of their shingle sets decides.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 from math import comb
 
@@ -38,11 +40,15 @@ CELL_VARIANTS = 1 << 22
 MIN_LEAD = 10
 MAX_LEAD = 30
 _CHUNK = 1 << 16
-#: Small fingerprints of a text and the shingles in each. Of pairs at a similarity of s, a share of
-#: ``1 - (1 - s ** BAND_ROWS) ** BANDS`` meets: 0.9996 at 0.8.
-BANDS = 20
-BAND_ROWS = 5
-_PERMUTED = 1 << 12
+#: For groups by similarity: fingerprints of a text, bits of each, and differing bits up to which two
+#: link. At a similarity of 0.8 one in ten bits differs, and 0.9997 of the pairs link in some fingerprint.
+PRINTS = 32
+PRINT_BITS = 40
+PRINT_RADIUS = 2
+MIN_PRINT_LEAD = 4
+_PERMUTED = 16
+_FACTORS = np.random.default_rng(64).integers(0, 1 << 32, PRINTS * PRINT_BITS, np.uint32) | np.uint32(1)
+_EVEN = 1e-6
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -97,15 +103,16 @@ def _spread(values: np.ndarray, sides: int) -> np.ndarray:
     return out
 
 
-def _meet(group: pd.DataFrame, lead: int) -> pd.DataFrame:
+def _meet(group: pd.DataFrame, lead: int, bits: int = BITS, radius: int = RADIUS) -> pd.DataFrame:
     """Links between the fingerprints of a cell that have a common variant in it."""
+    half = radius // 2
     own, left = group["fp"].to_numpy(np.int64).view(np.uint64), group["flips"].to_numpy(np.int64)
     sides, side = int(group["sides"].iloc[0]), np.uint64(int(group["side"].iloc[0]))
-    rest = BITS - lead
+    rest = bits - lead
     low = own & np.uint64((1 << rest) - 1)
-    by_flips = _masks(rest, HALF)
+    by_flips = _masks(rest, half)
     variants, owners = [], []
-    for most in range(HALF + 1):
+    for most in range(half + 1):
         rows = np.flatnonzero(left == most)
         if not rows.size:
             continue
@@ -132,7 +139,7 @@ def _meet(group: pd.DataFrame, lead: int) -> pd.DataFrame:
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     sizes = np.diff(np.concatenate((starts, [at.size])))
     # The check of the pairs: each member against the first one of its variant.
-    close = np.bitwise_count(own[owner] ^ own[np.repeat(owner[starts], sizes)]) <= RADIUS
+    close = np.bitwise_count(own[owner] ^ own[np.repeat(owner[starts], sizes)]) <= radius
     label = np.arange(own.size)
     while True:
         least = np.repeat(np.minimum.reduceat(np.where(close, label[owner], own.size), starts), sizes)
@@ -147,50 +154,55 @@ def _meet(group: pd.DataFrame, lead: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0].view(np.int64), "b": pairs[:, 1].view(np.int64)}) if member.size else none
 
 
-def lead_bits(fingerprints: int) -> int:
+def lead_bits(fingerprints: int, bits: int = BITS, radius: int = RADIUS, least: int = MIN_LEAD) -> int:
     """Leading bits of the shuffle key, so that an even cell holds half of ``CELL_VARIANTS`` at most."""
-    return min(MAX_LEAD, max(MIN_LEAD, (2 * fingerprints * _volume(BITS, HALF) // CELL_VARIANTS).bit_length()))
+    return min(MAX_LEAD, max(least, (2 * fingerprints * _volume(bits, radius // 2) // CELL_VARIANTS).bit_length()))
 
 
-def links(distinct: DataFrame, count: int) -> DataFrame:
-    """Links ``a, b`` that connect all of the ``count`` distinct fingerprints ``fp`` within the radius."""
-    lead = lead_bits(count)
-    rest = BITS - lead
-    masks = [(int(m), HALF - n) for n, part in enumerate(_masks(lead, HALF)) for m in part]
+def links(distinct: DataFrame, count: int, keys: Sequence[str] = (), lead: int | None = None, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
+    """Links ``a, b`` that connect all of the ``count`` distinct fingerprints ``fp`` of ``bits`` bits within the ``radius``.
+
+    With ``keys``, integers, only fingerprints link that are equal in them; ``count`` is that of one key then.
+    """
+    lead, half = lead_bits(count) if lead is None else lead, radius // 2
+    rest = bits - lead
+    masks = [(int(m), half - n) for n, part in enumerate(_masks(lead, half)) for m in part]
     masks = F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(f).alias("flips")) for m, f in masks]))
-    sent = distinct.select("fp", masks.alias("m")).select(
-        "fp", F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("m.mask")).alias("cell"), F.col("m.flips").cast("tinyint").alias("flips")
+    sent = distinct.select(*keys, "fp", masks.alias("m")).select(
+        *keys, "fp", F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("m.mask")).alias("cell"), F.col("m.flips").cast("tinyint").alias("flips")
     )
-    volume = F.element_at(F.array(*[F.lit(_volume(rest, n)) for n in range(HALF + 1)]), (F.col("flips") + 1).cast("int"))
-    large = sent.groupBy("cell").agg(F.sum(volume).alias("v")).where(F.col("v") > CELL_VARIANTS)
-    large = written(large.select("cell", F.ceil(F.log2(F.col("v") / F.lit(CELL_VARIANTS))).cast("int").alias("sides")))
+    volume = F.element_at(F.array(*[F.lit(_volume(rest, n)) for n in range(half + 1)]), (F.col("flips") + 1).cast("int"))
+    large = sent.groupBy(*keys, "cell").agg(F.sum(volume).alias("v")).where(F.col("v") > CELL_VARIANTS)
+    large = written(large.select(*keys, "cell", F.ceil(F.log2(F.col("v") / F.lit(CELL_VARIANTS))).cast("int").alias("sides")))
     if large.isEmpty():
-        sent = sent.select(F.col("cell").alias("key"), "fp", "flips", F.lit(0).alias("sides"), F.lit(0).alias("side"))
+        sent = sent.select(*keys, F.col("cell").alias("key"), "fp", "flips", F.lit(0).alias("sides"), F.lit(0).alias("side"))
+        own = [*keys, "key"]
     else:
-        cut = sent.join(large, "cell", "left").withColumn("sides", F.coalesce("sides", F.lit(0)))
+        cut = sent.join(large, [*keys, "cell"], "left").withColumn("sides", F.coalesce("sides", F.lit(0)))
         cut = cut.withColumn("side", F.explode(F.expr("sequence(0, shiftleft(1, sides) - 1)")))
-        sent = cut.select(F.xxhash64("cell", "side").alias("key"), "fp", "flips", "sides", "side", "cell")
-        return sent.groupBy("key", "cell", "side").applyInPandas(lambda g: _meet(g, lead), "a bigint, b bigint").distinct()
-    return sent.groupBy("key").applyInPandas(lambda g: _meet(g, lead), "a bigint, b bigint").distinct()
+        sent = cut.select(*keys, F.xxhash64("cell", "side").alias("key"), "fp", "flips", "sides", "side", "cell")
+        own = [*keys, "key", "cell", "side"]
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        pairs = _meet(group, lead, bits, radius)
+        return pairs.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "a", "b"]]
 
+    return sent.groupBy(*own).applyInPandas(met, ", ".join([*[f"{k} bigint" for k in keys], "a bigint", "b bigint"])).distinct()
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    """Factors (odd) and summands of the permutations of 64-bit numbers."""
-    rng = np.random.default_rng(64)
-    factors, summands = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-    return factors | np.uint64(1), summands
 
+def prints_of(hashes: np.ndarray) -> list[int]:
+    """The ``PRINTS`` fingerprints of a set of shingle hashes; of none: none.
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """Small fingerprints of a set of shingle hashes, signed; of none: none."""
+    Each bit is one of the least shingle under a permutation of its own.
+    """
     if not hashes.size:
         return []
-    factors, summands = _permutations()
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, hashes.size, _PERMUTED):
-        np.minimum(least, (hashes[at : at + _PERMUTED, None] * factors + summands).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(_FACTORS.size, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, folded.size, _PERMUTED):
+        np.minimum(least, (folded[at : at + _PERMUTED, None] * _FACTORS).min(axis=0), out=least)
+    bits = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return (bits.reshape(PRINTS, PRINT_BITS).astype(np.int64) << np.arange(PRINT_BITS)).sum(axis=1).tolist()
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -211,28 +223,79 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", (jaccard("_a", "_b") >= similarity - 1e-12).alias("near"))
 
 
+def ball_links(distinct: DataFrame) -> DataFrame:
+    """Links ``a, b`` between texts ``distinct (fp, prints)`` that connect all with a fingerprint within ``PRINT_RADIUS``.
+
+    Texts that share a fingerprint link to the smallest of them, which stands for it in the ball hashing.
+    """
+    entries = distinct.select("fp", F.posexplode("prints").alias("band", "print")).select("fp", F.col("band").cast("bigint").alias("band"), "print")
+    heads = written(entries.groupBy("band", "print").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")))
+    shared = entries.join(heads.where("n > 1").drop("n"), ["band", "print"]).where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    count = heads.where("band = 0").count()
+    lead = lead_bits(count, PRINT_BITS, PRINT_RADIUS, MIN_PRINT_LEAD)
+    near = written(links(heads.select("band", F.col("print").alias("fp")), count, ["band"], lead, PRINT_BITS, PRINT_RADIUS))
+    head = lambda c: heads.select("band", F.col("print").alias(c), F.col("least").alias(f"_{c}"))
+    crossed = near.join(head("a"), ["band", "a"]).join(head("b"), ["band", "b"]).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return shared.unionByName(crossed.where("a < b")).distinct()
+
+
+def apart_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of one group but different roots that can be similar enough; ``members (group, root, fp, hashes)``.
+
+    Hashes are put in order, the rare ones of the group first. Of two sets that are similar enough, the
+    smaller has one of its first hashes, as many as it may lack, among the first of the larger.
+    Hashes that no other member has can be in no pair. So texts that differ from all others in
+    their own way meet none of them, however many have the same template.
+    """
+    tokens = members.select("group", "root", "fp", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    held = tokens.groupBy("group", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    texts = tokens.join(held, ["group", "token"]).groupBy("group", "root", "fp", "n")
+    texts = texts.agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared")).withColumn("s", F.size("shared"))
+    # The hashes that no other has come first, n - s of them.
+    least = lambda share: F.ceil(F.col("n") * share - _EVEN).cast("int")
+    both = 2 * similarity / (1 + similarity)
+    firsts = texts.withColumn("first", F.col("s") - least(similarity) + 1).where("first > 0")
+    firsts = firsts.select("group", "root", "fp", "n", "s", (F.col("s") - least(both) + 1).alias("own"), F.posexplode(F.slice("shared", 1, F.col("first"))).alias("at", "t"))
+    rows = written(firsts.select("group", F.col("t.token").alias("token"), "root", "fp", "n", "s", "at", (F.col("at") < F.col("own")).alias("own")))
+    roots = rows.groupBy("group", "token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("group", "token")
+    mixed = roots.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # Members of the most frequent root meet those of other roots only.
+    side = lambda c: rows.select("group", "token", *[F.col(x).alias(f"{c}_{x}") for x in ("root", "fp", "n", "s", "at", "own")])
+    others = side("a").join(mixed, ["group", "token"]).where("a_root != main").drop("main")
+    p, q = F.struct("a_n", "a_fp"), F.struct("b_n", "b_fp")
+    need = (F.col("a_n") + F.col("b_n")) * (both / 2) - _EVEN
+    most = F.least("a_at", "b_at") + F.least(F.col("a_s") - F.col("a_at"), F.col("b_s") - F.col("b_at"))
+    fits = (
+        (F.col("a_root") != F.col("b_root"))
+        & F.when(p < q, F.col("a_own")).otherwise(F.col("b_own"))
+        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - _EVEN)
+        & (most >= need)
+    )
+    same = (F.col("a.group") == F.col("b.group")) & (F.col("a.token") == F.col("b.token"))
+    pairs = others.alias("a").join(side("b").alias("b"), same & fits)
+    return pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+
+
 def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``components`` of the shingle sets ``distinct (fp, text_hash, bands)`` at ``similarity`` or more.
+    """``components`` of the shingle sets ``distinct (fp, text_hash, prints)`` at ``similarity`` or more.
 
-    Members of a band are first compared with its smallest one; only those that are not connected
-    thereafter are compared in pairs, so a large group of copies takes one comparison per member.
+    Texts that balls link are compared first. In groups that balls connect but comparisons do not,
+    ``apart_pairs`` finds the pairs left, so a large group of copies takes a few comparisons per member.
     """
-    entries = distinct.select(F.explode("bands").alias("key"), "fp")
-    shared = entries.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = written(entries.join(shared, "key"))
+    met = written(ball_links(distinct))
     hashed = F.pandas_udf(lambda text: pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text], dtype=object), "array<bigint>")
-    wanted = distinct.select("fp", "text_hash").join(met.select("fp").distinct(), "fp")
+    wanted = distinct.select("fp", "text_hash").join(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")).join(wanted, "text_hash")
     sets = written(texts.groupBy("fp").agg(F.first("text").alias("text")).select("fp", hashed("text").alias("hashes")))
-    first = written(similar(met.where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity))
+    first = written(similar(met, sets, similarity))
     roots = components(first.where("near"))
-    named = met.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = written(named.join(mixed, "key", "left_semi"))
-    one = apart.select("key", F.col("fp").alias("a"), F.col("root").alias("_a"))
-    other = apart.select("key", F.col("fp").alias("b"), F.col("root").alias("_b"))
-    rest = one.join(other, "key").where("a < b AND _a != _b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    groups = components(met).select(F.col("vertex").alias("fp"), F.col("root").alias("group"))
+    named = wanted.select("fp").join(groups, "fp", "left").join(roots.withColumnRenamed("vertex", "fp"), "fp", "left")
+    named = named.select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("root", "fp").alias("root"))
+    mixed = named.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
+    apart = written(named.join(mixed, "group", "left_semi").join(sets, "fp"))
+    rest = apart_pairs(apart, similarity).join(first, ["a", "b"], "left_anti")
     second = written(similar(rest, sets, similarity).where("near"))
     return roots if second.isEmpty() else components(first.where("near").unionByName(second).select("a", "b"))
 
@@ -244,7 +307,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
     null and wordless texts have fingerprint zero and link like any other. With it, texts link
     when the Jaccard similarity of their sets of shingles is at least that, ``fp`` is a hash of the
     set, and null and wordless texts have the empty set and link with each other only; candidates
-    are found with the share of ``BANDS``. ``root`` is the smallest ``fp`` of a group, ``component_id``
+    are found by balls around ``PRINTS`` fingerprints. ``root`` is the smallest ``fp`` of a group, ``component_id``
     the smallest ``doc_id`` reachable (null if there is none). An empty table gives an empty result; further columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -255,19 +318,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
         roots = components(links(distinct, distinct.count()))
     else:
 
-        @F.pandas_udf("fp bigint, bands array<bigint>")
-        def banded(text: pd.Series) -> pd.DataFrame:
-            prints, bands = [], []
+        @F.pandas_udf("fp bigint, prints array<bigint>")
+        def printed(text: pd.Series) -> pd.DataFrame:
+            sets, prints = [], []
             for t in text:
                 hashes = np.unique(shingle_hashes(t, shingle))
-                prints.append(_set_id(hashes))
-                bands.append(band_keys(hashes))
-            return pd.DataFrame({"fp": np.array(prints, np.int64), "bands": bands})
+                sets.append(_set_id(hashes))
+                prints.append(prints_of(hashes))
+            return pd.DataFrame({"fp": np.array(sets, np.int64), "prints": prints})
 
-        whole = docs.select("doc_id", banded(text).alias("_set"), F.xxhash64(text).alias("text_hash"))
-        marked = written(whole.select("doc_id", "_set.fp", "_set.bands", "text_hash"))
+        whole = docs.select("doc_id", printed(text).alias("_set"), F.xxhash64(text).alias("text_hash"))
+        marked = written(whole.select("doc_id", "_set.fp", "_set.prints", "text_hash"))
         # Texts of one set differ in white space and letter case only, so any of them stands for it.
-        some = F.min_by(F.struct("text_hash", "bands"), "text_hash").alias("some")
+        some = F.min_by(F.struct("text_hash", "prints"), "text_hash").alias("some")
         distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), some).select("fp", "first_id", "some.*"))
         roots = similar_roots(docs, distinct, shingle, similarity)
     named = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")

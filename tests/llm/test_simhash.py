@@ -188,3 +188,44 @@ def test_one_id_in_two_groups_leaves_a_document_of_each(make_docs):
         assert len({r.root for r in groups}) == 2 and {r.component_id for r in groups} == {1}
         kept = simhash.drop_near(make_docs(rows), *given).collect()
         assert sorted((r.doc_id, r.text) for r in kept) == sorted([rows[0], rows[2]])
+
+
+def test_balls_connect_texts_with_a_close_fingerprint(spark):
+    rng = random.Random(12)
+    prints = {i: [rng.getrandbits(40) for _ in range(simhash.PRINTS)] for i in range(60)}
+    for i in range(60, 120):
+        prints[i] = [rng.getrandbits(40) for _ in range(simhash.PRINTS)]
+        band, near = rng.randrange(simhash.PRINTS), rng.randrange(i)
+        prints[i][band] = prints[near][band] ^ sum(1 << b for b in rng.sample(range(40), rng.randrange(4)))
+    found = simhash.ball_links(spark.createDataFrame(list(prints.items()), "fp bigint, prints array<bigint>"))
+    roots = {r.vertex: r.root for r in components(found).collect()}
+    plain = {i: i for i in prints}
+
+    def find(i):
+        while plain[i] != i:
+            i = plain[i]
+        return i
+
+    for i in prints:
+        for j in range(i):
+            if any((a ^ b).bit_count() <= simhash.PRINT_RADIUS for a, b in zip(prints[i], prints[j])):
+                low, high = sorted((find(i), find(j)))
+                plain[high] = low
+    assert {i: roots.get(i, i) for i in prints} == {i: find(i) for i in prints}
+
+
+def test_far_copies_of_a_template_are_not_paired(spark):
+    rng = random.Random(13)
+    template = set(range(1, 147))
+    sets = {}
+    for i in range(300):
+        lost = rng.sample(sorted(template), rng.choice([8, 30, 40]))
+        sets[i] = sorted(template - set(lost)) + [1000 + 100 * i + k for k in range(len(lost))]
+    sets[300], sets[301] = sets[7][:-2] + [5, 1], sets[299]
+    sets = {i: sorted(set(s)) for i, s in sets.items()}
+    rows = [(0, i, i, s) for i, s in sets.items()]
+    got = {(r.a, r.b) for r in simhash.apart_pairs(spark.createDataFrame(rows, "group int, root int, fp bigint, hashes array<bigint>"), 0.8).collect()}
+    close = {(i, j) for i in sets for j in sets if i < j and plain_jaccard(set(sets[i]), set(sets[j])) >= 0.8}
+    assert close <= got and (299, 301) in close
+    far = sum(len(set(s) & template) < 130 for s in sets.values())
+    assert far > 150 and len(got - close) < 300
