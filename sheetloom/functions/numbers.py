@@ -18,12 +18,12 @@ def number_or(text: Column, default: float) -> Column:
     return F.coalesce(to_number(text), F.lit(default))
 
 
-def fixed3(v: Column) -> Column:
-    """Text with three decimals, rounding the exact binary value half to even.
+def thousandths(v: Column) -> Column:
+    """The value rounded to thousandths, half to even by the exact binary value, for ``thousandths_text``.
 
     The product by 1000 decides unless it is rounded to a tie. Then it is split into an exact
     high and low part, so that the side of the tie is known. ``v`` is used several times, so it
-    should be a column or a variable of a lambda.
+    should be a variable of a lambda.
     """
     a = F.abs(v)
     product = a * 1000.0
@@ -31,13 +31,31 @@ def fixed3(v: Column) -> Column:
     wide = a * 134217729.0
     high = wide - (wide - a)
     rest = (high * 1000.0 - product) + (a - high) * 1000.0
-    whole = F.when(product - below != 0.5, F.rint(product).cast("bigint")).when(rest > 0, below + 1).when(rest < 0, below).otherwise(F.rint(product).cast("bigint"))
-    sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
-    # Whole part and decimals come from the text of the rounded product.
-    digits = F.lpad(whole.cast("string"), F.greatest(F.lit(4), F.length(whole.cast("string"))), F.lit("0"))
-    text = F.concat(sign, F.regexp_replace(digits, r"(\d{3})$", ".$1"))
+    up = F.when(rest > 0, F.lit(1)).when(rest < 0, F.lit(0)).otherwise(below % 2)
+    whole = F.when(product - below == 0.5, below + up).otherwise(F.rint(product).cast("bigint"))
+    # Only a zero needs its text to tell the sign.
+    sign = F.when(v < 0, "-").when((v == 0) & F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
     # From 2**43 on values carry no tie at three decimals, and infinities print as words.
-    return F.when(a < 8796093022208.0, text).when(v.isNotNull(), F.format_string("%.3f", v))
+    small = a < 8796093022208.0
+    return F.struct(sign.alias("sign"), F.when(small, whole).alias("whole"), F.when(~small, v).alias("large"))
+
+
+def thousandths_text(t: Column) -> Column:
+    """Text with three decimals of what ``thousandths`` gives."""
+    whole = t["whole"]
+    # Whole part and decimals are numbers, so that no pattern is searched in their text.
+    text = F.concat(t["sign"], F.call_function("div", whole, F.lit(1000)).cast("string"), F.lit("."), F.substr((whole % 1000 + 1000).cast("string"), F.lit(2)))
+    return F.coalesce(text, F.when(t["large"].isNotNull(), F.format_string("%.3f", t["large"])))
+
+
+def all_fixed3(values: Column) -> Column:
+    """``fixed3`` of an array; the rounded number is a variable, so it is computed once."""
+    return F.transform(F.transform(values, thousandths), thousandths_text)
+
+
+def fixed3(v: Column) -> Column:
+    """Text with three decimals, rounding the exact binary value half to even."""
+    return F.get(all_fixed3(F.array(v)), 0)
 
 
 def float_text(v: Column) -> Column:

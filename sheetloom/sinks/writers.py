@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.functions.numbers import fixed3, float_text
+from sheetloom.functions.numbers import all_fixed3, fixed3, float_text
 from sheetloom.functions.svg import SCALE
 from sheetloom.operators.browse import contour_sizes, object_devices
 from sheetloom.operators.tiles import label_line
@@ -34,13 +34,15 @@ def _filled(c: Column) -> Column:
 
 def text_rows(texts: DataFrame) -> DataFrame:
     """Rows of the text file: attributes with three decimals and the box."""
-    box = F.struct(*[fixed3(F.col(f"bbox.{c}")).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
-    return texts.select(
+    sides = ("x1", "y1", "x2", "y2")
+    numbers = all_fixed3(F.array("cx", "cy", *[f"bbox.{c}" for c in sides]))
+    box = F.struct(*[F.get("_n", i + 2).alias(f"_{c}") for i, c in enumerate(sides)])
+    return texts.withColumn("_n", numbers).select(
         "doc_id",
         F.col("text_id").alias("_id"),
         F.col("text").alias("_content"),
-        fixed3(F.col("cx")).alias("_x"),
-        fixed3(F.col("cy")).alias("_y"),
+        F.get("_n", 0).alias("_x"),
+        F.get("_n", 1).alias("_y"),
         F.col("page").alias("_page"),
         box.alias("BBox"),
     )
