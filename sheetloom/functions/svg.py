@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheetloom.functions.names import strip
-from sheetloom.functions.numbers import fixed3, float_text, to_number
+from sheetloom.functions.numbers import all_fixed3, fixed3, float_text, thousandths, thousandths_text, to_number
 
 # Scale of the export and attributes that hold one coordinate.
 SCALE = 1.25
@@ -23,9 +23,22 @@ _ARC = rf"({_REAL})({_GAP})({_REAL})({_GAP}{_REAL}{_GAP}[01]{_GAP}[01]{_GAP})({_
 _TRANSLATE = r"translate\(([^)]+)\)"
 
 
+# Stands for matches where a text is cut at them.
+_CUT = "\u0001"
+
+
+def _between(text: Column, pattern: str) -> Column:
+    """The parts of ``text`` around the matches of ``pattern``.
+
+    ``split`` compiles its pattern anew for each row unless it is one plain character.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, _CUT), _CUT, -1)
+    return F.when(F.contains(text, F.lit(_CUT)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def _rewrite(text: Column, pattern: str, *changes) -> Column:
     """Replace every match of ``pattern`` by what ``changes`` make of it, one after the other."""
-    between = F.split(text, pattern, -1)
+    between = _between(text, pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     for change in changes:
         found = F.transform(found, change)
@@ -47,7 +60,7 @@ def _pair_text(p: Column, before: str = "", after: str = "") -> Column:
 
 def rescale_path(d: Column, scale: float = SCALE) -> Column:
     """Scale every number of path data to three decimals (arc flags included)."""
-    return _rewrite(d, _NUMBER, lambda m: m.cast("double") * scale, fixed3)
+    return _rewrite(d, _NUMBER, lambda m: m.cast("double") * scale, thousandths, thousandths_text)
 
 
 def _apart(gap: Column, number: Column) -> Column:
@@ -58,7 +71,7 @@ def _apart(gap: Column, number: Column) -> Column:
 
 def _rewrite_list(text: Column, pattern: str, *changes) -> Column:
     """``_rewrite`` for lists of numbers, which stay apart."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between, found = _between(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     for change in changes:
         found = F.transform(found, change)
     return F.array_join(F.zip_with(between, found, lambda b, m: F.coalesce(_apart(b, m), b)), "")
@@ -66,9 +79,14 @@ def _rewrite_list(text: Column, pattern: str, *changes) -> Column:
 
 def _arc_parts(arc: Column, scale: float) -> Column:
     """Scaled radii and end point of an arc, and what stands between them."""
-    part = lambda i: F.regexp_extract(arc, _ARC, i)
-    numbers = F.transform(F.array(*[part(i).cast("double") * scale for i in (1, 3, 5, 7)]), fixed3)
-    return F.struct(numbers.alias("n"), part(2).alias("radii"), part(4).alias("flags"), part(6).alias("ends"))
+    # One search marks the seven groups; an arc holds nothing but numbers, blanks and commas.
+    parts = F.split(F.regexp_replace(arc, _ARC, "$1;$2;$3;$4;$5;$6;$7"), ";", -1)
+
+    def of(p: Column) -> Column:
+        numbers = all_fixed3(F.array(*[F.get(p, i).cast("double") * scale for i in (0, 2, 4, 6)]))
+        return F.struct(numbers.alias("n"), F.get(p, 1).alias("radii"), F.get(p, 3).alias("flags"), F.get(p, 5).alias("ends"))
+
+    return F.get(F.transform(F.array(parts), of), 0)
 
 
 def _arc_text(p: Column) -> Column:
@@ -86,7 +104,7 @@ def rescale_path_by_grammar(d: Column, scale: float = SCALE) -> Column:
 
     def command(c: Column) -> Column:
         arcs = _rewrite_list(c, _ARC, lambda m: _arc_parts(m, scale), _arc_text)
-        plain = _rewrite_list(c, _REAL, lambda m: m.cast("double") * scale, fixed3)
+        plain = _rewrite_list(c, _REAL, lambda m: m.cast("double") * scale, thousandths, thousandths_text)
         return F.when(F.lower(F.left(c, F.lit(1))) == "a", arcs).otherwise(plain)
 
     return _rewrite(d, _COMMAND, command)
