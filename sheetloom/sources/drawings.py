@@ -100,24 +100,30 @@ def _unescape(v: Column) -> Column:
 
 def _attributes(tag: Column) -> Column:
     """Attributes of one start tag as a map."""
-    pair = r"""([\p{L}\p{N}_:.\-]+)\s*=\s*("[^"]*"|'[^']*')"""
+    pair = r"""([\p{L}\p{N}_:.\-]++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
 
-    def entry(p: Column) -> Column:
-        quoted = F.regexp_extract(p, pair, 2)
-        return F.struct(
-            F.regexp_extract(p, pair, 1).alias("k"), _unescape(F.substr(quoted, F.lit(2), F.length(quoted) - 2)).alias("v")
-        )
+    # Most values hold no mark; the quotes around each are cut first.
+    def value(quoted: Column) -> Column:
+        text = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+        return F.when(F.contains(text, F.lit("&")), _unescape(text)).otherwise(text)
 
-    return F.map_from_entries(F.transform(F.regexp_extract_all(tag, F.lit(pair), F.lit(0)), entry))
+    found = lambda group: F.regexp_extract_all(tag, F.lit(pair), F.lit(group))
+    return F.map_from_arrays(found(1), F.transform(found(2), value))
 
 
 # End of an element: files are cut there, so that a file of any size is read in parts.
 _END = "</TechnologicalObject>"
 
 
+def _finished(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` built as a unit, so that predicates work on them and not on copies of their expressions."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def element_texts(files: DataFrame) -> DataFrame:
     """``files(doc_id, body)`` cut at the ends of their object elements."""
-    return files.select("doc_id", F.explode(F.split("body", _END)).alias("element"))
+    # The outer form keeps Spark from testing the size of the list first, which would cut the text once more.
+    return files.select("doc_id", F.explode_outer(F.split("body", _END)).alias("element")).where(F.col("element").isNotNull())
 
 
 def devices_of_elements(elements: DataFrame) -> DataFrame:
@@ -125,22 +131,17 @@ def devices_of_elements(elements: DataFrame) -> DataFrame:
 
     Comments and raw character data are no data. A device with unreadable numbers is skipped.
     """
-    tag = r"""(?s)<{}\b(?:"[^"]*"|'[^']*'|[^>"'])*>""".format
+    tag = r"""(?s)<{}\b(?:"[^"]*+"|'[^']*+'|[^>"']++)*+>""".format
     data = F.regexp_replace("element", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
     objects = F.regexp_extract_all("_data", F.lit(tag("TechnologicalObject")), F.lit(0))
     # Elements without content end in their own tag; the last one that opens holds the devices.
     opened = F.try_element_at(F.filter(objects, lambda o: ~F.endswith(o, F.lit("/>"))), F.lit(-1))
-    rows = (
-        elements.withColumn("_data", data)
-        .select("doc_id", opened.alias("_o"), "_data")
-        .where("_o IS NOT NULL")
-        .select(
-            "doc_id",
-            F.try_element_at(_attributes(F.col("_o")), F.lit("name")).alias("tech_object"),
-            F.posexplode(F.regexp_extract_all(F.expr("substring_index(_data, _o, -1)"), F.lit(tag("Device")), F.lit(0))).alias("ord", "_e"),
-        )
-        .where(F.coalesce("tech_object", F.lit("")) != "")
-    )
+    plain = _finished(elements, "doc_id", data.alias("_data"))
+    found = _finished(plain, "doc_id", opened.alias("_o"), "_data").where("_o IS NOT NULL")
+    named = _finished(found, "doc_id", F.try_element_at(_attributes(F.col("_o")), F.lit("name")).alias("tech_object"), F.expr("substring_index(_data, _o, -1)").alias("_inner"))
+    tags = F.regexp_extract_all("_inner", F.lit(tag("Device")), F.lit(0))
+    rows = named.where(F.coalesce("tech_object", F.lit("")) != "").select("doc_id", "tech_object", F.posexplode_outer(tags).alias("ord", "_e"))
+    read = _finished(rows.where(F.col("_e").isNotNull()), "doc_id", "tech_object", "ord", _attributes(F.col("_e")).alias("_a"))
 
     def text(name: str):
         return F.coalesce(F.try_element_at("_a", F.lit(name)), F.lit(""))
@@ -149,26 +150,21 @@ def devices_of_elements(elements: DataFrame) -> DataFrame:
         value = F.try_element_at("_a", F.lit(name))
         return F.when(value.isNull(), F.lit(0.0)).otherwise(to_number(value))
 
-    return (
-        rows.withColumn("_a", _attributes(F.col("_e")))
-        .select(
-            "doc_id",
-            "tech_object",
-            "ord",
-            text("lua_name").alias("lua_name"),
-            text("pdf_name").alias("pdf_name"),
-            number("x").alias("x"),
-            number("y").alias("y"),
-            number("confidence").alias("confidence"),
-            text("descr").alias("descr"),
-            text("article").alias("article"),
-            text("device_type").alias("device_type"),
-            text("category").alias("category"),
-            open_attributes(F.col("_a"), DEVICE_ATTRIBUTES).alias("extra"),
-        )
-        .where("x is not null and y is not null and confidence is not null")
-    )
-
+    return read.select(
+        "doc_id",
+        "tech_object",
+        "ord",
+        text("lua_name").alias("lua_name"),
+        text("pdf_name").alias("pdf_name"),
+        number("x").alias("x"),
+        number("y").alias("y"),
+        number("confidence").alias("confidence"),
+        text("descr").alias("descr"),
+        text("article").alias("article"),
+        text("device_type").alias("device_type"),
+        text("category").alias("category"),
+        open_attributes(F.col("_a"), DEVICE_ATTRIBUTES).alias("extra"),
+    ).where("x is not null and y is not null and confidence is not null")
 
 
 def read_matched_devices(spark: SparkSession, path: str) -> DataFrame:
