@@ -23,13 +23,14 @@ def _cell(v: Column, level: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), level.cast("double")))
 
 
-def _leveled(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) -> DataFrame:
+def _leveled(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float, wider: int = 0) -> DataFrame:
     side = F.greatest(*[F.col(hi) - F.col(lo) for lo, hi in axes], F.lit(0.0)) + 2 * tol
-    return boxes.withColumn("_level", _level(side))
+    return boxes.withColumn("_level", _level(side) + wider)
 
 
-def _box_cells(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float) -> DataFrame:
-    out = _leveled(boxes, axes, tol)
+def _box_cells(boxes: DataFrame, axes: Sequence[tuple[str, str]], tol: float, wider: int = 0) -> DataFrame:
+    """Boxes once per cell; with ``wider`` 1, cells are one to two times the longer side, so at most two per axis."""
+    out = _leveled(boxes, axes, tol, wider)
     for n, (lo, hi) in enumerate(axes):
         cells = F.sequence(
             _cell(F.col(lo) - tol, F.col("_level")), _cell(F.col(hi) + tol, F.col("_level"))
@@ -48,11 +49,13 @@ def _point_cells(points: DataFrame, leveled: DataFrame, coords: Sequence[str]) -
 
 
 def _condition(p: str, b: str, keys, coords, axes, tol) -> Column:
-    cond = F.col(f"{p}._level") == F.col(f"{b}._level")
-    for k in keys:
+    return _inside(p, b, ["_level", *keys, *[f"_cell{n}" for n in range(len(axes))]], coords, axes, tol)
+
+
+def _inside(p: str, b: str, same, coords, axes, tol) -> Column:
+    cond = F.lit(True)
+    for k in same:
         cond = cond & (F.col(f"{p}.{k}") == F.col(f"{b}.{k}"))
-    for n in range(len(axes)):
-        cond = cond & (F.col(f"{p}._cell{n}") == F.col(f"{b}._cell{n}"))
     for c, (lo, hi) in zip(coords, axes, strict=True):
         cond = cond & F.col(f"{p}.{c}").between(F.col(f"{b}.{lo}") - tol, F.col(f"{b}.{hi}") + tol)
     return cond
@@ -95,11 +98,13 @@ def points_hit(
     ``own_tol`` names a column with each point's tolerance, at most ``tol``. A left-semi join stops at the first hit, so piles of repeated boxes never multiply rows.
     """
     sides = [c for axis in axes for c in axis]
-    boxes = boxes.select(*keys, *sides)
-    cells = _box_cells(boxes, axes, tol).distinct()
-    probes = _point_cells(points, _leveled(boxes, axes, tol), coords)
+    # Repeats go before the boxes are dealt to cells, so that only boxes that differ travel once per cell.
+    boxes = boxes.select(*keys, *sides).distinct()
+    cells, probes = _box_cells(boxes, axes, tol, wider=1), _point_cells(points, _leveled(boxes, axes, tol, 1), coords)
+    at = F.xxhash64("_level", *[f"_cell{n}" for n in range(len(axes))])
+    # One number stands for the cell; the box decides, so cells that share it do no harm.
+    cells = cells.select(*keys, *sides, at.alias("_at"))
+    probes = probes.select(*points.columns, at.alias("_at"))
     within = F.lit(tol) if own_tol is None else F.col(f"p.{own_tol}")
-    hit = probes.alias("p").join(
-        cells.alias("b"), _condition("p", "b", keys, coords, axes, within), "left_semi"
-    )
-    return hit.select(*ids).distinct()
+    same = _inside("p", "b", [*keys, "_at"], coords, axes, within)
+    return probes.alias("p").join(cells.alias("b"), same, "left_semi").select(*ids).distinct()
