@@ -411,12 +411,11 @@ def _parent(*parts: str) -> Column:
     return F.concat_ws(".", *[F.coalesce(p, F.lit("None")) for p in parts])
 
 
-def device_mentions(objects: DataFrame) -> DataFrame:
-    """Every valid device mention with its place ``ord`` in document order.
+def _mention_states(objects: DataFrame) -> DataFrame:
+    """One row per state with the lists that can mention devices.
 
-    The objects are walked through once, by operation and state; the steps' lists are read where
-    they are nested. An object's equipment goes with its first state, or with the row that stands
-    for an object without any.
+    An object's equipment goes with its first state (``_first``), or with the row that stands for
+    an object without any.
     """
     fields = [*DEVICE_LISTS, "devices_data", "steps"]
     modes = objects.select("doc_id", "obj_ord", "id", "name", "_equipment", F.posexplode_outer("_modes").alias("mode_pos", "mode_id", "m"))
@@ -425,10 +424,19 @@ def device_mentions(objects: DataFrame) -> DataFrame:
     )
     first = (F.coalesce("mode_pos", F.lit(0)) == 0) & (F.coalesce("state_pos", F.lit(0)) == 0)
     operation = F.coalesce("_named", F.format_string(OPERATION_NAME, "mode_id"))
-    states = rows.select(
+    return rows.select(
         "doc_id", "obj_ord", "mode_pos", "state_pos", F.col("id").alias("obj_id"), F.col("name").alias("obj_name"), operation.alias("operation_name"),
         first.alias("_first"), "_equipment", *[F.col(f"s.{f}").alias(f if f == "devices_data" else f"_{f}") for f in fields],
     )
+
+
+def device_mentions(objects: DataFrame) -> DataFrame:
+    """Every valid device mention with its place ``ord`` in document order.
+
+    The objects are walked through once, by operation and state; the steps' lists are read where
+    they are nested.
+    """
+    states = _mention_states(objects)
     lists = [_list_mentions(i, f) for i, f in enumerate(DEVICE_LISTS)]
     equipment = F.when(F.col("_first"), _equipment_mentions()).otherwise(_or_none(F.lit(None)))
     found = states.select(
@@ -447,6 +455,44 @@ def device_mentions(objects: DataFrame) -> DataFrame:
     )
 
 
+def device_names(objects: DataFrame) -> DataFrame:
+    """Valid device names that ``device_mentions`` finds, with ``obj_ord``; a name comes once per state at most."""
+    none = F.array().cast("array<string>")
+    texts = lambda elements: F.transform(elements, lambda e: F.when(_is_text(e), e.try_cast("string")))
+    some = lambda found: F.coalesce(found, none)
+    each = lambda elements, read: some(F.flatten(F.transform(elements, read)))
+    of_values = lambda e: some(texts(F.map_values(_map(e))))
+    of_group = lambda e: some(texts(_list(F.try_element_at(_map(e), F.lit("devices")))))
+    of_step = lambda v: F.concat(*[F.coalesce(texts(_list(v[f])), F.map_keys(_map(v[f])), none) for f in DEVICE_LISTS[:2]])
+    lists = [_list(F.col(f"_{f}")) for f in DEVICE_LISTS]
+    parts = [
+        F.when(F.col("_first"), of_values(F.col("_equipment"))).otherwise(none),
+        *[some(texts(items)) for items in lists],
+        *[each(items, of_values) for items in lists],
+        each(_list(F.col("devices_data")), of_group),
+        each(F.map_values("_steps"), of_step),
+    ]
+    found = _mention_states(objects).select("doc_id", "obj_ord", F.explode_outer(F.array_distinct(F.concat(*parts))).alias("name"))
+    return found.where(names.is_device_name(F.col("name")))
+
+
+def first_devices(config: DataFrame) -> DataFrame:
+    """``first_mentions`` of all texts in two passes, so that no place of a mention is sorted or moved but the first ones.
+
+    The first pass finds the first text of each name by its ``part`` alone, the second reads the
+    texts that hold a first mention for its place.
+    """
+    seen = device_names(read_objects(config, LEVELS["mentions"])).select("doc_id", "name", F.col("obj_ord.part").alias("part"))
+    # A text without a part comes before all others.
+    ends = seen.groupBy("doc_id", "name").agg(F.min("part").alias("part"), F.max(F.col("part").isNull()).alias("bare"))
+    first = stored(ends.select("doc_id", "name", F.when(~F.col("bare"), F.col("part")).alias("part")))
+    same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    wanted = first.select("doc_id", "part").distinct()
+    texts = config.join(wanted, same(config, wanted, "doc_id", "part"), "left_semi")
+    mentions = device_mentions(read_objects(texts, LEVELS["mentions"])).withColumn("part", F.col("ord.obj_ord.part"))
+    return first_mentions(mentions.join(first, same(mentions, first, "doc_id", "name", "part"), "left_semi"))
+
+
 def first_mentions(mentions: DataFrame) -> DataFrame:
     """One row per device name: source, parent and object of its first mention."""
     return (
@@ -549,7 +595,12 @@ class ConfigTables:
 
     @cached_property
     def devices(self) -> DataFrame:
-        return first_mentions(device_mentions(self.objects_for("mentions")[0]))
+        return first_devices(self._config)
+
+    @cached_property
+    def device_names(self) -> DataFrame:
+        """``doc_id`` and ``name`` of ``devices``."""
+        return device_names(self.objects_for("mentions")[0]).select("doc_id", "name").distinct()
 
     @cached_property
     def signals(self) -> DataFrame:
