@@ -53,9 +53,13 @@ def nested_usage(states: DataFrame) -> DataFrame:
 
 def operations_of_matches(matches: DataFrame, states: DataFrame, steps: DataFrame) -> DataFrame:
     """Operations and states in which a matched device is used, counted per device name."""
+    return uses_of_matches(matches, device_usage(states, steps))
+
+
+def uses_of_matches(matches: DataFrame, usage: DataFrame) -> DataFrame:
+    """``operations_of_matches`` of the rows of ``device_usage`` or ``nested_usage``."""
     used = (
-        device_usage(states, steps)
-        .groupBy("doc_id", F.col("device").alias("lua_name"))
+        usage.groupBy("doc_id", F.col("device").alias("lua_name"))
         .agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("owner_id").alias("owners"))
     )
     return matches.join(used, ["doc_id", "lua_name"], "left")

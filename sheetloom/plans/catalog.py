@@ -303,8 +303,8 @@ def device_usage(spark, sf_dir):
 
 @query
 def device_operation_use(spark, sf_dir):
-    t = _tables(spark, sf_dir, write_once=True)
-    return browse.operations_of_matches(t.devices.select("doc_id", F.col("name").alias("lua_name")), t.states, t.steps)
+    t = _tables(spark, sf_dir)
+    return browse.uses_of_matches(t.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(t.states_in_use))
 
 
 @query
@@ -378,7 +378,7 @@ def entity_summary(spark, sf_dir):
                 F.struct(doc, F.col("obj_ord")),
                 row("id", F.col("n").cast("string"), F.col("tech_type").cast("string"), "name", "name_eplan", "name_BC", "base_tech_object", _entries_text("properties")),
             ),
-            "devices": (t.devices, F.struct(doc), none),
+            "devices": (t.device_names, F.struct(doc), none),
             "operations": (t.operations, F.struct(doc), none),
             "states": (
                 t.states, F.struct(doc, *place[:3]),
