@@ -131,7 +131,7 @@ def vertex_degrees(spark, sf_dir):
 
 def _contours(spark, sf_dir, strict=True):
     segments = views.segments(spark, sf_dir)
-    edges = loops.contour_edges(loops.closed_loops(segments, strict=strict), segments)
+    edges = loops.contour_edges(loops.closed_loops(segments, strict=strict, by_place=True), segments)
     return loops.contours_of(edges), edges
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sheetloom.functions import numbers, svg
+from sheetloom.operators import browse, config, grid, loops
 from sheetloom.sources import drawings
 
 
@@ -42,3 +43,66 @@ def test_paths_are_cut_without_compiling_patterns(spark):
         (None, None),
     ]
     assert "else split" in plan(df.select(svg.rescale_path(F.col("d")))).lower() or "ELSE split" in plan(df.select(svg.rescale_path(F.col("d"))))
+
+
+SEGMENT = "doc_id long, page int, seg_id long, x1 double, y1 double, x2 double, y2 double, dashed boolean"
+
+
+def ring(doc, first, corners):
+    ends = [*corners, corners[0]]
+    return [(doc, 0, first + i, *map(float, ends[i]), *map(float, ends[i + 1]), True) for i in range(len(corners))]
+
+
+def test_small_loops_need_no_round(spark, monkeypatch):
+    rows = [s for n in range(40) for s in ring(n % 3, n * 10, [(n * 50, 0), (n * 50, 20), (n * 50 + 20, 20), (n * 50 + 20, 0)])]
+    # A segment without a document is in no loop; an open chain and a loop of two segments are none.
+    rows += [(None, *s[1:]) for s in ring(0, 900, [(0, 900), (0, 920), (20, 900)])]
+    rows += ring(1, 700, [(0, 700), (0, 720), (20, 700), (20, 720)])[:3] + ring(2, 800, [(0, 800), (0, 820)])
+    df = spark.createDataFrame(rows, SEGMENT).repartition(3)
+    want = {(n % 3, n * 10 + i, i) for n in range(40) for i in range(4)}
+    read = lambda: {(r.doc_id, r.seg_id, r.pos) for r in loops.closed_loops(df, by_place=True).collect() if r.n_edges == 4}
+    assert read() == want
+    # Loops cut by the ends of batches give the same.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert read() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rounds = []
+    monkeypatch.setattr(loops, "_cycles", lambda links, keys: rounds.append(links.count()) or links.selectExpr(*keys, "at", "next", *[f"0L as {c}" for c in ("end", "steps", "length")]).where("false"))
+    assert read() == want
+    # Only the open chain is left for the rounds.
+    assert sum(rounds) <= 4
+
+
+def test_boxes_travel_to_four_cells_at_most(spark):
+    boxes = spark.range(400).selectExpr("0 as k", "id * 7.3 as x1", "id * 3.1 as y1", "id * 7.3 + 1 + id % 40 as x2", "id * 3.1 + 30 as y2")
+    axes = (("x1", "x2"), ("y1", "y2"))
+    most = grid._box_cells(boxes, axes, 5.0, wider=1).groupBy("x1", "y1").count().agg(F.max("count")).first()[0]
+    assert most <= 4
+    points = spark.range(300).selectExpr("0 as k", "id as pid", "id * 9.7 as x", "id * 4.1 as y")
+    hit = grid.points_hit(points, boxes.union(boxes), ["k"], ["pid"], tol=5.0)
+    near = "x between x1 - 5 and x2 + 5 and y between y1 - 5 and y2 + 5"
+    want = points.join(boxes.drop("k"), F.expr(near)).select("pid").distinct()
+    assert sorted(hit.collect()) == sorted(want.collect())
+
+
+STATE = '{"opened_devices":["V%d",{"a":"LS2","b":5},7],"closed_devices":{"x":"V9"},"devices_data":[{"devices":["TE%d",1]},5],"steps":{"1":{"opened_devices":["M1","V%d"],"closed_devices":{"DO3":1}},"x":3}}'
+
+
+def test_first_devices_in_two_passes(spark):
+    state = STATE % (1, 2, 3)
+    body = '{"1":{"name":"A","equipment":{"a":"LT1","b":"Нет","c":2},"modes":{"1":{"states":{"1":%s}},"2":{"name":"Fill","states":{"1":%s,"2":4}}}},"2":{"name":"B","equipment":{"a":"QT1"}}}'
+    rows = [(1, 2, body % (state, STATE % (4, 5, 6))), (1, 1, body.replace('"A"', '"C"') % (STATE % (4, 2, 7), state)), (1, None, body.replace('"A"', '"D"') % (STATE % (8, 8, 8), STATE % (8, 8, 8))), (None, 3, body % (state, state)), (2, 1, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, part long, body string")
+    mentions = config.device_mentions(config.read_objects(texts, config.LEVELS["mentions"]))
+    want = sorted(map(str, config.first_mentions(mentions).collect()))
+    tables = config.flatten_config(texts)
+    assert sorted(map(str, tables.devices.collect())) == want and len(want) > 20
+    assert sorted(map(str, tables.device_names.collect())) == sorted(map(str, mentions.select("doc_id", "name").distinct().collect()))
+    # The pass over all mentions aggregates by hash: no place is sorted.
+    ends = config.device_names(config.read_objects(texts)).groupBy("doc_id", "name").agg(F.min("obj_ord.part"))
+    assert "SortAggregate" not in ends._jdf.queryExecution().executedPlan().toString()
+    by_table = browse.operations_of_matches(tables.device_names.withColumnRenamed("name", "lua_name"), tables.states, tables.steps)
+    nested = browse.uses_of_matches(tables.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(tables.states_in_use))
+    assert sorted(map(str, by_table.collect())) == sorted(map(str, nested.collect()))
