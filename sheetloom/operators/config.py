@@ -595,6 +595,11 @@ class ConfigTables:
 
     @cached_property
     def devices(self) -> DataFrame:
+        return first_mentions(device_mentions(self.objects_for("mentions")[0]))
+
+    @cached_property
+    def devices_in_two_passes(self) -> DataFrame:
+        """``devices`` by two scans, for corpora whose mentions are too many to sort."""
         return first_devices(self._config)
 
     @cached_property

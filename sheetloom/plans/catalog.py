@@ -252,7 +252,7 @@ def config_steps(spark, sf_dir):
 
 @query
 def config_devices_first_seen(spark, sf_dir):
-    return _tables(spark, sf_dir).devices
+    return _tables(spark, sf_dir).devices_in_two_passes
 
 
 @query

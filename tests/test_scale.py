@@ -98,7 +98,7 @@ def test_first_devices_in_two_passes(spark):
     mentions = config.device_mentions(config.read_objects(texts, config.LEVELS["mentions"]))
     want = sorted(map(str, config.first_mentions(mentions).collect()))
     tables = config.flatten_config(texts)
-    assert sorted(map(str, tables.devices.collect())) == want and len(want) > 20
+    assert sorted(map(str, tables.devices_in_two_passes.collect())) == want and len(want) > 20
     assert sorted(map(str, tables.device_names.collect())) == sorted(map(str, mentions.select("doc_id", "name").distinct().collect()))
     # The pass over all mentions aggregates by hash: no place is sorted.
     ends = config.device_names(config.read_objects(texts)).groupBy("doc_id", "name").agg(F.min("obj_ord.part"))
