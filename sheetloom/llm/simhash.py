@@ -49,6 +49,8 @@ MIN_PRINT_LEAD = 4
 _PERMUTED = 16
 _FACTORS = np.random.default_rng(64).integers(0, 1 << 32, PRINTS * PRINT_BITS, np.uint32) | np.uint32(1)
 _EVEN = 1e-6
+#: Bits that stand for the hashes of a text where pairs are ruled out before they are made, in words of 64.
+SIGN_WORDS = 4
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -104,8 +106,10 @@ def _spread(values: np.ndarray, sides: int) -> np.ndarray:
 
 
 def _meet(group: pd.DataFrame, lead: int, bits: int = BITS, radius: int = RADIUS) -> pd.DataFrame:
-    """Links between the fingerprints of a cell that have a common variant in it."""
+    """Links between the fingerprints of a cell that have a common variant in it, to the one of the highest ``rank`` if there is such a column."""
     half = radius // 2
+    if "rank" in group:
+        group = group.sort_values(["rank", "fp"], ascending=False)
     own, left = group["fp"].to_numpy(np.int64).view(np.uint64), group["flips"].to_numpy(np.int64)
     sides, side = int(group["sides"].iloc[0]), np.uint64(int(group["side"].iloc[0]))
     rest = bits - lead
@@ -163,31 +167,33 @@ def links(distinct: DataFrame, count: int, keys: Sequence[str] = (), lead: int |
     """Links ``a, b`` that connect all of the ``count`` distinct fingerprints ``fp`` of ``bits`` bits within the ``radius``.
 
     With ``keys``, integers, only fingerprints link that are equal in them; ``count`` is that of one key then.
+    With a column ``rank``, fingerprints link to those of a high rank rather than to any.
     """
+    own = ["fp", *(c for c in distinct.columns if c == "rank")]
     lead, half = lead_bits(count) if lead is None else lead, radius // 2
     rest = bits - lead
     masks = [(int(m), half - n) for n, part in enumerate(_masks(lead, half)) for m in part]
     masks = F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("mask"), F.lit(f).alias("flips")) for m, f in masks]))
-    sent = distinct.select(*keys, "fp", masks.alias("m")).select(
-        *keys, "fp", F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("m.mask")).alias("cell"), F.col("m.flips").cast("tinyint").alias("flips")
+    sent = distinct.select(*keys, *own, masks.alias("m")).select(
+        *keys, *own, F.shiftrightunsigned("fp", rest).bitwiseXOR(F.col("m.mask")).alias("cell"), F.col("m.flips").cast("tinyint").alias("flips")
     )
     volume = F.element_at(F.array(*[F.lit(_volume(rest, n)) for n in range(half + 1)]), (F.col("flips") + 1).cast("int"))
     large = sent.groupBy(*keys, "cell").agg(F.sum(volume).alias("v")).where(F.col("v") > CELL_VARIANTS)
     large = written(large.select(*keys, "cell", F.ceil(F.log2(F.col("v") / F.lit(CELL_VARIANTS))).cast("int").alias("sides")))
     if large.isEmpty():
-        sent = sent.select(*keys, F.col("cell").alias("key"), "fp", "flips", F.lit(0).alias("sides"), F.lit(0).alias("side"))
-        own = [*keys, "key"]
+        sent = sent.select(*keys, F.col("cell").alias("key"), *own, "flips", F.lit(0).alias("sides"), F.lit(0).alias("side"))
+        by = [*keys, "key"]
     else:
         cut = sent.join(large, [*keys, "cell"], "left").withColumn("sides", F.coalesce("sides", F.lit(0)))
         cut = cut.withColumn("side", F.explode(F.expr("sequence(0, shiftleft(1, sides) - 1)")))
-        sent = cut.select(*keys, F.xxhash64("cell", "side").alias("key"), "fp", "flips", "sides", "side", "cell")
-        own = [*keys, "key", "cell", "side"]
+        sent = cut.select(*keys, F.xxhash64("cell", "side").alias("key"), *own, "flips", "sides", "side", "cell")
+        by = [*keys, "key", "cell", "side"]
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
         pairs = _meet(group, lead, bits, radius)
         return pairs.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "a", "b"]]
 
-    return sent.groupBy(*own).applyInPandas(met, ", ".join([*[f"{k} bigint" for k in keys], "a bigint", "b bigint"])).distinct()
+    return sent.groupBy(*by).applyInPandas(met, ", ".join([*[f"{k} bigint" for k in keys], "a bigint", "b bigint"])).distinct()
 
 
 def prints_of(hashes: np.ndarray) -> list[int]:
@@ -226,15 +232,22 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def ball_links(distinct: DataFrame) -> DataFrame:
     """Links ``a, b`` between texts ``distinct (fp, prints)`` that connect all with a fingerprint within ``PRINT_RADIUS``.
 
-    Texts that share a fingerprint link to the smallest of them, which stands for it in the ball hashing.
+    Texts that share a fingerprint link to one of them, which stands for it in the ball hashing: to the
+    one whose fingerprints most texts share. Of the copies of a template that is the one most like it, in
+    all fingerprints. So these repeat few links instead of making others, and most links hold.
     """
     entries = distinct.select("fp", F.posexplode("prints").alias("band", "print")).select("fp", F.col("band").cast("bigint").alias("band"), "print")
-    heads = written(entries.groupBy("band", "print").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")))
-    shared = entries.join(heads.where("n > 1").drop("n"), ["band", "print"]).where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    counts = written(entries.groupBy("band", "print").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")))
+    sharing = written(entries.join(counts.where("n > 1").drop("head"), ["band", "print"]))
+    ranks = written(sharing.groupBy("fp").agg(F.sum("n").alias("rank")))
+    ranked = sharing.join(ranks, "fp").groupBy("band", "print").agg(F.max(F.struct("rank", "fp")).alias("top"))
+    ranked = written(ranked.select("band", "print", F.col("top.fp").alias("head"), F.col("top.rank").alias("rank")))
+    heads = written(ranked.unionByName(counts.where("n = 1").drop("n").join(ranks.withColumnRenamed("fp", "head"), "head", "left").fillna(0, "rank")))
+    shared = sharing.join(ranked, ["band", "print"]).where("fp != head").select(F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b"))
     count = heads.where("band = 0").count()
     lead = lead_bits(count, PRINT_BITS, PRINT_RADIUS, MIN_PRINT_LEAD)
-    near = written(links(heads.select("band", F.col("print").alias("fp")), count, ["band"], lead, PRINT_BITS, PRINT_RADIUS))
-    head = lambda c: heads.select("band", F.col("print").alias(c), F.col("least").alias(f"_{c}"))
+    near = written(links(heads.select("band", F.col("print").alias("fp"), "rank"), count, ["band"], lead, PRINT_BITS, PRINT_RADIUS))
+    head = lambda c: heads.select("band", F.col("print").alias(c), F.col("head").alias(f"_{c}"))
     crossed = near.join(head("a"), ["band", "a"]).join(head("b"), ["band", "b"]).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     return shared.unionByName(crossed.where("a < b")).distinct()
 
@@ -245,31 +258,37 @@ def apart_pairs(members: DataFrame, similarity: float) -> DataFrame:
     Hashes are put in order, the rare ones of the group first. Of two sets that are similar enough, the
     smaller has one of its first hashes, as many as it may lack, among the first of the larger.
     Hashes that no other member has can be in no pair. So texts that differ from all others in
-    their own way meet none of them, however many have the same template.
+    their own way meet none of them, however many have the same template. Each hash sets a bit of its
+    text's signature: for a bit that the other text lacks, one hash at least is not shared.
     """
     tokens = members.select("group", "root", "fp", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
     held = tokens.groupBy("group", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     texts = tokens.join(held, ["group", "token"]).groupBy("group", "root", "fp", "n")
-    texts = texts.agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared")).withColumn("s", F.size("shared"))
+    words = [f"w{i}" for i in range(SIGN_WORDS)]
+    bit = lambda i: F.expr(f"bit_or(if(pmod(shiftright(token, 6), {SIGN_WORDS}) = {i}, shiftleft(1L, int(token & 63)), 0L))")
+    texts = texts.agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("shared"), *[bit(i).alias(w) for i, w in enumerate(words)])
+    texts = texts.withColumn("s", F.size("shared"))
     # The hashes that no other has come first, n - s of them.
     least = lambda share: F.ceil(F.col("n") * share - _EVEN).cast("int")
     both = 2 * similarity / (1 + similarity)
     firsts = texts.withColumn("first", F.col("s") - least(similarity) + 1).where("first > 0")
-    firsts = firsts.select("group", "root", "fp", "n", "s", (F.col("s") - least(both) + 1).alias("own"), F.posexplode(F.slice("shared", 1, F.col("first"))).alias("at", "t"))
-    rows = written(firsts.select("group", F.col("t.token").alias("token"), "root", "fp", "n", "s", "at", (F.col("at") < F.col("own")).alias("own")))
+    firsts = firsts.select("group", "root", "fp", "n", "s", *words, (F.col("s") - least(both) + 1).alias("own"), F.posexplode(F.slice("shared", 1, F.col("first"))).alias("at", "t"))
+    rows = written(firsts.select("group", F.col("t.token").alias("token"), "root", "fp", "n", "s", *words, "at", (F.col("at") < F.col("own")).alias("own")))
     roots = rows.groupBy("group", "token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("group", "token")
     mixed = roots.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     # Members of the most frequent root meet those of other roots only.
-    side = lambda c: rows.select("group", "token", *[F.col(x).alias(f"{c}_{x}") for x in ("root", "fp", "n", "s", "at", "own")])
+    side = lambda c: rows.select("group", "token", *[F.col(x).alias(f"{c}_{x}") for x in ("root", "fp", "n", "s", *words, "at", "own")])
     others = side("a").join(mixed, ["group", "token"]).where("a_root != main").drop("main")
     p, q = F.struct("a_n", "a_fp"), F.struct("b_n", "b_fp")
     need = (F.col("a_n") + F.col("b_n")) * (both / 2) - _EVEN
     most = F.least("a_at", "b_at") + F.least(F.col("a_s") - F.col("a_at"), F.col("b_s") - F.col("b_at"))
+    lacks = lambda c, d: sum((F.bit_count(F.col(f"{c}_{w}").bitwiseAND(F.bitwise_not(F.col(f"{d}_{w}")))) for w in words), F.lit(0))
     fits = (
         (F.col("a_root") != F.col("b_root"))
         & F.when(p < q, F.col("a_own")).otherwise(F.col("b_own"))
         & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - _EVEN)
         & (most >= need)
+        & (F.least(*[F.col(f"{c}_s") - lacks(c, d) for c, d in ("ab", "ba")]) >= need)
     )
     same = (F.col("a.group") == F.col("b.group")) & (F.col("a.token") == F.col("b.token"))
     pairs = others.alias("a").join(side("b").alias("b"), same & fits)
@@ -290,14 +309,15 @@ def similar_roots(docs: DataFrame, distinct: DataFrame, shingle: int, similarity
     sets = written(texts.groupBy("fp").agg(F.first("text").alias("text")).select("fp", hashed("text").alias("hashes")))
     first = written(similar(met, sets, similarity))
     roots = components(first.where("near"))
-    groups = components(met).select(F.col("vertex").alias("fp"), F.col("root").alias("group"))
+    linked = roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+    groups = components(linked.unionByName(first.where("not near").select("a", "b"))).select(F.col("vertex").alias("fp"), F.col("root").alias("group"))
     named = wanted.select("fp").join(groups, "fp", "left").join(roots.withColumnRenamed("vertex", "fp"), "fp", "left")
     named = named.select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("root", "fp").alias("root"))
     mixed = named.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("group")
     apart = written(named.join(mixed, "group", "left_semi").join(sets, "fp"))
     rest = apart_pairs(apart, similarity).join(first, ["a", "b"], "left_anti")
     second = written(similar(rest, sets, similarity).where("near"))
-    return roots if second.isEmpty() else components(first.where("near").unionByName(second).select("a", "b"))
+    return roots if second.isEmpty() else components(linked.unionByName(second.select("a", "b")))
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:

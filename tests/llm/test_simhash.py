@@ -229,3 +229,35 @@ def test_far_copies_of_a_template_are_not_paired(spark):
     assert close <= got and (299, 301) in close
     far = sum(len(set(s) & template) < 130 for s in sets.values())
     assert far > 150 and len(got - close) < 300
+
+
+def test_copies_of_a_template_take_few_links_and_comparisons(make_docs, monkeypatch):
+    rng = random.Random(14)
+    base = [f"t{i}" for i in range(150)]
+    rows = [(5000, " ".join(base))]
+    for i in range(500):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            copy[at] = f"n{rng.randrange(400)}"
+        rows.append((i, " ".join(copy)))
+    linked, compared = [], []
+    plain_components_of, plain_similar = simhash.components, simhash.similar
+    monkeypatch.setattr(simhash, "components", lambda edges: linked.append(edges.distinct().count()) or plain_components_of(edges))
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *given: compared.append(pairs.count()) or plain_similar(pairs, *given))
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(make_docs(rows), 5, 0.8).collect()}
+    sets = {i: plain_shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and plain_jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    assert got == {i: find(i) for i in sets}
+    assert len(set(got.values())) > 100
+    assert max(sum(linked), sum(compared)) < 10 * len(rows), (linked, compared)
