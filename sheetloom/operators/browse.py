@@ -56,12 +56,17 @@ def operations_of_matches(matches: DataFrame, states: DataFrame, steps: DataFram
     return uses_of_matches(matches, device_usage(states, steps))
 
 
-def uses_of_matches(matches: DataFrame, usage: DataFrame) -> DataFrame:
-    """``operations_of_matches`` of the rows of ``device_usage`` or ``nested_usage``."""
+def uses_of_matches(matches: DataFrame, usage: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``operations_of_matches`` of the rows of ``device_usage`` or ``nested_usage``.
+
+    ``counted`` may hold the ``uses`` and ``owners`` of the documents that have no rows in ``usage``.
+    """
     used = (
         usage.groupBy("doc_id", F.col("device").alias("lua_name"))
         .agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("owner_id").alias("owners"))
     )
+    if counted is not None:
+        used = used.unionByName(counted)
     return matches.join(used, ["doc_id", "lua_name"], "left")
 
 

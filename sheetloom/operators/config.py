@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import names
+from sheetloom.operators.walk import walk_texts
 from sheetloom.session import stored
 
 # Default names and defaults of missing numbers.
@@ -617,6 +618,52 @@ class ConfigTables:
         return {n: df.drop(*[c for c in df.columns if c.startswith("_")]) for n, df in named.items()}
 
 
+class CountedConfig(ConfigTables):
+    """``ConfigTables`` for jobs that count and list names: all texts are walked through once (``walk``).
+
+    Texts that the walk leaves are read by the column functions. With ``used``, uses of devices are
+    counted as well, and ``states_in_use`` holds the states of those documents only that are not counted.
+    """
+
+    def __init__(self, config: DataFrame, used: bool = False) -> None:
+        super().__init__(config)
+        self._used = used
+
+    @cached_property
+    def _walked(self) -> DataFrame:
+        return stored(walk_texts(self._config, self._used))
+
+    @cached_property
+    def _left(self) -> DataFrame:
+        return self._walked.where(F.col("body").isNotNull()).select("doc_id", "part", F.col("body").cast("string").alias("body"))
+
+    @cached_property
+    def _left_tables(self) -> ConfigTables:
+        return ConfigTables(self._left)
+
+    @cached_property
+    def device_names(self) -> DataFrame:
+        walked = self._walked.select("doc_id", F.explode("devices").alias("d")).where("d.mentioned").select("doc_id", "d.name")
+        return walked.union(self._left_tables.device_names).distinct()
+
+    @cached_property
+    def _uncounted(self) -> DataFrame:
+        """Documents whose owners must be told apart by their ids: with a text that is left, or with objects that may share an owner."""
+        roots = self._walked.select("doc_id", F.explode("roots").alias("root"))
+        repeated = roots.groupBy("doc_id", "root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return stored(repeated.select("doc_id").union(self._left.select("doc_id")).distinct())
+
+    @cached_property
+    def counted_uses(self) -> DataFrame:
+        """``uses`` and ``owners`` of the devices (``lua_name``) of the documents that are counted."""
+        rows = self._walked.join(self._uncounted, "doc_id", "left_anti").select("doc_id", F.explode("devices").alias("d")).where("d.uses > 0")
+        return rows.groupBy("doc_id", F.col("d.name").alias("lua_name")).agg(F.sum("d.uses").alias("uses"), F.sum("d.owners").alias("owners"))
+
+    @cached_property
+    def states_in_use(self) -> DataFrame:
+        return ConfigTables(self._config.join(self._uncounted, "doc_id", "left_semi")).states_in_use
+
+
 def flatten_config(config: DataFrame, write_once: bool = False) -> ConfigTables:
     """Tables of a configuration corpus."""
     return ConfigTables(config, write_once)

@@ -303,8 +303,8 @@ def device_usage(spark, sf_dir):
 
 @query
 def device_operation_use(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    return browse.uses_of_matches(t.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(t.states_in_use))
+    t = config.CountedConfig(views.config(spark, sf_dir), used=True)
+    return browse.uses_of_matches(t.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(t.states_in_use), t.counted_uses)
 
 
 @query

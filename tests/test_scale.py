@@ -1,9 +1,11 @@
 """Steps that must not be done twice, or in a form that spills, whatever the size of the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetloom.functions import numbers, svg
-from sheetloom.operators import browse, config, grid, loops
+from sheetloom.operators import browse, config, grid, loops, walk
+from sheetloom.plans import catalog, views
 from sheetloom.sources import drawings
 
 
@@ -106,3 +108,52 @@ def test_first_devices_in_two_passes(spark):
     by_table = browse.operations_of_matches(tables.device_names.withColumnRenamed("name", "lua_name"), tables.states, tables.steps)
     nested = browse.uses_of_matches(tables.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(tables.states_in_use))
     assert sorted(map(str, by_table.collect())) == sorted(map(str, nested.collect()))
+
+
+def odd_texts():
+    """Texts that are walked through, and texts that the column functions must read."""
+    plain = '{"%s":{"name":"A","equipment":{"a":"LT1","b":"Нет","c":2,"d":" "},"par_float":{"1":{},"2":5},"modes":{"1":{"states":{"1":%s}},"2":{"name":"Fill","states":{"1":%s,"2":4}}}},"skip":1}'
+    own = lambda n, *more: plain % (n, STATE % (n, 2, 1), STATE % (1, n, n)) + "".join(more)
+    signals = own(7).replace('"devices_data"', '"DI_DO":[[["DI1","я2",3],["S3"]],["S9"],[]],"devices_data"')
+    walked = [(1, 1, own(1)), (1, 2, own(2)), (1, None, signals), (None, 5, own(5)), (2, 6, "[1]"), (2, 7, None), (2, 8, own(8).replace('"V8"', '"V8",true,null,{"b":[1,{}],"a":"V1"}'))]
+    # Owners that come twice, in two texts and in one.
+    twice = [(3, 1, own(1)), (3, 2, own(1)), (4, 1, '{"1":{"modes":{"2_3":{"states":{"4":%s}},"2":{"states":{"3":{"steps":{"4":{"opened_devices":["V1"]}}}}}}}}' % (STATE % (1, 1, 1)))]
+    left = [
+        own(1).replace('"V1"', '"V1","V1\\ud800"'), own(1).replace('"b":5', '"b":5.0'), own(1).replace('"b":5', '"b":"\\n"'), own(1).replace('"b":5', '"b":1234567890123456789'), own(1, "x"),
+        own(1).replace('"steps":{', '"steps":{"1":{"closed_devices":["V4"]},'), own(1).replace('"skip":1', '"2":"{\\"modes\\":{\\"1\\":{\\"states\\":{\\"1\\":{\\"closed_devices\\":[\\"V5\\"]}}}}}"'), own(1).replace('"c":2', "'c':'V6'"), "{",
+    ]
+    return walked + twice, [(10 + i, i, body) for i, body in enumerate(left)]
+
+
+def read_by_columns(monkeypatch):
+    """Numbers of texts that go through the column functions."""
+    seen, read = [], config.read_objects
+    monkeypatch.setattr(config, "read_objects", lambda texts, *level: seen.append(texts.count()) or read(texts, *level))
+    return seen
+
+
+def test_uses_are_counted_in_one_walk(spark, monkeypatch):
+    walked, left = odd_texts()
+    texts = spark.createDataFrame(walked + left, "doc_id long, part long, body string").repartition(3)
+    t = config.flatten_config(texts)
+    want = browse.uses_of_matches(t.device_names.withColumnRenamed("name", "lua_name"), browse.nested_usage(t.states_in_use)).collect()
+    assert {r.doc_id for r in want} == {None, 1, 2, 3, 4, *range(10, 14), *range(15, 18)}
+    monkeypatch.setattr(views, "config", lambda *_: texts)
+    assert sorted(map(str, catalog.QUERIES["device_operation_use"](spark, "").collect())) == sorted(map(str, want))
+    assert [r.part for r in config.CountedConfig(texts, used=True)._left.orderBy("part").collect()] == [i for _, i, _ in left]
+    # Texts that are walked through are not read by the column functions as well.
+    seen = read_by_columns(monkeypatch)
+    monkeypatch.setattr(views, "config", lambda *_: texts.where("doc_id < 3 or doc_id is null"))
+    assert sorted(map(str, catalog.QUERIES["device_operation_use"](spark, "").collect())) == sorted(str(r) for r in want if r.doc_id is None or r.doc_id < 3)
+    assert sum(seen) == 0
+
+
+def test_long_and_deep_texts_keep_their_limits():
+    read = lambda body: walk._walked(body.encode(), True)
+    for body in ('{"1":%s}' % ("[" * 950 + "]" * 950), '{"%s":1}' % ("k" * 50_001), "﻿{}", '{"1":NaN}', '{"1":%s}' % ("1" * 19), '{"1":0.%s}' % ("1" * 1001)):
+        with pytest.raises(walk._Odd):
+            read(body)
+    with pytest.raises(walk._Odd):
+        walk._walked(b'{"1":"\xff"}', True)
+    # Brackets of strings are no levels.
+    assert read('{"1":{"x":["%s"],"y":[%s]}}' % ("[" * 2000, ",".join(["[]"] * 2000))).roots == ["1"]
