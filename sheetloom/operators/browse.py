@@ -196,8 +196,11 @@ def operation_totals(operations: DataFrame) -> DataFrame:
     )
 
 
-def entity_summary(tables: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
-    """Row count and first row (as text) per entity; values are (table, order, text)."""
+def entity_summary(tables: dict[str, tuple[DataFrame, Column, Column]], counts: DataFrame | None = None) -> DataFrame:
+    """Row count and first row (as text) per entity; values are (table, order, text).
+
+    ``counts(entity, n)`` may hold the row counts of entities whose table is cut to the texts of its first row.
+    """
     parts = [
         df.agg(F.count(F.lit(1)).alias("n"), F.min_by(text, order).alias("sample")).select(
             F.lit(name).alias("entity"), "n", "sample"
@@ -207,7 +210,10 @@ def entity_summary(tables: dict[str, tuple[DataFrame, Column, Column]]) -> DataF
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return out
+    if counts is None:
+        return out
+    whole = counts.select("entity", F.col("n").alias("_n"))
+    return out.join(whole, "entity", "left").select("entity", F.coalesce("_n", "n").alias("n"), "sample")
 
 
 def scene_extent(contours: DataFrame) -> DataFrame:

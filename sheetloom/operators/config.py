@@ -14,13 +14,14 @@ an object with such an entry inside is read level by level, so that only wrong e
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import names
-from sheetloom.operators.walk import walk_texts
+from sheetloom.operators.walk import COUNTS, walk_texts
 from sheetloom.session import stored
 
 # Default names and defaults of missing numbers.
@@ -612,6 +613,11 @@ class ConfigTables:
     def signals(self) -> DataFrame:
         return read_signals(self._states("signals", ()))
 
+    @cached_property
+    def signal_names(self) -> DataFrame:
+        """``doc_id``, ``name`` and ``type`` of ``signals``."""
+        return self.signals.select("doc_id", "name", "type")
+
     def public(self) -> dict[str, DataFrame]:
         """All tables without the raw columns."""
         named = {n: getattr(self, n) for n in TABLES}
@@ -646,6 +652,11 @@ class CountedConfig(ConfigTables):
         walked = self._walked.select("doc_id", F.explode("devices").alias("d")).where("d.mentioned").select("doc_id", "d.name")
         return walked.union(self._left_tables.device_names).distinct()
 
+    @cached_property
+    def signal_names(self) -> DataFrame:
+        walked = self._walked.select("doc_id", F.explode("signals").alias("name")).select("doc_id", "name", F.lit("DI_DO").alias("type"))
+        return walked.union(self._left_tables.signal_names).distinct()
+
     @cached_property
     def _uncounted(self) -> DataFrame:
         """Documents whose owners must be told apart by their ids: with a text that is left, or with objects that may share an owner."""
@@ -663,6 +674,25 @@ class CountedConfig(ConfigTables):
     def states_in_use(self) -> DataFrame:
         return ConfigTables(self._config.join(self._uncounted, "doc_id", "left_semi")).states_in_use
 
+    @cached_property
+    def entity_counts(self) -> DataFrame:
+        """Rows (``n``) of the tables in ``walk.COUNTS`` by ``entity``."""
+        sums = self._walked.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0).cast("bigint")).alias(c) for c in COUNTS])
+        out = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("entity"), F.col(c).alias("n")) for c in COUNTS])).alias("c")).select("c.*")
+        for c in COUNTS:
+            out = out.union(getattr(self._left_tables, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("entity"), "n"))
+        return out.groupBy("entity").agg(F.sum("n").alias("n"))
+
+    @cached_property
+    def of_first_texts(self) -> ConfigTables:
+        """Tables of the texts that hold the first object, state or step, in the order of ``doc_id`` and ``part``; they may hold more."""
+        place = F.struct("doc_id", "part")
+        firsts = self._walked.agg(*[F.min(F.when(F.col(f"n_{c}") > 0, place)).alias(c) for c in ("tech_objects", "states", "steps")])
+        # Three places at most: as literals they are tested before a text is built or read.
+        here = [self._config["doc_id"].eqNullSafe(F.lit(p.doc_id)) & self._config["part"].eqNullSafe(F.lit(p.part)) for p in firsts.first() if p is not None]
+        texts = self._config.where(reduce(or_, here, F.lit(False))).select("doc_id", "part", "body")
+        return ConfigTables(stored(texts.union(self._left)))
+
 
 def flatten_config(config: DataFrame, write_once: bool = False) -> ConfigTables:
     """Tables of a configuration corpus."""

@@ -365,7 +365,8 @@ def operation_totals(spark, sf_dir):
 
 @query
 def entity_summary(spark, sf_dir):
-    t = _tables(spark, sf_dir, write_once=True)
+    t = config.CountedConfig(views.config(spark, sf_dir))
+    first = t.of_first_texts
     doc = F.col("doc_id")
     place = ["obj_ord", "mode_pos", "state_pos", "step_pos"]
     joined = lambda c: F.array_join(c, "|")
@@ -374,23 +375,24 @@ def entity_summary(spark, sf_dir):
     return browse.entity_summary(
         {
             "tech_objects": (
-                t.tech_objects,
+                first.tech_objects,
                 F.struct(doc, F.col("obj_ord")),
                 row("id", F.col("n").cast("string"), F.col("tech_type").cast("string"), "name", "name_eplan", "name_BC", "base_tech_object", _entries_text("properties")),
             ),
             "devices": (t.device_names, F.struct(doc), none),
-            "operations": (t.operations, F.struct(doc), none),
+            "operations": (first.operations, F.struct(doc), none),
             "states": (
-                t.states, F.struct(doc, *place[:3]),
+                first.states, F.struct(doc, *place[:3]),
                 row("id", "name", "operation_id", "operation_name", "obj_name", joined("opened_devices"), joined("closed_devices"), joined("checked_devices")),
             ),
             "steps": (
-                t.steps, F.struct(doc, *place),
+                first.steps, F.struct(doc, *place),
                 row("id", "name", "state_id", "state_name", "operation_name", "time_param_n_text", "next_step_n_text", joined("opened_devices"), joined("closed_devices")),
             ),
-            "signals": (t.signals, F.struct(doc), none),
-            "parameters": (t.parameters, F.struct(doc), none),
-        }
+            "signals": (t.signal_names, F.struct(doc), none),
+            "parameters": (first.parameters, F.struct(doc), none),
+        },
+        t.entity_counts,
     )
 
 

@@ -157,3 +157,28 @@ def test_long_and_deep_texts_keep_their_limits():
         walk._walked(b'{"1":"\xff"}', True)
     # Brackets of strings are no levels.
     assert read('{"1":{"x":["%s"],"y":[%s]}}' % ("[" * 2000, ",".join(["[]"] * 2000))).roots == ["1"]
+
+
+def test_entities_are_summed_up_in_one_walk(spark, monkeypatch):
+    walked, left = odd_texts()
+    texts = spark.createDataFrame(walked + left, "doc_id long, part long, body string").repartition(3)
+    t = config.flatten_config(texts)
+    want = {
+        **{n: getattr(t, n).count() for n in ("tech_objects", "operations", "states", "steps", "parameters", "signals")},
+        "devices": t.device_names.count(),
+    }
+    assert want["signals"] == 2
+    monkeypatch.setattr(views, "config", lambda *_: texts)
+    got = {r.entity: (r.n, r["sample"]) for r in catalog.QUERIES["entity_summary"](spark, "").collect()}
+    assert {e: n for e, (n, _) in got.items()} == want
+    # The first text is that without a document, whose second mode has no name and whose steps come in their order.
+    assert got["tech_objects"][1] == "5;-;-;A;-;-;-;-" and got["devices"][1] is None
+    assert got["states"][1] == '5_1_1;Состояние 1;5_1;Операция 1;A;V5|{"a":"LS2","b":5}|7;;'
+    assert got["steps"][1] == "5_1_1_1;Шаг 1;5_1_1;Состояние 1;Операция 1;-;-;M1|V1;"
+    # The column functions read the texts of the first rows only, and those that are left.
+    seen = read_by_columns(monkeypatch)
+    monkeypatch.setattr(views, "config", lambda *_: texts.where("doc_id < 3 or doc_id is null"))
+    catalog.QUERIES["entity_summary"](spark, "").collect()
+    assert max(seen) == 1
+    monkeypatch.setattr(views, "config", lambda *_: texts.where("false"))
+    assert {(r.n, r["sample"]) for r in catalog.QUERIES["entity_summary"](spark, "").collect()} == {(0, None)}
