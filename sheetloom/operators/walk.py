@@ -22,8 +22,8 @@ from sheetloom.functions import names
 
 # Texts per block of rows that are built at once.
 _ROWS = 1000
-# Limits up to which both parsers are known to agree: digits of a number, characters of a name and a text, levels.
-_DIGITS, _NAME, _TEXT, _LEVELS = 18, 50_000, 10_000_000, 900
+# Limits up to which both parsers are known to agree: digits of a whole number and characters of others, of a name and of a text; levels.
+_DIGITS, _FRACTION, _NAME, _TEXT, _LEVELS = 18, 900, 50_000, 10_000_000, 900
 _LISTS = ("opened_devices", "closed_devices", "checked_devices")
 COUNTS = ("tech_objects", "operations", "states", "steps", "parameters")
 _DEVICE = pa.struct([("name", pa.string()), ("mentioned", pa.bool_()), ("uses", pa.int32()), ("owners", pa.int32())])
@@ -65,7 +65,7 @@ def _whole(digits: str) -> int:
 
 
 def _fraction(digits: str) -> type:
-    if len(digits) > _LEVELS:
+    if len(digits) > _FRACTION:
         raise _Odd
     return _Fraction
 
@@ -249,7 +249,7 @@ def _walked(body: bytes | None, used: bool) -> _Walk:
     return walk
 
 
-def _lists(rows: list[list], kind: pa.DataType) -> pa.Array:
+def _array(rows: list[list], kind: pa.DataType) -> pa.Array:
     ends = [0]
     for row in rows:
         ends.append(ends[-1] + len(row))
@@ -286,8 +286,8 @@ def walk_texts(config: DataFrame, used: bool = False) -> DataFrame:
                         left.append(body)
                 signals = [list(_valid(w.signals)) for w in walks]
                 made = [
-                    pa.array(left, pa.binary()), _lists([w.roots for w in walks], pa.string()), _lists([w.devices() for w in walks], _DEVICE),
-                    _lists(signals, pa.string()), *[pa.array([w.counts[i] for w in walks], pa.int32()) for i in range(len(COUNTS))],
+                    pa.array(left, pa.binary()), _array([w.roots for w in walks], pa.string()), _array([w.devices() for w in walks], _DEVICE),
+                    _array(signals, pa.string()), *[pa.array([w.counts[i] for w in walks], pa.int32()) for i in range(len(COUNTS))],
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=columns)
 
